@@ -1,0 +1 @@
+"""porelake: nanopore methylation analytics as Spark plans."""
