@@ -33,7 +33,10 @@ def split_all(text: Column, sep: str) -> Column:
     return F.split(text, "\\Q" + sep + "\\E", -1)
 
 
-@F.pandas_udf("string")
-def six_decimals(x: pd.Series) -> pd.Series:
+def six_decimals(value: Column) -> Column:
     """A number as C's %f writes it. For sinks only: rounding of the exact binary value isn't what Spark's own formatter does."""
-    return x.map(lambda v: None if pd.isna(v) else "%f" % v)
+
+    def write(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else "%f" % v)
+
+    return F.pandas_udf(write, "string")(value)
