@@ -476,10 +476,11 @@ def _sam_lines(spark, d):
     ).alias("value"))
 
 
-@query("""SELECT read_id, flag, CASE WHEN flag & 4 = 0 THEN chr END AS chr, mapq, CASE WHEN flag & 4 = 0 THEN ref_start END AS ref_start, CASE WHEN flag & 4 = 0 THEN ref_start + ref_len END::INTEGER AS ref_end,
-    CASE WHEN flag & 4 = 0 THEN q_end - q_start END::INTEGER AS q_len, nm, 'one.pod5' AS file_name, 7 AS trim_start, 5 AS stride, '0,2,3,4' AS moves, nm = 2 AS is_split FROM extents""", "aln", "ops", "extents")
+@query("""SELECT read_id, flag, CASE WHEN flag & 4 = 0 THEN chr ELSE '*' END AS chr, mapq, CASE WHEN flag & 4 = 0 THEN ref_start ELSE -1 END AS ref_start, CASE WHEN flag & 4 = 0 THEN ref_start + ref_len ELSE -1 END::INTEGER AS ref_end,
+    CASE WHEN flag & 4 = 0 THEN q_end - q_start ELSE -1 END::INTEGER AS q_len, nm, 'one.pod5' AS file_name, 7 AS trim_start, 5 AS stride, '0,2,3,4' AS moves, nm = 2 AS is_split FROM extents""", "aln", "ops", "extents")
 def sam_text_decode(spark, d):
     got = sam.parse_sam(_sam_lines(spark, d))
+    got = got.na.fill({"chr": "*", "ref_start": -1, "ref_end": -1, "q_len": -1})
     return got.select("read_id", "flag", "chr", "mapq", "ref_start", "ref_end", "q_len", "nm", "file_name", "trim_start", "stride", F.array_join(F.col("moves").cast("array<string>"), ",").alias("moves"), "is_split")
 
 
