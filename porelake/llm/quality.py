@@ -58,9 +58,10 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"grade": x["grade"], "h": x["h"], "x": [features(t).tobytes() for t in x["text"]]})
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int = 200, min_docs: int = 4) -> dict:
+def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int = 400, min_docs: int = 3, significance: float = 4.0) -> dict:
     """docs(doc_id, text), grades(doc_id, grade 0..K-1) -> the model. Learns from at most about max_rows of the graded rows, those
-    with the least hash of doc_id, whose hashed features come to the driver. A grade that is null doesn't count."""
+    with the least hash of doc_id, whose hashed features come to the driver. Features whose counts over the grades differ from chance
+    by `significance` standard deviations take part, each with the size of its log odds. A grade that is null doesn't count."""
     graded = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = graded.count()
     chosen = graded.withColumn("h", F.xxhash64("doc_id", F.lit(23))).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 30))))
@@ -71,30 +72,42 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int =
         return {"w": np.zeros(DIM, np.float32), "cuts": np.zeros(0), "fitted": False}
     rows = [np.frombuffer(b, np.uint32) for b in got["x"]]
     y = got["grade"].to_numpy()
-    seen = np.bincount(np.concatenate(rows), minlength=DIM)
-    names = np.flatnonzero((seen >= min_docs) & (seen < 0.9 * len(rows)))
+    k, n = int(y.max()) + 1, len(rows)
+    lens = np.array([len(r) for r in rows])
+    cols, doc = np.concatenate(rows), np.repeat(np.arange(n), lens)
+    share = np.bincount(y, minlength=k).astype(float)
+    having = np.stack([np.bincount(cols[y[doc] == g], minlength=DIM) for g in range(k)]).astype(float)
+    seen = having.sum(0)
+    # which features some grade has more or less often than chance would give it, and how much so on either side of a threshold
+    expected = seen[None] * share[:, None] / n
+    spread = np.sqrt(np.maximum(expected * (1 - share[:, None] / n) * (1 - seen[None] / n), 1e-9))
+    sure = np.where(seen >= min_docs, ((np.abs(having - expected) - 0.5) / spread).max(0), 0)
+    names = np.flatnonzero(sure >= significance)
+    odds = np.zeros(DIM)
+    for j in range(1, k):
+        low, high = ((part.sum(0) + 0.5) / (total.sum() + 1) for part, total in ((having[:j], share[:j]), (having[j:], share[j:])))
+        odds = np.maximum(odds, np.abs(np.log(low / high)))
+    value = odds[names]
     place = np.full(DIM, -1, np.int64)
     place[names] = np.arange(len(names))
-    rows = [p[p >= 0] for p in (place[r] for r in rows)]
-    lens = np.array([len(r) for r in rows])
-    cols, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lens)
-    scale = 1 / np.sqrt(np.maximum(lens, 1))
-    k = int(y.max()) + 1
+    kept = place[cols] >= 0
+    cols, doc = place[cols[kept]], doc[kept]
+    x, scale = value[cols], 1 / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1))
     above = y[:, None] >= np.arange(1, k)[None]
-    share = np.bincount(y, minlength=k)
     weight = (1 / np.sqrt(np.maximum(share, 1)))[y]
     weight = weight / weight.sum()
     w = np.zeros(len(names))
     cuts = np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(k - 1)
     m, v, mc, vc = np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)
-    for t in range(1, steps + 1):
-        s = np.bincount(doc, w[cols], len(rows)) * scale
+    for t in range(1, steps + 1):  # Adam on the weighted cumulative-link loss
+        s = np.bincount(doc, x * w[cols], n) * scale
         g = (1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30))) - above) * weight[:, None]
-        gw = np.bincount(cols, (g.sum(1) * scale)[doc], len(names)) + 2e-6 * w
+        gw = np.bincount(cols, x * (g.sum(1) * scale)[doc], len(names)) + 3e-4 * w
         gc = -g.sum(0)
         m, v, mc, vc = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mc + 0.1 * gc, 0.99 * vc + 0.01 * gc * gc
-        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        cuts = np.sort(cuts - 0.1 * (mc / (1 - 0.9**t)) / (np.sqrt(vc / (1 - 0.99**t)) + 1e-9))
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        cuts = np.sort(cuts - 0.05 * (mc / (1 - 0.9**t)) / (np.sqrt(vc / (1 - 0.99**t)) + 1e-9))
+    w = w * value
     whole = np.zeros(DIM, np.float32)
     whole[names] = w
     known = np.zeros(DIM, bool)
