@@ -152,7 +152,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     slots = cells.repartition(max(1, min(len(draws), 1024))).mapInPandas(_slots(block, seed), "src int, shard int, nth long, epoch int, block long, take long")
     pieces = rows.filter("size > 0").select("rid", "src", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     cut = F.greatest("start", F.col("block") * block)
-    spans = pieces.join(slots, ["src", "block"]).select("rid", "shard", "src", "nth", "epoch", "block", (cut - F.col("start")).alias("at"), (F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take")) - cut).alias("words"))
+    # Spark takes slots for as small as the cells they are made of; the hint keeps it from broadcasting what grows with the data
+    spans = pieces.hint("merge").join(slots.hint("merge"), ["src", "block"]).select("rid", "shard", "src", "nth", "epoch", "block", (cut - F.col("start")).alias("at"), (F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take")) - cut).alias("words"))
     spans = spans.filter("words > 0")
     return (rows, spans, texts) if with_texts else (rows, spans)
 
