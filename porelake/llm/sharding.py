@@ -25,11 +25,12 @@ def _ranked(dims: dict[str, Column], size: Column, tie: Column, df: DataFrame) -
 def _leaf(tree: dict) -> Column:
     if "dim" not in tree:
         return F.lit(tree["leaf"])
-    return F.when(F.col(f"k{tree['dim']}") < F.lit(tree["at"]), _leaf(tree["left"])).otherwise(_leaf(tree["right"]))
+    at = F.when(F.col("heavy"), F.lit(tree["at_heavy"])).otherwise(F.lit(tree["at"])) if tree["at_heavy"] is not None else F.lit(tree["at"])
+    return F.when(F.col(f"k{tree['dim']}") < at, _leaf(tree["left"])).otherwise(_leaf(tree["right"]))
 
 
 def _medians(points: DataFrame, nodes: dict[int, dict], tolerance: float) -> None:
-    """Sets at of each node: the key of its dimension below which its share of the weight lies. Histograms of 4,096 bins narrow each
+    """Sets at of each node, the key of its dimension below which its target of the weight lies, and got, the weight there. Histograms of 4,096 bins narrow each
     node's range until the bin that holds the target is light enough, or holds one key."""
     for x in nodes.values():
         x |= {"lo": 0, "hi": 1 << (_BITS + _TIE), "below": 0}
@@ -51,14 +52,14 @@ def _medians(points: DataFrame, nodes: dict[int, dict], tolerance: float) -> Non
                 if sum_ + w > target:
                     lo = x["lo"] + b * x["step"]
                     if w <= tolerance or x["step"] == 1:
-                        x["at"] = lo if target - sum_ <= sum_ + w - target else lo + x["step"]
+                        x["at"], x["got"] = (lo, sum_) if target - sum_ <= sum_ + w - target else (lo + x["step"], sum_ + w)
                         del open_[leaf]
                     else:
                         x |= {"lo": lo, "hi": min(lo + x["step"], x["hi"]), "below": sum_}
                     break
                 sum_ += w
             else:
-                x["at"] = x["hi"]
+                x["at"], x["got"] = x["hi"], sum_
                 del open_[leaf]
 
 
@@ -67,37 +68,45 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], size: Column, tie: Column,
 
     A node that stands for n shards is split along the dimension in which its rows spread widest (as a share of the range of all
     rows), where n // 2 / n of its weight lies below; until each leaf stands for one shard. Rows of equal value are split by tie, a
-    hash, if a shard's edge falls among them, so that a value that holds any share of the rows is no obstacle. Medians come from
-    histograms; the driver gets only those. An empty table gives no rows. Shard sizes differ by about the largest rows at the edges."""
+    hash, if a shard's edge falls among them, so that a value that holds any share of the rows is no obstacle. Rows over 1/64 of a shard
+    have a median of their own, and that of the others makes up for where it falls, so that shards don't differ by such rows. Medians
+    come from histograms; the driver gets only those. An empty table gives no rows."""
     points = _ranked(dims, size, tie, df)
     total = points.agg(F.sum("w")).first()[0] or 0
     shards = shards or max(1, -(-total // target_bytes))
     tree: dict = {"n": shards, "leaf": 0}
     leaves = [tree]
+    points = points.withColumn("heavy", F.col("w") * (64 * shards) > total)
     while any(x["n"] > 1 for x in leaves):
         at = points.withColumn("leaf", _leaf(tree)) if len(leaves) > 1 else points.withColumn("leaf", F.lit(0))
-        ends = at.groupBy("leaf").agg(F.sum("w").alias("w"), *(f(f"k{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))))
+        ends = at.groupBy("leaf").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("heavy"), F.col("w")).otherwise(0)).alias("heavy"), *(f(f"k{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max))))
         seen = {r["leaf"]: r for r in ends.collect()}
         splits = {}
         for x in leaves:
             if x["n"] > 1:
                 r = seen.get(x["leaf"])
                 wide = [(r[f"hi{i}"] >> _TIE) - (r[f"lo{i}"] >> _TIE) if r else 0 for i in range(len(dims))]
-                splits[x["leaf"]] = x | {"dim": wide.index(max(wide)), "target": (r["w"] if r else 0) * (x["n"] // 2) / x["n"]}
-        _medians(at, splits, tolerance * total / shards)
+                splits[x["leaf"]] = x | {"dim": wide.index(max(wide)), "share": (x["n"] // 2) / x["n"], "w": r["w"] if r else 0, "heavy": r["heavy"] if r else 0}
+        heavy = {k: {"dim": x["dim"], "target": x["heavy"] * x["share"]} for k, x in splits.items() if x["heavy"]}
+        if heavy:
+            _medians(at.filter("heavy"), heavy, 0)
+        for k, x in splits.items():
+            x["at_heavy"] = heavy[k]["at"] if k in heavy else None
+            x["target"] = x["w"] * x["share"] - (heavy[k]["got"] if k in heavy else 0)
+        _medians(at.filter("not heavy"), splits, tolerance * total / shards)
         new = []
         for x in leaves:
             if x["leaf"] in splits:
                 s = splits[x["leaf"]]
                 n = x["n"]
-                x |= {"dim": s["dim"], "at": s["at"], "left": {"n": n // 2}, "right": {"n": n - n // 2}}
+                x |= {"dim": s["dim"], "at": s["at"], "at_heavy": s["at_heavy"], "left": {"n": n // 2}, "right": {"n": n - n // 2}}
                 new += [x["left"], x["right"]]
             else:
                 new.append(x)
         leaves = new
         for i, x in enumerate(leaves):
             x["leaf"] = i
-    return points.withColumn("shard", _leaf(tree).cast("int")).drop(*(f"k{i}" for i in range(len(dims)))), tree
+    return points.withColumn("shard", _leaf(tree).cast("int")).drop("heavy", *(f"k{i}" for i in range(len(dims)))), tree
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 24, target_bytes: int | None = None) -> DataFrame:
