@@ -57,13 +57,13 @@ def spread(rows: int, per: int) -> int:
     return max(1, math.ceil(rows / per))
 
 
-def running_before(df: DataFrame, group: str, order: list[str], value: Column, out: str, rows: int, per: int = 20_000) -> DataFrame:
+def running_before(df: DataFrame, group: str, order: list[str], value: Column, out: str, rows: int, per: int = 4_000) -> DataFrame:
     """Adds out: the sum of value (long) over the rows that precede a row in its group.
 
-    Two passes: sums inside (group, bucket) pieces of about `per` rows, then prefix sums over the pieces' totals.
-    A group of any size is thus spread over many tasks. The order inside a group is (bucket of order, order);
+    Two passes: sums inside (group, bucket) pieces of about `per` rows (more, once a group has 65,536 pieces), then prefix sums
+    over the pieces' totals. A group of any size is thus spread over many tasks. The order inside a group is (bucket of order, order);
     it is the same in each run. group must not be null; rows that agree in all of `order` are interchangeable."""
-    n = spread(rows, per)
+    n = min(spread(rows, per), 1 << 16)
     cut = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n))).withColumn("_v", value.cast("long"))
     inner = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(group, "_b").agg(F.sum("_v").alias("_t"))
