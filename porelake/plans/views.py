@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def even(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan has fewer partitions than there are: a small file of one row group is else one task. A scan of
+    many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, read_id, chr, pos (quarter hour of the day), prob (hundredths)."""
     return table(spark, sf_dir, "events").select(
@@ -35,14 +42,15 @@ def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return even(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
 def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments made of the order lines."""
     q, n, p, s = "cast(l_quantity as int)", "l_linenumber", "cast(l_partkey % 3 as int)", "cast(l_suppkey % 4 as int)"
     text = f"concat({n}, 'S', {q}, 'M', {p} + 1, 'I', {s} + 1, 'D', {q} + 5, 'M', case when {p} = 0 then '2S' else '' end)"
-    rows = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = even(lines).select(
         "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("read_id"), F.expr(text).alias("cigar_text"),
         F.expr("case l_returnflag when 'R' then 16 when 'A' then 4 else 0 end").alias("flag"), F.expr(q).alias("mapq"), F.col("l_partkey").cast("int").alias("ref_start"),
         F.expr("cast(l_suppkey % 5 as int) - 1").alias("nm"), F.concat(F.lit("chr"), F.expr("l_suppkey % 23").cast("string")).alias("chr"),
@@ -52,7 +60,7 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 1000, 0) + F.lit(0.0)).alias("raw"))
+    return even(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 1000, 0) + F.lit(0.0)).alias("raw"))
 
 
 # The same for DuckDB, as common table expressions.
