@@ -211,13 +211,13 @@ def _near(percent: int, m: int, nearest: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent: int = 80, m: int = 13, w: int = 3, cell: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, percent: int = 80, m: int = 15, w: int = 3, cell: int = 1024) -> DataFrame:
     """docs(key, text) -> key, n_shingles, component_id (least key reachable by links), kept (key = component_id).
 
     Words are runs of other than white space (0x20, 0x09 to 0x0D), A-Z in lower case. A document's set holds its distinct shingles of
     `shingle` words, or all its words as one if there are fewer. Two documents link if 100 * intersection >= percent * union, found
     through a common key of the m * (m - 1) / 2 tables and confirmed on the full sets; at 80 % a pair has a common key with a
-    probability of 0.9987, at 85 % of 0.99984. Documents without words, or null, have no set and no link. Repeated rows and copies
+    probability of 0.9996, at 85 % of 0.99998. Documents without words, or null, have no set and no link. Repeated rows and copies
     are one class (rows of a null key take part only through such copies); a class, bucket or component of any size is spread over tasks. An empty table gives no rows."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), "text")
