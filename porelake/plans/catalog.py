@@ -589,12 +589,12 @@ def zip_files(spark, d):
     return training.zip_files(views.table(spark, d, "nation").select(F.col("n_name").alias("name")), views.table(spark, d, "region").select(F.col("r_name").alias("name")))
 
 
-_LOGIT = "1 / (1 + exp(-list_sum(list_transform(range(1, 58), lambda i: raw[i] * ((i - 1) % 7 - 3) / 1000::DOUBLE))))"
+_LOGIT = "1 / (1 + exp(-list_sum(list_transform(range(1, 58), lambda i: raw[i] * ((i - 1) % 7 - 3) / 1009::DOUBLE))))"
 
 
 def _scored(spark, d):
     rows = features.split_features(_matrix(spark, d), 3).select("vec_id", "kmer", "signal")
-    return scoring.score(rows, scoring.LogisticScorer([((i % 7) - 3) / 1000 for i in range(57)]))
+    return scoring.score(rows, scoring.LogisticScorer([((i % 7) - 3) / 1009 for i in range(57)]))
 
 
 @query(f"SELECT vec_id, round({_LOGIT}, 4) AS p FROM signal", "signal")
