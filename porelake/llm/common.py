@@ -1,6 +1,8 @@
 """What the operators share: written tables, distributed prefix sums, connected components."""
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a local one of our own only where the session has none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="porelake-"))
+        own = tempfile.mkdtemp(prefix="porelake-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
