@@ -51,7 +51,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "x": [features(t).astype(np.float16).tobytes() for t in x["text"]]})
 
 
-def fit(train: DataFrame, per_lang: int = 1_000, steps: int = 150) -> dict:
+def fit(train: DataFrame, per_lang: int = 400, steps: int = 150) -> dict:
     """train(text, lang), without nulls -> the model. Learns from at most about per_lang texts of each language, those with the least
     hash; the number of languages is bounded by what can be a label."""
     counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
@@ -60,11 +60,12 @@ def fit(train: DataFrame, per_lang: int = 1_000, steps: int = 150) -> dict:
         return {"langs": []}
     share = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, per_lang / counts[k]))))
     hashed = train.withColumn("h", F.xxhash64("text", F.lit(17))).filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    got = hashed.select("lang", "text", "h").mapInPandas(_featurise, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"], kind="stable")
-    if got.empty:
+    got = hashed.select("lang", "text", "h").mapInPandas(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    if not got.num_rows:
         return {"langs": []}
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
-    which = np.array([langs.index(v) for v in got["lang"]])
+    x = np.stack([np.frombuffer(b.as_buffer(), np.float16) for b in got["x"]]).astype(np.float32)
+    which = np.array([langs.index(v) for v in got["lang"].to_pylist()])
+    del got
     code = codewords(len(langs))
     y, weight = code[which], (1 / np.bincount(which, minlength=len(langs)))[which].astype(np.float32)[:, None] / len(langs)
     w, bias = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)

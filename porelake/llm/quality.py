@@ -58,7 +58,7 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"grade": x["grade"], "h": x["h"], "x": [features(t).tobytes() for t in x["text"]]})
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int = 400, min_docs: int = 3, significance: float = 4.0) -> dict:
+def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int = 400, min_docs: int = 3, significance: float = 4.0) -> dict:
     """docs(doc_id, text), grades(doc_id, grade 0..K-1) -> the model. Learns from at most about max_rows of the graded rows, those
     with the least hash of doc_id, whose hashed features come to the driver. Features whose counts over the grades differ from chance
     by `significance` standard deviations take part, each with the size of its log odds. A grade that is null doesn't count."""
@@ -66,15 +66,15 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int =
     n = graded.count()
     chosen = graded.withColumn("h", F.xxhash64("doc_id", F.lit(23))).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 30))))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about max_rows rows of 20 bytes
-    got = picked.select("grade", "h", "text").mapInPandas(_featurise, "grade int, h long, x binary").toPandas()
-    got = got.sort_values(["h", "x"], kind="stable")
-    if got.empty:
-        return {"w": np.zeros(DIM, np.float32), "cuts": np.zeros(0), "fitted": False}
-    rows = [np.frombuffer(b, np.uint32) for b in got["x"]]
-    y = got["grade"].to_numpy()
+    got = picked.select("grade", "h", "text").mapInPandas(_featurise, "grade int, h long, x binary").toArrow().sort_by("h").combine_chunks()
+    if not got.num_rows:
+        return {"w": np.zeros(DIM, np.float32), "known": np.zeros(DIM, bool), "cuts": np.zeros(0), "fitted": False}
+    rows = [np.frombuffer(b.as_buffer(), np.uint32) for b in got["x"]]
+    y = got["grade"].to_numpy().astype(np.int32)
     k, n = int(y.max()) + 1, len(rows)
     lens = np.array([len(r) for r in rows])
-    cols, doc = np.concatenate(rows), np.repeat(np.arange(n), lens)
+    cols, doc = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lens)
+    del rows, got
     share = np.bincount(y, minlength=k).astype(float)
     having = np.stack([np.bincount(cols[y[doc] == g], minlength=DIM) for g in range(k)]).astype(float)
     seen = having.sum(0)
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 10_000, steps: int =
         low, high = ((part.sum(0) + 0.5) / (total.sum() + 1) for part, total in ((having[:j], share[:j]), (having[j:], share[j:])))
         odds = np.maximum(odds, np.abs(np.log(low / high)))
     value = odds[names]
-    place = np.full(DIM, -1, np.int64)
+    place = np.full(DIM, -1, np.int32)
     place[names] = np.arange(len(names))
     kept = place[cols] >= 0
     cols, doc = place[cols[kept]], doc[kept]
