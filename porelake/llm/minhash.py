@@ -273,7 +273,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, perc
             if nearest:
                 continue
             break
-        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), "minhash-cc")
+        # new links join components: only their roots go through the rounds again
+        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        lifted = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+        up = connected_components(lifted, "minhash-cc")
+        raised = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = stash(raised.unionByName(up.join(roots.select("node"), "node", "left_anti")), "minhash-roots")
 
     named = classes.select("cid", "h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
