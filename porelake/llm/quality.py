@@ -5,7 +5,6 @@ P(grade >= j) = sigmoid(s - t_j), from which come the expected grade and the tai
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,43 +29,28 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
-#: What a word gives, kept for a task's next texts; long words aren't kept, and the table is emptied when it is full.
-_KNOWN: dict[str, tuple[tuple[int, ...], str]] = {}
-
-
-def _at(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % DIM
-
-
-def _word(w: str) -> tuple[tuple[int, ...], str]:
-    """Indexes of the plain word and its beginnings, and the word's shape."""
-    p = _EDGE.sub("", w).lower()
-    out = (_at("w" + p), *(_at(f"{n}{p[:n]}") for n in (4, 5) if len(p) > n)), _shape(w)
-    if len(w) <= 64:
-        if len(_KNOWN) >= 1 << 18:
-            _KNOWN.clear()
-        _KNOWN[w] = out
-    return out
-
-
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct indexes: which words and which word beginnings of 4 and 5 letters the whole text has, and, in steps of a factor
     of two, the share of its words that have each shape, and of its distinct words. The empty text has its own."""
-    kinds = Counter(_SPLIT.findall(text or ""))
-    if not kinds:
+    words = _SPLIT.findall(text or "")
+    if not words:
         return np.array([zlib.crc32(b"\0empty") % DIM], np.uint32)
+    kinds = set(words)
+    plain = {_EDGE.sub("", w).lower() for w in kinds}
+    names = {"w" + p for p in plain} | {"4" + p[:4] for p in plain if len(p) > 4} | {"5" + p[:5] for p in plain if len(p) > 5}
     shapes: dict[str, int] = {}
-    ids: list[int] = []
-    for w, n in kinds.items():
-        at, shape = _KNOWN.get(w) or _word(w)
-        ids.extend(at)
-        shapes[shape] = shapes.get(shape, 0) + n
-    words = kinds.total()
+    memo: dict[str, str] = {}
+    for w in words:
+        k = w[:1] + w[-3:]
+        s = memo.get(k)
+        if s is None:
+            s = memo[k] = _shape(w)
+        shapes[s] = shapes.get(s, 0) + 1
     for s, n in shapes.items():
-        step = min(8, int(np.log2(words / n)))
-        ids.extend(_at(f"s{s}\0{j}") for j in range(step, 9))  # at least this share
-    ids.append(_at(f"d{int(8 * len(kinds) / words)}"))
-    return np.unique(np.array(ids, np.uint32))
+        step = min(8, int(np.log2(len(words) / n)))
+        names.update(f"s{s}\0{j}" for j in range(step, 9))  # at least this share
+    names.add(f"d{int(8 * len(kinds) / len(words))}")
+    return np.unique(np.array([zlib.crc32(n.encode("utf-8", "replace")) % DIM for n in names], np.uint32))
 
 
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
