@@ -65,10 +65,17 @@ RULES = [
 ]
 
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-/][0-9a-z]+)*")
-_END = re.compile(r"[.!?;:]+(?=\s|$)|\n\s*\n")
-_LINE = re.compile(r"[.!?;:]+(?=\s|$)|\n")
+#: Words, in group 1, and the comment marks that are letters at the head of a line.
+_MARK = r"(?:dnl|rem|c)(?=\s)"
+_TOKEN = re.compile(rf"^[^0-9a-z\n]*{_MARK}|({_WORD.pattern})", re.MULTILINE)
+#: Where sentences are cut: at their ends or blank lines, at lines too, at the marks of block comments too.
+_CUTS = [re.compile(r"[.!?;:]+(?=\s|$)" + more) for more in (r"|\n\s*\n", r"|\n", r"|\n|/\*|\*/|<!--|-->")]
+#: What a copyright notice begins with, up to its year.
+_NOTICE = re.compile(rf"\W*(?:{_MARK}\W*)?(?:copyright\b|\(c\)|©).*\d{{4}}", re.IGNORECASE | re.DOTALL)
+#: Known sentences of so many words can begin anywhere; shorter ones only where a sentence, line or comment does, or after a copyright notice.
+_LONG = 16
 #: Each known sentence has one of these words (checked below); a text without them has no known sentence.
-_TRIGGER = re.compile(r"licen[sc]|permission|warrant|redistribut|copyright|rights|distributed|public domain", re.IGNORECASE)
+_TRIGGER = re.compile(r"licen[sc]|permission|warrant|redistribut|copyright|rights|distributed|unencumbered", re.IGNORECASE)
 assert all(_TRIGGER.search(s) for s in SENTENCES.values())
 
 
@@ -77,34 +84,66 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
-def _parts(text: str, at: re.Pattern) -> list[tuple[int, int]]:
-    cuts = [0, *(m.end() for m in at.finditer(text)), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+def _known() -> dict[tuple[str, str], list[tuple[str, list[str]]]]:
+    """first two words -> (identifier, words) of the known sentences that begin with them."""
+    out: dict[tuple[str, str], list[tuple[str, list[str]]]] = {}
+    for k, s in SENTENCES.items():
+        words = normalise(s).split(" ")
+        out.setdefault((words[0], words[1]), []).append((k, words))
+    return out
+
+
+_KNOWN = _known()
+
+
+class _Words:
+    """A whole text's words in lower case, and the cuts between them."""
 
+    def __init__(self, text: str):
+        low = text.lower()
+        if len(low) != len(text):  # the few letters that grow are in no known sentence
+            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+        self.text, self.spans = text, [m.span(1) for m in _TOKEN.finditer(low) if m[1]]
+        self.words = [low[a:b] for a, b in self.spans]
+        self.cuts = [[m.end() for m in at.finditer(text)] for at in _CUTS]
 
-def _known() -> dict[str, str]:
-    """normalised sentence -> identifier; a known sentence with a `;` or `:` inside is matched as the run of its parts."""
-    return {normalise(s): k for k, s in SENTENCES.items()}
+    def left(self, cuts: list[int], i: int) -> int | None:
+        """The last cut between word i and the word before, if any."""
+        c = bisect.bisect(cuts, self.spans[i][0])
+        if c and (i == 0 or cuts[c - 1] > self.spans[i - 1][1]):
+            return cuts[c - 1]
+        return None if i else 0
 
+    def right(self, cuts: list[int], i: int) -> int | None:
+        """The first cut between word i and the next word, if any."""
+        c, last = bisect.bisect(cuts, self.spans[i][1]), i + 1 == len(self.spans)
+        if c < len(cuts) and (last or cuts[c] <= self.spans[i + 1][0]):
+            return cuts[c]
+        return len(self.text) if last else None
 
-_IDS = _known()
-_MOST_PARTS = max(len([1 for a, b in _parts(s, _END) if normalise(s[a:b])]) for s in SENTENCES.values())
+    def noticed(self, i: int) -> bool:
+        """Whether a copyright notice stands between word i and the last cut before it."""
+        c = bisect.bisect(self.cuts[-1], self.spans[i][0])
+        return bool(_NOTICE.match(self.text, self.cuts[-1][c - 1] if c else 0, self.spans[i][0]))
 
 
 def sentences(text: str) -> list[tuple[str, int, int]]:
     """Known sentences of a whole text, in order: (identifier, start, end) in characters.
 
-    A sentence may be broken over lines or end with its line; of known sentences that overlap, the longer wins."""
-    found = []
-    for at in (_END, _LINE):
-        parts = [(a, b, normalise(text[a:b])) for a, b in _parts(text, at)]
-        parts = [p for p in parts if p[2]]
-        for i in range(len(parts)):
-            whole = ""
-            for j in range(i, min(len(parts), i + _MOST_PARTS)):
-                whole = f"{whole} {parts[j][2]}".strip()
-                if whole in _IDS:
-                    found.append((parts[i][0], parts[j][1], _IDS[whole]))
+    They are compared word by word, so a sentence may be broken over any number of lines, with comment marks between. It ends where a
+    sentence, a line or a comment does; of known sentences that overlap, the longer wins."""
+    found, t = [], _Words(text)
+    for i, pair in enumerate(zip(t.words, t.words[1:], strict=False)):
+        for k, words in _KNOWN.get(pair, ()):
+            j = i + len(words) - 1
+            if t.words[i : j + 1] != words or (end := t.right(t.cuts[-1], j)) is None:
+                continue
+            for cuts in t.cuts:
+                a, b = t.left(cuts, i), t.right(cuts, j)
+                if a is not None and b is not None:
+                    found.append((a, b, k))
+            if t.left(t.cuts[-1], i) is None and (len(words) >= _LONG or t.noticed(i)):
+                found.append((t.spans[i][0], end, k))
     found = sorted(set(found), key=lambda f: (f[0] - f[1], f[0], f[2]))
     kept: list[tuple[int, int, str]] = []
     for f in found:  # longest first; kept ones don't overlap, so the neighbours by start are enough

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -473,6 +474,31 @@ def test_licences(spark, text, want):
         assert 0 <= m.start < m.end <= len(text)
 
 
+GPL, ISC = (" ".join(licenses.SENTENCES[k] + "." for k in keys) for keys in (("gpl.free", "gpl.hope"), ("isc.grant",)))
+
+
+@pytest.mark.parametrize(("text", "want"), [(MIT, ["MIT"]), (GPL, ["GPL-3.0-or-later"]), (ISC, ["ISC"]), (licenses.SENTENCES["unlicense.public"] + ".", ["Unlicense"])])
+@pytest.mark.parametrize("mark", ["", " * ", "// ", "dnl "])
+def test_wrapped_licences(text, want, mark):
+    """A header of many lines, straight under a copyright line or after a line that is blank but for its mark, or all on one line."""
+    head = "Copyright (c) 2020 Foo"
+    made = [f"{head} {text}"]
+    for width in (30, 60):
+        lines = textwrap.wrap(text, width)
+        for whole in ([head, *lines], [head, "", *lines], [f"{head} {lines[0]}", *lines[1:]]):
+            made.append("/*\n" + "\n".join(mark + x for x in whole) + "\n */\nint x;")
+    for whole in made:
+        ids = [k for k, _, _ in licenses.sentences(whole)]
+        assert [licenses.RULES[r][0] for r, _, _ in licenses.match_rules(ids)] == want
+
+
+def test_short_licences_inside_a_line():
+    found = lambda text: [k for k, _, _ in licenses.sentences(text)]
+    assert found("int x; /* Licensed under the MIT License */ int y;") == ["mit.short2"]
+    assert found("Copyright (c) 2020 Foo All rights reserved.") == ["rights.reserved"]
+    assert found("It is not so that this is licensed under the MIT License.") == found("Copyright and all rights reserved.") == []
+
+
 @tables
 def test_licences_of_the_table(spark):
     """A plainer reading: lines that are, normalised, a known sentence."""
