@@ -37,6 +37,12 @@ SENTENCES = {
     "rights.reserved": "All rights reserved",
 }
 
+# Fixed values: (identifier, openings, core, last word) of known sentences that name a holder: any words may stand between these pieces.
+NAMED = [
+    ("bsd.names", ("neither",), "may be used to endorse or promote products derived from this software without", "permission"),
+    ("bsd.names", ("the name", "the names"), "may not be used to endorse or promote products derived from this software without", "permission"),
+]
+
 # Fixed values: (licence, family, sequence of sentence identifiers), tried in this order at each sentence.
 RULES = [
     ("Apache-2.0", "permissive", ("apache.header", "apache.copy", "apache.asis", "apache.see")),
@@ -127,11 +133,29 @@ class _Words:
         return bool(_NOTICE.match(self.text, self.cuts[-1][c - 1] if c else 0, self.spans[i][0]))
 
 
+def _named(t: _Words) -> list[tuple[int, int, str]]:
+    """Known sentences with a holder's name: the nearest opening before each core, and the nearest last word after it. They may begin
+    and end anywhere."""
+    found = []
+    for k, openings, core, last in NAMED:
+        core, openings = core.split(" "), [o.split(" ") for o in openings]
+        at = [i for i, pair in enumerate(zip(t.words, t.words[1:], strict=False)) if pair == (core[0], core[1]) and t.words[i : i + len(core)] == core]
+        ends = [i + len(core) for i in at]
+        for i, end, before, after in zip(at, ends, [0, *ends], [*at[1:], len(t.words)], strict=False):  # not into the next core
+            first = next((p for p in range(i - 1, before - 1, -1) if any(t.words[p : p + len(o)] == o for o in openings)), None)
+            j = next((p for p in range(end, after) if t.words[p] == last), None)
+            if first is not None and j is not None:
+                spans = [(t.left(cuts, first), t.right(cuts, j)) for cuts in t.cuts]
+                spans = [(a, b) for a, b in spans if a is not None and b is not None]
+                found.append((*max(spans, key=lambda x: x[1] - x[0], default=(t.spans[first][0], t.spans[j][1])), k))
+    return found
+
+
 def sentences(text: str) -> list[tuple[str, int, int]]:
     """Known sentences of a whole text, in order: (identifier, start, end) in characters.
 
     They are compared word by word, so a sentence may be broken over any number of lines, with comment marks between. It ends where a
-    sentence, a line or a comment does; of known sentences that overlap, the longer wins."""
+    sentence, a line or a comment does; of known sentences that overlap, the longer wins, and any over one with a holder's name between."""
     found, t = [], _Words(text)
     for i, pair in enumerate(zip(t.words, t.words[1:], strict=False)):
         for k, words in _KNOWN.get(pair, ()):
@@ -144,9 +168,9 @@ def sentences(text: str) -> list[tuple[str, int, int]]:
                     found.append((a, b, k))
             if t.left(t.cuts[-1], i) is None and (len(words) >= _LONG or t.noticed(i)):
                 found.append((t.spans[i][0], end, k))
-    found = sorted(set(found), key=lambda f: (f[0] - f[1], f[0], f[2]))
+    longest = lambda x: sorted(set(x), key=lambda f: (f[0] - f[1], f[0], f[2]))
     kept: list[tuple[int, int, str]] = []
-    for f in found:  # longest first; kept ones don't overlap, so the neighbours by start are enough
+    for f in [*longest(found), *longest(_named(t))]:  # kept ones don't overlap, so the neighbours by start are enough
         i = bisect.bisect(kept, f)
         if (i == 0 or kept[i - 1][1] <= f[0]) and (i == len(kept) or f[1] <= kept[i][0]):
             kept.insert(i, f)

@@ -499,6 +499,27 @@ def test_short_licences_inside_a_line():
     assert found("It is not so that this is licensed under the MIT License.") == found("Copyright and all rights reserved.") == []
 
 
+BSD = ". ".join(licenses.SENTENCES[k] for k in ("bsd.grant", "bsd.source", "bsd.binary")) + ". "
+NAMES = licenses.SENTENCES["bsd.names"]
+
+
+@pytest.mark.parametrize(
+    ("clause", "want"),
+    [
+        *((NAMES.replace("the copyright holder", x) + ".", "BSD-3-Clause") for x in ("Google Inc.", "the University of California, Berkeley", "<organization>", "\u682a\u5f0f\u4f1a\u793e", "a " * 50)),
+        ("Neither the names of the copyright holders nor the names of their contributors" + NAMES.split("contributors")[1] + " of Foo", "BSD-3-Clause"),
+        ("The name of the author may not" + NAMES.split(" may")[1] + ".", "BSD-3-Clause"),
+        ("THIS SOFTWARE IS PROVIDED AS IS.", "BSD-2-Clause"), ("Neither is the name of use. The name of Foo may be used with permission.", "BSD-2-Clause"), ("", "BSD-2-Clause"),
+    ],
+)
+def test_bsd_with_a_holders_name(clause, want):
+    for text in (BSD + clause, " * " + "\n * ".join(textwrap.wrap(BSD + clause, 40)), f"{BSD}{clause} More.\n\n{BSD}{clause}"):
+        got = licenses.sentences(text)
+        hits = licenses.match_rules([k for k, _, _ in got])
+        assert {licenses.RULES[r][0] for r, _, _ in hits} == {want}
+        assert all(0 <= a < b <= len(text) for _, a, b in got) and all(x[2] <= y[1] for x, y in zip(got, got[1:], strict=False))
+
+
 @tables
 def test_licences_of_the_table(spark):
     """A plainer reading: lines that are, normalised, a known sentence."""
