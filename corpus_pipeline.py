@@ -29,12 +29,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of near-duplicates (five words, 80 %)."""
+    """Keeps one row of each group of near-duplicates (five words, 80 %): that of the least doc_id, a null one last, and the least hash.
+
+    Rows are told apart by all their columns, so that rows of one doc_id, or of none, with different texts are different documents."""
     docs = docs.select(COLUMNS)
-    kept = minhash.near_duplicates(docs, "doc_id").filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64(*COLUMNS))
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return left.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(COLUMNS)
+    nulls = F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in COLUMNS))  # hashes leave nulls out
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(nulls, *COLUMNS).alias("h2"))
+    docs = docs.withColumn("_row", row)
+    kept = minhash.near_duplicates(docs, "_row").filter("kept").select("_row").distinct()
+    one = Window.partitionBy("_row").orderBy("_row")
+    return docs.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

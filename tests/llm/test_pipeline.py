@@ -46,6 +46,20 @@ def test_stages(spark):
     assert pieces.count() == out.count()
 
 
+def test_near_dedup_by_row(spark):
+    """Rows that share a doc_id, or have none, are documents of their own; rows that are repeated are one."""
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [
+        (1, text("a")), (2, text("a") + " more"), (2, text("b")), (2, text("b")), (3, text("c")), (3, text("d")),
+        (None, text("a")), (None, text("e")), (None, text("e") + " more"), (None, text("e")), (None, text("f")), (4, ""), (4, ""), (4, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.minhash_near_dedup(spark, docs.repartition(3), SF).collect()]
+    (e,) = [x for x in got if x[0] is None and x[1].startswith("e")]
+    assert e in rows
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], e, (None, text("f")), (4, ""), (4, None)]))
+
+
 @pytest.mark.parametrize("make", [awkward, empty])
 def test_awkward_documents(spark, make, tmp_path):
     docs = make(spark).withColumn("key", F.lit(1)).withColumn("rid", F.lit("x")).withColumn("size", F.lit(2))
