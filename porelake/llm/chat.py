@@ -10,7 +10,7 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Written after a character that would start a control string in a text, and after itself.
 ESC = "␛"
 #: Where a control string starts: this module's own marks and those of other common templates.
-_STARTS = rf"(\x{{241b}}|<(?=\||/?s>|/?(?:image|audio|document|bos|eos|pad|unk)\b)|\[(?=/?(?:INST|SYS|TOOL|AVAILABLE|IMG))|<(?=</?SYS>>))"
+_STARTS = r"(\x{241b}|<(?=\||/?s>|/?(?:image|audio|document|bos|eos|pad|unk)\b)|\[(?=/?(?:INST|SYS|TOOL|AVAILABLE|IMG))|<(?=</?SYS>>))"
 _STARTED = r"([\x{241b}<\[])\x{241b}"
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -44,13 +44,16 @@ def _is_media(part: Column) -> Column:
 
 def visit_parts(parts: Column) -> Column:
     """array<PART> -> its content: escaped texts, and for the n-th image, audio or document part `<|type:n|>` with n from 0 over
-    the array. Parts of another or no type are read as text; null parts and null arrays give nothing."""
+    the array. Parts of another or no type are read as text; null parts and null arrays give nothing. Texts that stand side by side
+    are escaped as one, so that no control string forms where they meet."""
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    step = lambda acc, p: F.struct(
-        F.concat(acc["out"], F.when(_is_media(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), acc["n"].cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))).alias("out"),
-        (acc["n"] + F.when(_is_media(p), 1).otherwise(0)).cast("int").alias("n"),
-    )
-    return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).cast("int").alias("n")), step, lambda acc: acc["out"])
+    mark = lambda p, n: F.concat(F.lit("<|"), p["type"], F.lit(":"), n.cast("string"), F.lit("|>"))
+    step = lambda acc, p: F.when(
+        _is_media(p),
+        F.struct(F.concat(acc["out"], escape(acc["text"]), mark(p, acc["n"])).alias("out"), F.lit("").alias("text"), (acc["n"] + 1).alias("n")),
+    ).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["text"], F.coalesce(p["text"], F.lit(""))).alias("text"), acc["n"].alias("n")))
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("text"), F.lit(0).alias("n"))
+    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], escape(acc["text"])))
 
 
 def attachments(parts: Column) -> Column:

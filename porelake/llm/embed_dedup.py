@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, spread, stash
-from .vectors import finite, grouped, in_cells, matrix
+from .common import connected_components, lookup, spread, stash, unstash
+from .vectors import as_bytes, finite, grouped, in_cells
 
 _TILE = 1024
 
@@ -55,12 +55,12 @@ def tile_links(a, b, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarr
     return i[sure], j[sure], len(at)
 
 
-def _cells(threshold: float):
+def _cells(threshold: float, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (g, h), rows in grouped(batches, ["g", "h"]):
+        for (_, g, h), rows in grouped(batches, ["d", "g", "h"]):
             own = rows.column("own").to_numpy()
             ids = rows.column("rid").to_numpy()
-            all_ = quantise(matrix(rows.column("x").combine_chunks()))
+            all_ = quantise(np.frombuffer(b"".join(rows.column("x").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
             left = np.flatnonzero(own == g)
             right = left if g == h else np.flatnonzero(own == h)
             count, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -89,34 +89,38 @@ def _cells(threshold: float):
 
 def near_duplicates(vectors: DataFrame, key: str, column: str, threshold: float = 0.9, cell: int = 8192) -> DataFrame:
     """vectors(key, column array<float or double>) -> key, n_links (other rows whose cosine with it is >= threshold), component_id
-    (least key reachable by links), kept (key = component_id).
+    (least key reachable by links, a null one last), kept (key = component_id; of a component whose keys are all null, one row).
 
     Every pair of rows is compared, whatever their other columns. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing; of several lengths, those of one length are compared with each other. Rows that are repeated
-    are vectors of their own. An empty table gives no rows. A cell's task holds about 2 * cell vectors, and each vector is sent
-    to (rows / cell) cells: all pairs cost what they cost, but no task and no row grows with the data."""
-    rows = vectors.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("rid"))
-    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    are vectors of their own. An empty table gives no rows; other columns are not read.
+
+    A cell's task holds about 2 * cell vectors, and each vector is sent to (rows / cell) cells, in the bytes of its own type (floats: 4
+    a component), from which the task makes codes; codes alone would not do, as the pairs that they leave in doubt may be all
+    pairs of a cluster. All pairs cost what they cost, but no task and no row grows with the data."""
+    single = vectors.schema[column].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("x"), F.monotonically_increasing_id().alias("rid"))
+    norm = F.aggregate(F.col("x").cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v)
     rows = rows.withColumn("ok", finite(F.col("x"))).withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), norm) > 0, F.lit(False)))
-    rows = stash(rows.withColumn("x", F.when(F.col("ok"), F.col("x"))).withColumn("d", F.when(F.col("ok"), F.size("x"))), "vectors")
+    rows = rows.select("key", "rid", "ok", F.when(F.col("ok"), F.size("x")).alias("d"), F.when(F.col("ok"), F.col("x")).alias("x"))
+    kinds = f"key {vectors.schema[key].dataType.simpleString()}, rid long, ok boolean, d int, x binary"
+    rows = stash(rows.mapInArrow(as_bytes("x", "<f4" if single else "<f8"), kinds), "vectors")
     n = rows.filter("ok").count()
     groups = spread(n, cell)
-    own = rows.filter("ok").select("rid", "x", "d", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int").alias("own0"))
-    lengths = sorted(r[0] for r in own.select("d").distinct().collect())
-    place = F.create_map(*(F.lit(v) for i, d in enumerate(lengths) for v in (d, i * groups))) if lengths else None
-    if lengths:
-        own = own.withColumn("base", place[F.col("d")]).withColumn("own", F.col("base") + F.col("own0"))
-        others = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least("own", F.col("base") + o).alias("g"), F.greatest("own", F.col("base") + o).alias("h")))
-        dealt = own.select("rid", "x", "own", F.explode(others).alias("c")).select("rid", "x", "own", "c.g", "c.h")
-        cells = groups * (groups + 1) // 2 * len(lengths)
-        found = stash(in_cells(dealt, ["g", "h"], max(1, min(cells * 2, 100_000))).mapInArrow(_cells(threshold), "u long, v long, links long"), "vector-links")
-        roots = connected_components(found.select("u", "v"), "vector-cc")
-        links = found.groupBy("u").agg(F.sum("links").alias("n_links")).withColumnRenamed("u", "rid")
-    else:
-        roots = rows.select(F.col("rid").alias("node"), F.col("rid").alias("root")).limit(0)
-        links = rows.select("rid", F.lit(0).cast("long").alias("n_links")).limit(0)
+    own = rows.filter("ok").select("rid", "x", "d", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int").alias("own"))
+    # a cell is a pair of groups of vectors of one length
+    others = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least("own", o).alias("g"), F.greatest("own", o).alias("h")))
+    dealt = own.select("rid", "x", "own", "d", F.explode(others).alias("c")).select("rid", "x", "own", "d", "c.g", "c.h")
+    cells = in_cells(dealt, ["d", "g", "h"], max(1, min(groups * (groups + 1), 100_000)))
+    found = stash(cells.mapInArrow(_cells(threshold, np.dtype("<f4" if single else "<f8")), "u long, v long, links long"), "vector-links")
+    roots = connected_components(found.select("u", "v"), "vector-cc")
+    links = found.groupBy("u").agg(F.sum("links").alias("n_links")).withColumnRenamed("u", "rid")
     out = rows.select("rid", "key").join(links, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-    out = out.withColumn("root", F.coalesce("root", "rid"))
-    least = out.filter("n_links > 0").groupBy("root").agg(F.min("key").alias("_least"))
-    out = out.join(least, "root", "left").withColumn("component_id", F.coalesce("_least", "key"))
-    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = stash(out.withColumn("root", F.coalesce("root", "rid")), "vector-roots")
+    unstash(found)
+    # of each component the row of the least key, a null one last
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("x")
+    least = out.groupBy("root").agg(first).select("root", F.col("x.key").alias("component_id"), F.col("x.rid").alias("_first"))
+    out = lookup(out, least, "root", n)
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.col("rid") == F.col("_first"))
+    return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", kept.alias("kept"))

@@ -10,9 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keyed, schema, text_of
+
 DIM = 1 << 13
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -51,16 +53,21 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "x": [features(t).astype(np.float16).tobytes() for t in x["text"]]})
 
 
-def fit(train: DataFrame, per_lang: int = 400, steps: int = 150) -> dict:
-    """train(text, lang), without nulls -> the model. Learns from at most about per_lang texts of each language, those with the least
-    hash; the number of languages is bounded by what can be a label."""
-    counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
-    langs = sorted(counts, key=lambda s: s.encode())
+def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int = 150) -> dict:
+    """train(text, lang), without nulls -> the model. Learns from at most per_lang distinct texts of each of the max_langs languages
+    of most distinct texts (all, where there are fewer): those with the least hash. A text that stands in many rows counts once, so
+    copies neither fill the sample nor make it larger."""
+    hashed = train.select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    langs = sorted((r.lang for r in counts), key=lambda s: s.encode())
     if not langs:
         return {"langs": []}
-    share = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, per_lang / counts[k]))))
-    hashed = train.withColumn("h", F.xxhash64("text", F.lit(17))).filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    got = hashed.select("lang", "text", "h").mapInPandas(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    # half as many again as are wanted, in expectation; then the least
+    shares = train.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * per_lang / r.n)) for r in counts], "lang string, share double")
+    some = hashed.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    least = some.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("_r", rank).filter(F.col("_r") <= per_lang)
+    got = least.select("lang", "text", "h").mapInPandas(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
     if not got.num_rows:
         return {"langs": []}
     x = np.stack([np.frombuffer(b.as_buffer(), np.float16) for b in got["x"]]).astype(np.float32)
@@ -77,7 +84,7 @@ def fit(train: DataFrame, per_lang: int = 400, steps: int = 150) -> dict:
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         bias -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
     right = (weight * (y * (x @ w + bias) > 0)).sum(0)  # a bit that was learnt no better than by chance doesn't count
-    return {"langs": langs, "w": w, "bias": bias, "code": code, "bit": np.clip(2 * right - 1, 0.02, 1).astype(np.float32)}
+    return {"langs": langs, "rows": len(x), "w": w, "bias": bias, "code": code, "bit": np.clip(2 * right - 1, 0.02, 1).astype(np.float32)}
 
 
 def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,11 +96,11 @@ def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return best, p[np.arange(n), best] / p.sum(1), (least[:, 1] - least[:, 0]) / model["bit"].sum()
 
 
-def _predict(model: dict, margin: float, keys: list[str]):
+def _predict(model: dict, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                texts = batch.column("text")[lo : lo + 256].to_pylist()
+                texts = text_of(batch)[lo : lo + 256].to_pylist()
                 lang, score, ambiguous = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model["langs"] else []
                 if at:
@@ -101,15 +108,16 @@ def _predict(model: dict, margin: float, keys: list[str]):
                     best, p, gap = decode(model, x @ model["w"] + model["bias"])
                     for i, b, q, d in zip(at, best, p, gap, strict=True):
                         lang[i], score[i], ambiguous[i] = model["langs"][b], q, d < margin
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo : lo + 256] for k in keys), pa.array(lang), pa.array(score), pa.array(ambiguous)], [*keys, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo : lo + 256], pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], ["key", "lang_pred", "score", "ambiguous"])
 
     return run
 
 
 def predict(docs: DataFrame, model: dict, keys: list[str], margin: float = 0.02) -> DataFrame:
-    """docs(keys, text) -> keys, lang_pred, score, ambiguous (the next language's mean loss a bit is within margin of the best's).
+    """docs(keys, text) -> key (a struct of the keys, whose names may be any), lang_pred, score, ambiguous (the next language's mean loss
+    a bit is within margin of the best's).
 
     Reads whole texts and nothing else. A text that is null or has no letter, or any text if nothing could be learnt: `und`, 0, not
     ambiguous. Repeated rows stay; an empty table gives no rows."""
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(_predict(model, margin, keys), f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    rows = keyed(docs, keys)
+    return rows.mapInArrow(_predict(model, margin), schema("key int, lang_pred string, score double, ambiguous boolean", key=rows.schema["key"].dataType))

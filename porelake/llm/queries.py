@@ -17,12 +17,12 @@ def ranks_path() -> str:
 
 
 def pack_documents(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Packing with the public byte-level vocabulary, whose ids need two bytes at rest."""
-    return packing.pack(docs, keys, 1024, packing.byte_bpe_path(), ranks_path(), wide=False, **_END)
+    """The sequences of packing with the public byte-level vocabulary, whose ids need two bytes at rest."""
+    return packing.sequences(docs, keys, 1024, packing.byte_bpe_path(), ranks_path(), wide=False, **_END)
 
 
-def digested(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+def digested(packed: DataFrame) -> DataFrame:
+    return packing.pieces(packed).select("key.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
 
 
 def op1_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +52,12 @@ def op5_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"]).select("key.*", "lang_pred", "score", "ambiguous")
 
 
 def op6_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return quality.grade(docs, quality.fit(docs, quality.graded(read(spark, sf_dir, "labels"))), ["doc_id"])
+    return quality.grade(docs, quality.fit(docs, quality.graded(read(spark, sf_dir, "labels"))), ["doc_id"]).select("key.doc_id", "expected_grade", "tail", "selected")
 
 
 def op7_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +79,13 @@ def op8_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"])
+    return licenses.scan(read(spark, sf_dir, "documents"), ["doc_id"]).select("key.doc_id", "sentence_ids", "licences", "families", "matches")
 
 
 def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, spans = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     taken = spans.groupBy("rid").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, "rid", "left").select("doc.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix)}

@@ -15,6 +15,20 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(x) > 0) & ~bad, F.lit(False))
 
 
+def as_bytes(name: str, kind: str):
+    """For mapInArrow: turns the column `name` of vectors into their components' bytes; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, x = batch.schema.names.index(name), batch.column(name)
+            # components are all there, as finite() has it
+            flat, ends = x.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.set_column(i, name, pa.array([flat[e - n : e].tobytes() if ok else None for e, n, ok in zip(ends, np.diff(ends, prepend=0), there, strict=True)], pa.binary()))
+
+    return run
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A batch's column of vectors of one length -> float64[n, d]."""
     flat = column.flatten().to_numpy(zero_copy_only=False)

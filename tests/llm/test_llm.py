@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porelake.llm import chat, common, embed_dedup, langid, licenses, minhash, mixing, packing, quality, queries, sharding, topk
+from porelake.llm import chat, common, embed_dedup, langid, licenses, minhash, mixing, packing, quality, queries, sharding, topk, words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,7 +74,7 @@ def test_components(spark):
 
 
 def check_packed(rows, docs, window):
-    """rows: doc_id, start, length, n, sequence_id, offset, ids."""
+    """rows: key, start, length, n, sequence_id, offset, ids."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.byte_bpe_path())
@@ -95,7 +95,7 @@ def check_packed(rows, docs, window):
         ids += np.frombuffer(r.ids, "<u4").tolist()
         at += r.length
         if at == r.n:
-            got[r.doc_id, tuple(ids)] += 1
+            got[r.key.doc_id, tuple(ids)] += 1
             at, ids = 0, []
     assert got == want and at == 0
 
@@ -103,28 +103,49 @@ def check_packed(rows, docs, window):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_packing(spark, parts):
     docs = awkward(spark).repartition(parts)
-    pieces = packing.pack(docs, ["doc_id"], 64, ranks=queries.ranks_path(), special=(("<|endoftext|>", 50256),))
-    check_packed(pieces.collect(), docs.collect(), 64)
-    seqs = packing.sequences(pieces, 64).collect()
-    assert all(len(s.ids) == 256 for s in seqs) and sum(s.n_ids < 64 for s in seqs) <= 1
-    assert packing.pack(empty(spark), ["doc_id"], 64).count() == 0
+    packed = packing.sequences(docs, ["doc_id"], 64, ranks=queries.ranks_path(), special=(("<|endoftext|>", 50256),))
+    rows = packing.pieces(packed).collect()
+    check_packed(rows, docs.collect(), 64)
+    seqs = {s.sequence_id: s for s in packing.padded(packed, 64, 9).collect()}
+    assert all(len(s.ids) == 256 for s in seqs.values()) and sum(s.n_ids < 64 for s in seqs.values()) <= 1
+    for s, x in seqs.items():
+        ids = b"".join(r.ids for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset))
+        assert x.ids == ids + bytes([9, 0, 0, 0]) * (64 - x.n_ids)
+    assert packing.sequences(empty(spark), ["doc_id"], 64).count() == 0
+
+
+def test_packing_shuffles_boundary_records_alone(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), "id"), 20).alias("text")).repartition(4)
+    packed = packing.sequences(docs, ["doc_id"], 64)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Filter (isnotnull(n_ids" in plan
+    cut = spark.read.parquet(re.search(r"(\S*/windows-\w+)", packed.inputFiles()[0])[1])
+    assert cut.filter("n_ids < 64").count() <= 2 * 4 * 2 < cut.filter("n_ids = 64").count() / 20
+
+
+def test_packing_keys_of_any_name(spark):
+    names = ["n", "part", "at", "ids", "key", "offset", "a.b"]
+    docs = awkward(spark).select("text", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    got = packing.pieces(packing.sequences(docs, names, 64)).select("key.*", "sequence_id").collect()
+    assert {tuple(r)[:7] for r in got} == {tuple(range(7))}
 
 
 @tables
 def test_packing_documents(spark):
-    check_packed(queries.pack_documents(documents(spark), ["doc_id"]).collect(), documents(spark).collect(), 1024)
+    check_packed(packing.pieces(queries.pack_documents(documents(spark), ["doc_id"])).collect(), documents(spark).collect(), 1024)
     r = queries.op1_concat_cut(spark, SF).first()
     assert set(r.asDict()) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
 
 
 def test_both_tokenisers_agree():
+    """On each code point up to the bound, in words, between spaces and beside digits; the slow tokeniser takes many texts at once."""
     from tokenizers import Tokenizer
 
     tok, fast = Tokenizer.from_file(packing.byte_bpe_path()), packing._encoder(packing.byte_bpe_path(), queries.ranks_path(), (("<|endoftext|>", 50256),))
-    for c in [*range(0x20, 0x3000, 7), *range(0x3000, 0x20000, 101), 0x1C, 0x85, 0xA0, 0x180E, 0x200B]:
-        if not 0xD800 <= c < 0xE000:
-            x = f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}9{chr(c)}!  {chr(c)}\n"
-            assert tok.encode(x, add_special_tokens=False).ids == fast(x), hex(c)
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}9{chr(c)}!  {chr(c)}\n" for c in range(packing._ALIKE + 1) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(texts), 20_000):
+        for x, t in zip(texts[lo : lo + 20_000], tok.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False), strict=True):
+            assert t.ids == fast(x), x
 
 
 # --- 2 sharding
@@ -150,9 +171,84 @@ def test_shards_of_equal_rows(spark):
     d = spark.range(4800).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"), F.lit("x").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     n = [r["count"] for r in sharding.shard_documents(d, 24).groupBy("shard").count().collect()]
     assert len(n) == 24 and max(n) - min(n) <= 4
-    assert sharding.shard_documents(d, None, 12 * 480).agg(F.countDistinct("shard")).first()[0] == 10
     assert sharding.shard_documents(empty(spark)).count() == 0
-    assert sharding.shard_documents(awkward(spark), 3).count() == 14
+    assert sharding.shard_documents(awkward(spark).withColumn("w", F.lit(1)).withColumn("row", F.lit(1)), 3).count() == 14
+
+
+def test_shards_of_repeated_rows(spark):
+    """Rows that are wholly equal are dealt out as well, and have slots of their own."""
+    d = spark.range(600).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 400, "0123456").otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("x").alias("lang"), F.lit("s").alias("source"))
+    got = sharding.shard_documents(d, 4).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 600 and max(sizes.values()) - min(sizes.values()) <= 40
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_equal_texts_stand_together(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), (F.col("id") % 1997).cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 5).cast("string")).alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
+    got = sharding.shard_documents(d, 8, together=16).collect()
+    of = collections.defaultdict(set)
+    for r in got:
+        of[r.text_crc32].add(r.shard)
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert all(len(v) == 1 for v in of.values()) and max(sizes.values()) - min(sizes.values()) < 0.02 * min(sizes.values())
+
+
+def plain_kd(keys, w, heavy, n):
+    """A plain k-d tree with exact medians: each row's shard, numbered from the left."""
+    bits = sharding._BITS
+
+    def width(k, w):
+        sums = np.cumsum(w[np.argsort(k, kind="stable")])
+        k = np.sort(k) >> (bits - 12)
+        return int(k[np.searchsorted(sums * 10, sums[-1] * 9, "right")] - k[np.searchsorted(sums * 10, sums[-1], "right")]) if len(k) else 0
+
+    def cut(k, w, target):
+        """The key below which the weight is nearest to target, the lower of two."""
+        order = np.argsort(k, kind="stable")
+        best = None
+        for key in [*sorted(set(k[order].tolist())), None]:
+            below = int(w[k < key].sum()) if key is not None else int(w.sum())
+            if best is None or abs(below - target) < best[0]:
+                best = (abs(below - target), key, below)
+        return best[1:]
+
+    def split(rows, n, first):
+        if n == 1:
+            out[rows] = first
+            return
+        light, big = rows[~heavy[rows]], rows[heavy[rows]]
+        widths = [width(keys[light, i], w[light]) for i in range(keys.shape[1])]
+        k, share = keys[:, widths.index(max(widths))], n // 2 / n
+        at_big, got = cut(k[big], w[big], w[big].sum() * share)
+        at, _ = cut(k[light], w[light], w[rows].sum() * share - got)
+        goes = np.where(heavy[rows], True if at_big is None else k[rows] < (at_big or 0), True if at is None else k[rows] < (at or 0))
+        split(rows[goes], n // 2, first)
+        split(rows[~goes], n - n // 2, first + n // 2)
+
+    out = np.zeros(len(w), int)
+    split(np.arange(len(w)), n, 0)
+    return out
+
+
+def test_tree_like_a_plain_one(spark):
+    rng = np.random.default_rng(9)
+    n = 700
+    pts = [(i, int(w), float(a), float(b), int(t), int(i)) for i, (w, a, b, t) in enumerate(zip(rng.integers(1, 100, n) * np.where(rng.random(n) < 0.02, 60, 1), rng.normal(size=n), rng.integers(0, 3, n), rng.integers(0, 1 << 40, n), strict=True))]
+    df = spark.createDataFrame(pts, "id long, w long, a double, b double, t long, r long")
+    keyed = sharding._keyed(df.withColumn("heavy", F.lit(False)), ["a", "b"], "t", "r").orderBy("id").toPandas()
+    for shards in (5, 8):
+        got, _ = sharding.kd_shards(df.repartition(3), ["a", "b"], "t", "r", shards, tolerance=0)
+        w = keyed["w"].to_numpy()
+        want = plain_kd(keyed[["k0", "k1"]].to_numpy(), w, w * 64 * shards > w.sum(), shards)
+        assert [r.shard for r in got.orderBy("id").collect()] == want.tolist()
+    one, _ = sharding.kd_shards(df, ["a", "b"], "t", "r", target_bytes=sum(p[1] for p in pts) // 10 + 1)
+    assert one.agg(F.countDistinct("shard")).first()[0] == 10
 
 
 # --- 3 near-duplicate vectors
@@ -281,10 +377,48 @@ def test_one_wrong_bit_is_corrected():
     assert gap[0] < 1e-6
 
 
+@tables
+def test_language_id_like_a_plain_one(spark):
+    """Each text alone: counts of byte n-grams in a dictionary, each language's loss in a loop."""
+    docs = documents(spark)
+    model = langid.fit(docs.filter("lang is not null and text is not null"), per_lang=30)
+
+    def place(gram):
+        b = [int(langid._PLAIN[x]) for x in gram]
+        m = (1 << 32) - 1
+        two = lambda p, q: (q * 0x85EBCA77 & m) ^ ((p + 7) * 0xC2B2AE3D & m)
+        h = (b[0] * 0x9E3779B1 & m) if len(b) == 1 else two(*b) if len(b) == 2 else (two(b[1], b[2]) * 5 & m) ^ ((b[0] + 3) * 0x27D4EB2F & m)
+        return ((h ^ h >> 15) * 0x2C1B3C6D & m) >> 19
+
+    got = {r.key.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for d in docs.orderBy("doc_id").limit(60).collect():
+        if not d.text or not any(c.isalpha() for c in d.text):
+            assert got[d.doc_id].lang_pred == "und"
+            continue
+        raw = b" " + d.text.lower().encode() + b" "
+        grams = collections.Counter(raw[i : i + n].translate(bytes(langid._PLAIN.astype(np.uint8))) for n in (1, 2, 3) for i in range(len(raw) - n + 1))
+        x = collections.Counter()
+        for g, n in grams.items():
+            x[place(g)] += n
+        length = np.sqrt(sum(x.values()))
+        margins = model["bias"] + sum(np.sqrt(n) / length * model["w"][i].astype(float) for i, n in x.items())
+        loss = [sum(w * np.log1p(np.exp(-c * m)) for w, c, m in zip(model["bit"], code, margins, strict=True)) for code in model["code"]]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert got[d.doc_id].lang_pred == model["langs"][int(np.argmin(loss))] and np.isclose(got[d.doc_id].score, p.max(), atol=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    """One text that stands 5,000 times counts once, and the others of its language are learnt from."""
+    rows = spark.range(5000).select(F.lit("immer derselbe satz").alias("text"), F.lit("de").alias("lang"))
+    rows = rows.unionByName(spark.range(900).select(F.concat(F.lit("satz nummer "), "id").alias("text"), F.lit("de").alias("lang"))).unionByName(spark.range(7).select(F.concat(F.lit("sentence "), "id").alias("text"), F.lit("en").alias("lang")))
+    assert langid.fit(rows, per_lang=100)["rows"] == 107
+    assert langid.fit(rows, per_lang=100, max_langs=1)["langs"] == ["de"]
+
+
 def test_language_id_awkward(spark):
     d = awkward(spark)
     model = langid.fit(d.filter("lang is not null and text is not null"))
-    got = {r.doc_id: r.lang_pred for r in langid.predict(d, model, ["doc_id"]).collect()}
+    got = {r.key.doc_id: r.lang_pred for r in langid.predict(d, model, ["doc_id"]).collect()}
     assert {got[i] for i in (3, 4, 5, 11)} == {"und"} and got[1] in ("en", "fr", "de")
     assert {r.lang_pred for r in langid.predict(d, langid.fit(empty(spark)), ["doc_id"]).collect()} == {"und"}
     assert langid.predict(empty(spark), model, ["doc_id"]).count() == 0
@@ -298,13 +432,70 @@ def test_quality_held_out(spark):
     """Fitted on the rows of even doc_id of a larger table, the classifier sorts those of odd doc_id."""
     sf = SF.replace("0.001", "0.1")
     docs, grades = common.read(spark, sf, "documents"), quality.graded(common.read(spark, sf, "labels"))
-    got = quality.grade(docs, quality.fit(docs, grades.filter("doc_id % 2 = 0")), ["doc_id"]).join(grades, "doc_id").filter("doc_id % 2 = 1").collect()
+    got = quality.grade(docs, quality.fit(docs, grades.filter("doc_id % 2 = 0")), ["doc_id"]).select("key.doc_id", "expected_grade", "selected").join(grades, "doc_id").filter("doc_id % 2 = 1").collect()
     kept = {g: [r.selected for r in got if r.grade == g] for g in range(3)}
     assert np.mean(kept[0]) < 0.02 and np.mean(kept[1]) < 0.25 and np.mean(kept[2]) > 0.98
     means = [np.mean([r.expected_grade for r in got if r.grade == g]) for g in range(3)]
     assert means == sorted(means)
 
 
+def plain_features(text):
+    """The same in plain Python, a text and a word at a time."""
+    place = lambda salt, x: int(quality._place(salt, np.array([x], np.uint64))[0])
+    hasher = words.Hasher()
+
+    def hashed(b):
+        raw = np.frombuffer(b + b" ", np.uint8)
+        return int(hasher.spans(hasher.sums(raw), np.array([0]), np.array([len(b)]))[0])
+
+    found = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    low = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").lower().encode())
+    if not found:
+        return [quality.EMPTY]
+    out, shapes = {place(30, 8 * len(set(found)) // len(found))}, collections.Counter()
+    for w, v in zip(found, low, strict=True):
+        four = [w[0], *(w[-i] if i <= len(w) else None for i in (3, 2, 1))]
+        classes = []
+        for b in four:
+            c = int(quality._CLASS[b]) if b is not None else classes[-1]
+            if not classes or classes[-1] != c:
+                classes.append(c)
+        code = 0
+        for c in classes:
+            code = code * 512 + c
+        shapes[code] += 1
+        v = re.sub(rb"^[^\x80-\xff\w]+|[^\x80-\xff\w]+$", b"", v)
+        out.add(place(1, hashed(v)))
+        out |= {place(k, hashed(v[:k])) for k in (4, 5) if len(v) > k}
+    for code, n in shapes.items():
+        out |= {place(10 + j, code) for j in range(min(8, int(np.log2(len(found) / n))), 9)}
+    return sorted(out)
+
+
+@tables
+def test_quality_like_a_plain_one(spark):
+    docs = documents(spark)
+    model = quality.fit(docs, quality.graded(common.read(spark, SF, "labels")))
+    got = {r.key.doc_id: r for r in quality.grade(docs, model, ["doc_id"]).collect()}
+    some = [*docs.orderBy("doc_id").limit(80).collect(), *(r for r in awkward(spark).collect() if r.doc_id in (4, 5, 10, 11))]
+    coded = [(r.text or "").encode() for r in some]
+    f, begin = quality.features(coded, [(r.text or "").lower().encode() for r in some], words.Hasher())
+    for i, d in enumerate(some):
+        want = plain_features(d.text)
+        assert f[begin[i] : begin[i + 1]].tolist() == want
+        known = [x for x in want if model["known"][x]]
+        p = [1 / (1 + np.exp(-(sum(float(model["w"][x]) for x in known) / np.sqrt(max(len(known), 1)) - c))) for c in model["cuts"]]
+        if i < 80:
+            assert np.isclose(got[d.doc_id].expected_grade, sum(p)) and np.isclose(got[d.doc_id].tail, p[1]) and got[d.doc_id].selected == (got[d.doc_id].tail >= 0.5)
+
+
+def test_quality_sample_is_bounded(spark):
+    """A graded doc_id that stands in many rows."""
+    d = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    grades = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("grade"))
+    assert quality.fit(d, grades, max_rows=50, steps=2)["rows"] == 50
+
+
 def test_quality_awkward(spark):
     d = awkward(spark)
     grades = spark.createDataFrame([(1, 2), (3, 0), (8, 0), (6, 2), (2, None), (None, 1)], "doc_id long, grade int")
@@ -444,11 +635,13 @@ def test_near_documents_awkward(spark):
 
 
 def test_shingle_hashes():
-    t = minhash._Tables()
-    for text in ("A b\tc", "a B c", "x" * 70_000 + " b c", "", None, "one", "é a b c c c c"):
-        for k in (1, 2, 5):
-            assert len(minhash.shingles(text, k, t)) == len(shingle_sets([text], k)[0])
-    assert (minhash.shingles("A b c", 2, t) == minhash.shingles(" a\nB  c", 2, t)).all()
+    h, texts = words.Hasher(), ["A b\tc", "a B c", "x" * 70_000 + " b c", "", None, "one", "é a b c c c c", " \n ", "a b c a b c"]
+    for k in (1, 2, 5):
+        flat, begin = minhash.shingles([words.encoded(t) for t in texts], k, h)
+        assert np.diff(begin).tolist() == [len(s) for s in shingle_sets(texts, k)]
+        alone = [minhash.shingles([words.encoded(t)], k, h)[0].tolist() for t in texts]
+        assert [flat[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == alone and alone[0] == alone[1]
+    assert [list(words.chunks([b"x" * n for n in sizes], 10)) for sizes in ([], [3, 3, 30, 4, 6, 1])] == [[], [(0, 2), (2, 3), (3, 5), (5, 6)]]
 
 
 # --- 9 licences
@@ -465,6 +658,11 @@ MIT = " ".join(licenses.SENTENCES[k] + "." for k in ("mit.grant", "mit.notice",
         (licenses.SENTENCES["gpl.free"] + ".\n\n" + licenses.SENTENCES["gpl.hope"] + ".", ["GPL-3.0-or-later"]), ("Licensed under the Apache License, Version 2.0 or later.", []),
         (". ".join(licenses.SENTENCES[k] for k in ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names")) + ".", ["BSD-3-Clause"]),
         (". ".join(licenses.SENTENCES[k] for k in ("bsd.grant", "bsd.binary", "bsd.source")) + ".", []),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;", ["Apache-2.0", "MIT"]), ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", ["GPL-2.0-only WITH Linux-syscall-note"]),
+        ("SPDX-License-Identifier: none", []), ("Released under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("Licensed under zlib License", ["Zlib"]),
+        (f"{licenses.SENTENCES['bsd.grant']}. {'word ' * 5000}. {licenses.SENTENCES['bsd.source']}.", []),
+        (f"{licenses.SENTENCES['apache.header']}. {'word ' * 5000}. {licenses.SENTENCES['apache.copy']}.", ["Apache-2.0"]),
+        (f"{licenses.SENTENCES['gpl2.free']}. {licenses.SENTENCES['gpl.hope']}. {licenses.SENTENCES['classpath.link']}.", ["GPL-2.0-or-later WITH Classpath-exception-2.0"]),
     ],
 )
 def test_licences(spark, text, want):
@@ -488,13 +686,12 @@ def test_wrapped_licences(text, want, mark):
         for whole in ([head, *lines], [head, "", *lines], [f"{head} {lines[0]}", *lines[1:]]):
             made.append("/*\n" + "\n".join(mark + x for x in whole) + "\n */\nint x;")
     for whole in made:
-        ids = [k for k, _, _ in licenses.sentences(whole)]
-        assert [licenses.RULES[r][0] for r, _, _ in licenses.match_rules(ids)] == want
+        assert [licenses.RULES[r][0] for r, _, _ in licenses.match_rules(licenses.sentences(whole))] == want
 
 
 def test_short_licences_inside_a_line():
     found = lambda text: [k for k, _, _ in licenses.sentences(text)]
-    assert found("int x; /* Licensed under the MIT License */ int y;") == ["mit.short2"]
+    assert found("int x; /* Licensed under the MIT License */ int y;") == ["MIT.named0.0t"]
     assert found("Copyright (c) 2020 Foo All rights reserved.") == ["rights.reserved"]
     assert found("It is not so that this is licensed under the MIT License.") == found("Copyright and all rights reserved.") == []
 
@@ -515,25 +712,39 @@ NAMES = licenses.SENTENCES["bsd.names"]
 def test_bsd_with_a_holders_name(clause, want):
     for text in (BSD + clause, " * " + "\n * ".join(textwrap.wrap(BSD + clause, 40)), f"{BSD}{clause} More.\n\n{BSD}{clause}"):
         got = licenses.sentences(text)
-        hits = licenses.match_rules([k for k, _, _ in got])
+        hits = licenses.match_rules(got)
         assert {licenses.RULES[r][0] for r, _, _ in hits} == {want}
         assert all(0 <= a < b <= len(text) for _, a, b in got) and all(x[2] <= y[1] for x, y in zip(got, got[1:], strict=False))
 
 
 @tables
 def test_licences_of_the_table(spark):
-    """A plainer reading: lines that are, normalised, a known sentence."""
-    got = {r.doc_id: set(r.sentence_ids) for r in queries.op9_license_rules(spark, SF).collect()}
+    """A plainer reading: lines that are, normalised, a known sentence; and rules tried at each sentence of such a list."""
+    got = {r.doc_id: r for r in queries.op9_license_rules(spark, SF).collect()}
     ids = {licenses.normalise(s): k for k, s in licenses.SENTENCES.items()}
     n = 0
     for d in documents(spark).collect():
-        want = {ids[x] for x in map(licenses.normalise, (d.text or "").split("\n")) if x in ids}
-        assert want <= got[d.doc_id]
+        want = [ids[x] for x in map(licenses.normalise, re.split(r"\n|(?<=[.!?]) ", d.text or "")) if x in ids]
+        assert want == got[d.doc_id].sentence_ids
+        of = {licence for licence, _, seq in licenses.RULES if len(seq) == 1 and seq[0] in want}
+        assert sorted(of) == got[d.doc_id].licences
         n += len(want)
     assert n > 0
     assert licenses.scan(empty(spark), ["doc_id"]).count() == 0 and licenses.scan(awkward(spark), ["doc_id"]).count() == 14
 
 
+def test_ids_stay_whole(spark):
+    """Great ids beside a null one, and keys of any name."""
+    d = spark.createDataFrame([(2**60 + 1, "x"), (None, "y"), (2**60 + 3, None)], "doc_id long, text string").coalesce(1)
+    names = ["matches", "licences", "score", "lang_pred", "tail", "selected", "a.b"]
+    for c in names:
+        d = d.withColumn(c, F.lit(c))
+    model = langid.fit(spark.createDataFrame([("wort und satz", "de"), ("word and sentence", "en")], "text string, lang string"))
+    none = quality.fit(d, spark.createDataFrame([], "doc_id long, grade int"))
+    for out in (licenses.scan(d, ["doc_id", *names]), langid.predict(d, model, ["doc_id", *names]), quality.grade(d, none, ["doc_id", *names])):
+        assert sorted(((r.key.doc_id or 0, *r.key[1:]) for r in out.collect())) == [(i, *names) for i in (0, 2**60 + 1, 2**60 + 3)]
+
+
 # --- 10 mixing
 
 
@@ -551,6 +762,60 @@ def test_permutation():
     assert mixing.permuted(np.arange(1000), 1000, 1).tolist() != mixing.permuted(np.arange(1000), 1000, 2).tolist()
 
 
+def test_draws():
+    """Each shard's draws are found alone, fill the shard, and add up to the sources' slots; their spread is about that of multinomial draws."""
+    slots = np.array([5000, 0, 1203, 7])
+    whole = list(mixing.draw_shards(slots, 100, 3, 0, 10**9))
+    assert [j for j, _, _ in whole] == list(range(63)) and sum(own for _, _, own in whole).tolist() == slots.tolist()
+    assert [int(own.sum()) for _, _, own in whole] == [100] * 62 + [10]
+    at = np.zeros(4, int)
+    for j, before, own in whole:
+        assert before.tolist() == at.tolist()
+        at += own
+        ((k, b, o),) = mixing.draw_shards(slots, 100, 3, j, j + 1)
+        assert k == j and b.tolist() == before.tolist() and o.tolist() == own.tolist()
+    share = slots / slots.sum()
+    assert 0.6 < np.var([own[0] for _, _, own in whole[:-1]]) / (100 * share[0] * (1 - share[0])) < 1.6
+    great = np.array([3 * 10**9, 10**9])
+    first = mixing._halved(great, 2 * 10**9, np.random.default_rng(1))
+    assert first.sum() == 2 * 10**9 and abs(first[0] - 1.5e9) < 1e6
+
+
+def plain_mix(rows, texts, block, shard, seed=20):
+    """A plain mix of small tables: (rid, shard, src, nth, epoch, block, at, words) of all spans, from the places of the rows."""
+    sources: dict = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.src, r.start)):
+        words = WORD.findall(texts[r.rid] or "")
+        assert r.size == len(words) and r.start == len(sources[r.src]), "gapless"
+        sources[r.src] += [(r.rid, i) for i in range(len(words))]
+    out, slots, plan = collections.Counter(), [], []
+    n = max(sources, default=-1) + 1
+    for s in range(n):
+        target = next(r.target for r in rows if r.src == s)
+        words, left, takes = sources[s], round(target), []
+        nb, e = -(-len(words) // block), 0
+        while left > 0 and nb:
+            for i in range(nb):
+                b = int(mixing.permuted(np.array([i]), nb, mixing._key(seed, s, e))[0])
+                part = words[b * block : (b + 1) * block][:left]
+                if part:
+                    takes.append((e, b, part))
+                    left -= len(part)
+            e += 1
+        plan.append(takes)
+        slots.append(len(takes))
+    for j, before, own in mixing.draw_shards(np.array(slots, np.int64), shard, seed, 0, 1 << 40) if n else ():
+        for s in range(n):
+            for nth in range(own[s]):
+                e, b, part = plan[s][before[s] + nth]
+                spans = collections.defaultdict(list)
+                for rid, i in part:
+                    spans[rid].append(i)
+                for rid, i in spans.items():
+                    out[rid, j, s, nth, e, b, i[0], len(i)] += 1
+    return out
+
+
 def check_mix(rows, spans, block):
     words = collections.Counter()
     for s in spans:
@@ -571,23 +836,60 @@ def check_mix(rows, spans, block):
 @tables
 @pytest.mark.parametrize(("block", "shard"), [(512, 4096), (37, 50)])
 def test_mix(spark, block, shard):
-    rows, spans = mixing.mix(documents(spark).select("doc_id", "source", "text"), block=block, shard_slots=shard)
-    rows, spans = rows.collect(), spans.collect()
-    text = {d.doc_id: d.text for d in documents(spark).collect()}
-    assert all(r.size == len(WORD.findall(text[r.doc_id] or "")) for r in rows)
+    docs = documents(spark).select("doc_id", "source", "text")
+    rows, spans, texts = mixing.mix(docs, block=block, shard_slots=shard, with_texts=True)
+    texts, rows, spans = {r.rid: r.doc.text for r in texts.collect()}, rows.collect(), spans.collect()
     check_mix(rows, spans, block)
-    again = mixing.mix(documents(spark).select("doc_id", "source", "text"), block=block, shard_slots=shard)[1]
-    key = lambda s: (s.rid, s.shard, s.nth, s.at, s.words)
-    assert sorted(map(key, spans)) == sorted(map(key, again.collect()))
+    assert collections.Counter(tuple(s) for s in spans) == plain_mix(rows, texts, block, shard)
+    sizes = [sum(r.size for r in rows if r.src == s) for s in range(max(r.src for r in rows) + 1)]
+    want = mixing.share_out(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+    assert all(np.isclose(r.target, want[r.src]) and r.source_size == sizes[r.src] for r in rows)
+    assert [r.doc.source for r in sorted(rows, key=lambda r: r.src)] == sorted((r.doc.source for r in rows), key=lambda s: (s is None, (s or "").encode()))
+
+
+@tables
+def test_mix_does_not_depend_on_partitions(spark):
+    """Nor on repeated rows, whose number in a piece is bounded."""
+    docs = documents(spark).select("doc_id", "source", "text")
+    docs = docs.unionByName(docs.limit(1).crossJoin(spark.range(300).select()))
+    of = []
+    for parts in (1, 5):
+        rows, spans = mixing.mix(docs.repartition(parts), block=64, shard_slots=100)
+        taken = spans.groupBy("rid").agg(F.sum("words").alias("taken"))
+        of.append(collections.Counter((r.doc.doc_id, r.size, r.taken) for r in rows.join(taken, "rid", "left").collect()))
+    assert of[0] == of[1]
+
+
+def test_running_before_with_repeated_rows(spark):
+    d = spark.range(3000).select(F.lit(0).alias("g"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("x"), "id", (F.col("id") % 3).alias("v"))
+    got = common.running_before(d, "g", ["x"], F.col("v"), "before", 3000, per=50, tie="id").collect()
+    at, order = 0, sorted(got, key=lambda r: (r.before, r.v > 0))
+    zero = [r for r in order if not r.v]
+    for r in (r for r in order if r.v):
+        assert r.before == at
+        at += r.v
+    assert at == 3000 and len(zero) == 1000
+
+
+def test_lookup(spark):
+    d = spark.range(9000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id")).alias("k"), "id")
+    table = d.select("k").distinct().select("k", (F.col("k") * 2).alias("v"))
+    got = common.lookup(d, table, "k", 9000, hot=10).collect()
+    assert len(got) == 9000 and all(r.v == 2 * r.k for r in got) and len({r.id for r in got}) == 9000
 
 
 def test_mix_awkward(spark):
-    rows, spans, texts = mixing.mix(awkward(spark), block=16, shard_slots=20, with_texts=True)
-    out = mixing.mixed_texts(rows, spans, texts).collect()
-    rows, spans = rows.collect(), spans.collect()
+    """With columns whose names are the operator's own."""
+    docs = awkward(spark)
+    for i, c in enumerate(("target", "src", "size", "start", "rid", "doc", "_s", "_h", "words", "a.b")):
+        docs = docs.withColumn(c, F.lit(i))
+    rows, spans, texts = mixing.mix(docs, block=16, shard_slots=20, with_texts=True)
+    out = mixing.mixed_texts(rows, spans, texts)
+    assert out.columns == docs.columns and {r["a.b"] for r in out.select("`a.b`").collect()} == {9}
+    out, rows, spans = out.collect(), rows.collect(), spans.collect()
     check_mix(rows, spans, 16)
     assert len(rows) == 14 and sum(len(WORD.findall(r.text)) for r in out) == sum(s.words for s in spans)
-    assert mixing.mix(empty(spark))[0].count() == 0
+    assert mixing.mix(empty(spark))[0].count() == 0 and mixing.mix(empty(spark))[1].count() == 0
 
 
 def test_mixed_texts_are_parts_of_texts(spark):

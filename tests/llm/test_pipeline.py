@@ -41,7 +41,7 @@ def test_stages(spark):
     assert abs(sum(len(WORD.findall(d.text)) for d in mixed.collect()) - 1.5 * total) <= 25
     assert set(ids(mixed)) <= set(ids(given))
 
-    pieces = packing.pack(mixed, ["doc_id"], ranks=None)
+    pieces = packing.pieces(packing.sequences(mixed, ["doc_id"], ranks=None))
     check_packed(pieces.collect(), mixed.collect(), 1024)
     assert pieces.count() == out.count()
 
