@@ -3,70 +3,110 @@
 One weight vector over hashed features of the text gives a score s; ordered thresholds t_1 < t_2 < ... turn it into
 P(grade >= j) = sigmoid(s - t_j), from which come the expected grade and the tail probability by which documents are selected."""
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed, schema, text_of
+from .words import Hasher, buffer, chunks, encoded, mixed, words
+
 DIM = 1 << 18
-_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = re.compile(r"^\W+|\W+$")
-
-
-def _shape(word: str) -> str:
-    """Classes of a word's characters, runs made one: `Word.` -> `Aa.`, `WORD!!` -> `A!`."""
-    out, last = [], ""
-    for c in word[:1] + word[-3:]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if k != last:
-            out.append(k)
-        last = k
-    return "".join(out)
-
-
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct indexes: which words and which word beginnings of 4 and 5 letters the whole text has, and, in steps of a factor
-    of two, the share of its words that have each shape, and of its distinct words. The empty text has its own."""
-    words = _SPLIT.findall(text or "")
-    if not words:
-        return np.array([zlib.crc32(b"\0empty") % DIM], np.uint32)
-    kinds = set(words)
-    plain = {_EDGE.sub("", w).lower() for w in kinds}
-    names = {"w" + p for p in plain} | {"4" + p[:4] for p in plain if len(p) > 4} | {"5" + p[:5] for p in plain if len(p) > 5}
-    shapes: dict[str, int] = {}
-    memo: dict[str, str] = {}
-    for w in words:
-        k = w[:1] + w[-3:]
-        s = memo.get(k)
-        if s is None:
-            s = memo[k] = _shape(w)
-        shapes[s] = shapes.get(s, 0) + 1
-    for s, n in shapes.items():
-        step = min(8, int(np.log2(len(words) / n)))
-        names.update(f"s{s}\0{j}" for j in range(step, 9))  # at least this share
-    names.add(f"d{int(8 * len(kinds) / len(words))}")
-    return np.unique(np.array([zlib.crc32(n.encode("utf-8", "replace")) % DIM for n in names], np.uint32))
-
-
-def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        yield pd.DataFrame({"grade": x["grade"], "h": x["h"], "x": [features(t).tobytes() for t in x["text"]]})
+_STEPS = 9
+#: A byte's class: 1 capital, 2 letter (bytes of other scripts too), 3 digit, and each other sign its own; and whether it is part of a word.
+_CLASS = np.array([1 if 65 <= b < 91 else 2 if 97 <= b < 123 or b >= 128 else 3 if 48 <= b < 58 else b + 4 for b in range(256)], np.uint64)
+_INNER = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+
+
+def _place(salt: int, x: np.ndarray) -> np.ndarray:
+    """Hashes -> indexes below DIM, another choice for each salt."""
+    with np.errstate(over="ignore"):
+        return mixed(x + np.uint64(salt) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(46)
+
+
+EMPTY = int(_place(9, np.zeros(1, np.uint64))[0])
+
+
+def _shapes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Classes of a word's first and last three bytes, neighbours of one class made one: `Word.` as `Aa.`, `WORD!!` as `A!`."""
+    out, last = _CLASS[raw[start]], _CLASS[raw[start]]
+    for i in (3, 2, 1):
+        now = np.where(end - i >= start, _CLASS[raw[np.maximum(end - i, start)]], last)
+        out = np.where(now != last, out * np.uint64(512) + now, out)
+        last = now
+    return out
+
+
+def features(texts: list[bytes], lower: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, and the same in lower case -> the sorted distinct indexes of each text's features, one text after the other, and where each
+    text's begin (and where the last's end).
+
+    Which words (without signs around them) and which word beginnings of 4 and 5 bytes the whole text has, and, in steps of a
+    factor of two, the share of its words that have each shape, and of its distinct words. The empty text has a feature of its own."""
+    raw, begin = buffer(texts)
+    start, end = words(raw)
+    n = np.diff(np.searchsorted(start, begin))
+    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
+    made = [(np.flatnonzero(n == 0).astype(np.uint64), np.full(int((n == 0).sum()), EMPTY, np.uint64))]
+    if len(start):
+        with np.errstate(over="ignore"):
+            _, at, times = np.unique(hasher.spans(hasher.sums(raw), start, end) + mixed(doc), return_index=True, return_counts=True)
+        own = doc[at]
+        kinds = np.bincount(own.astype(np.int64), minlength=len(texts))
+        both, which = np.unique(np.stack([own, _shapes(raw, start[at], end[at])]), axis=1, return_inverse=True)
+        having = np.bincount(which.ravel(), times)
+        step = np.minimum(_STEPS - 1, np.log2(n[both[0].astype(np.int64)] / having).astype(np.int64))
+        for j in range(_STEPS):  # at least this share
+            mine = step <= j
+            made.append((both[0][mine], _place(10 + j, both[1][mine])))
+        some = np.flatnonzero(n)
+        made.append((some.astype(np.uint64), _place(30, (8 * kinds[some] // n[some]).astype(np.uint64))))
+        low, _ = buffer(lower)
+        a, b = (x[at] for x in words(low))
+        inner, sums = np.flatnonzero(_INNER[low]), hasher.sums(low)
+        inner = np.concatenate([inner, [len(low)]])
+        first = np.minimum(inner[np.searchsorted(inner, a)], b)
+        last = np.maximum(inner[np.searchsorted(inner, b) - 1] + 1, first)
+        last = np.where(first == b, first, last)
+        made.append((own, _place(1, hasher.spans(sums, first, last))))
+        for k in (4, 5):
+            long = last - first > k
+            made.append((own[long], _place(k, hasher.spans(sums, first[long], first[long] + k))))
+    pairs = np.unique(np.concatenate([d * np.uint64(DIM) + f for d, f in made]))
+    return (pairs % np.uint64(DIM)).astype(np.uint32), np.searchsorted(pairs, np.arange(len(texts) + 1, dtype=np.uint64) * np.uint64(DIM))
+
+
+def _chunked(texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, features, where each text's begin) for ranges of a batch's texts."""
+    texts = texts.to_pylist()
+    coded = [encoded(t) for t in texts]
+    for lo, hi in chunks(coded):
+        yield lo, hi, *features(coded[lo:hi], [encoded((t or "").lower()) for t in texts[lo:hi]], hasher)
+
+
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
+    for batch in batches:
+        for lo, hi, f, begin in _chunked(batch.column("text"), hasher):
+            x = [f[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("grade", "h", "t")), pa.array(x, pa.binary())], ["grade", "h", "t", "x"])
 
 
 def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int = 400, min_docs: int = 3, significance: float = 4.0) -> dict:
-    """docs(doc_id, text), grades(doc_id, grade 0..K-1) -> the model. Learns from at most about max_rows of the graded rows, those
-    with the least hash of doc_id, whose hashed features come to the driver. Features whose counts over the grades differ from chance
-    by `significance` standard deviations take part, each with the size of its log odds. A grade that is null doesn't count."""
+    """docs(doc_id, text), grades(doc_id, grade 0..K-1) -> the model. Learns from at most max_rows of the graded rows, those with the
+    least hashes of doc_id and text, whose hashed features come to the driver. Features whose counts over the grades differ from
+    chance by `significance` standard deviations take part, each with the size of its log odds. A grade that is null doesn't count; of
+    several grades of a doc_id the least does; rows that share a graded doc_id are learnt from each, within max_rows."""
     graded = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = graded.count()
-    chosen = graded.withColumn("h", F.xxhash64("doc_id", F.lit(23))).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 30))))
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about max_rows rows of 20 bytes
-    got = picked.select("grade", "h", "text").mapInPandas(_featurise, "grade int, h long, x binary").toArrow().sort_by("h").combine_chunks()
+    h = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
+    # a tenth more than are wanted, in expectation, for a broadcast of about max_rows rows of 20 bytes; then the least
+    chosen = graded.withColumn("h", h).filter(F.col("h") <= F.lit(int(min(1.0, (1.1 * max_rows + 100) / max(n, 1)) * (1 << 30))))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "h", F.xxhash64("text").alias("t"), "text")
+    made = picked.mapInArrow(_featurise, "grade int, h long, t long, x binary")
+    got = made.orderBy("h", "t", "x").limit(max_rows).toArrow().combine_chunks()
     if not got.num_rows:
         return {"w": np.zeros(DIM, np.float32), "known": np.zeros(DIM, bool), "cuts": np.zeros(0), "fitted": False}
     rows = [np.frombuffer(b.as_buffer(), np.uint32) for b in got["x"]]
@@ -112,37 +152,36 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int =
     whole[names] = w
     known = np.zeros(DIM, bool)
     known[names] = True
-    return {"w": whole, "known": known, "cuts": cuts, "fitted": True}
+    return {"w": whole, "known": known, "cuts": cuts, "fitted": True, "rows": n}
 
 
-def _grade(model: dict, keys: list[str], least: int, tail: float):
+def _grade(model: dict, least: int, tail: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, cuts = model["w"], model["cuts"]
+        hasher, w, cuts = Hasher(), model["w"].astype(np.float64), model["cuts"]
         for batch in batches:
-            expected, upper = [], []
-            for text in batch.column("text"):
-                if not model["fitted"]:
-                    expected.append(None)
-                    upper.append(1.0)
-                    continue
-                f = features(text.as_py())
-                f = f[model["known"][f]]
-                p = 1 / (1 + np.exp(-np.clip(float(w[f].sum()) / np.sqrt(max(len(f), 1)) - cuts, -30, 30)))
-                expected.append(float(p.sum()))
-                upper.append(float(p[least - 1]) if least <= len(p) else 0.0)
-            cols = [pa.array(expected, pa.float64()), pa.array(upper, pa.float64()), pa.array([u >= tail for u in upper])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *cols], [*keys, "expected_grade", "tail", "selected"])
+            if not model["fitted"]:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.nulls(n, pa.float64()), pa.array(np.ones(n)), pa.array(np.ones(n, bool))], ["key", "expected_grade", "tail", "selected"])
+                continue
+            for lo, hi, f, begin in _chunked(text_of(batch), hasher):
+                doc, known = np.repeat(np.arange(hi - lo), np.diff(begin)), model["known"][f]
+                number = np.bincount(doc[known], minlength=hi - lo)
+                s = np.bincount(doc[known], w[f[known]], hi - lo) / np.sqrt(np.maximum(number, 1))
+                p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
+                upper = p[:, least - 1] if least <= p.shape[1] else np.zeros(hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], pa.array(p.sum(1)), pa.array(upper), pa.array(upper >= tail)], ["key", "expected_grade", "tail", "selected"])
 
     return run
 
 
 def grade(docs: DataFrame, model: dict, keys: list[str], least: int = 2, tail: float = 0.5) -> DataFrame:
-    """docs(keys, text) -> keys, expected_grade, tail (P(grade >= least)), selected (tail at least `tail`).
+    """docs(keys, text) -> key (a struct of the keys, whose names may be any), expected_grade, tail (P(grade >= least)), selected (tail
+    at least `tail`).
 
     Reads whole texts; null is as empty. If there was nothing to learn from, expected_grade is null and all are selected. Repeated
     rows stay; an empty table gives no rows."""
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(_grade(model, keys, least, tail), f"{kinds}, expected_grade double, tail double, selected boolean")
+    rows = keyed(docs, keys)
+    return rows.mapInArrow(_grade(model, least, tail), schema("key int, expected_grade double, tail double, selected boolean", key=rows.schema["key"].dataType))
 
 
 def graded(labels: DataFrame) -> DataFrame:
