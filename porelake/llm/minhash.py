@@ -17,62 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, spread, stash, unstash
+from .common import connected_components, lookup, spread, stash, unstash
 from .vectors import grouped, in_cells
+from .words import LOWER, Hasher, buffer, chunks, encoded, mixed, words
 
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
 _PRINT = 4096
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _STEP | 1, np.uint64))
-
-
-def _inverse(n: int) -> np.ndarray:
+def shingles(texts: list[bytes], k: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Texts -> the sorted distinct 64-bit hashes of each text's k-word shingles (of all its words as one, if there are fewer than k),
+    one text after the other; and where each text's begin (and where the last's end)."""
+    raw, begin = buffer(texts)
+    low = LOWER[raw]
+    start, end = words(raw)
+    word = hasher.spans(hasher.sums(low), start, end)
+    first = np.searchsorted(start, begin)  # each text's first word
+    n = np.diff(first)
+    size = np.minimum(n, k)
+    doc = np.repeat(np.arange(len(texts)), n)
+    at = np.flatnonzero(np.arange(len(word)) - first[doc] <= (n - size)[doc])  # words that begin a shingle
+    doc = doc[at]
+    own = size[doc]
+    out = own.astype(np.uint64)
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, pow(_STEP | 1, -1, 2**64), np.uint64))
-
-
-class _Tables:
-    """Powers for texts of any length met so far."""
-
-    def __init__(self):
-        self.up, self.down = _powers(1 << 16), _inverse(1 << 16)
-
-    def upto(self, n: int) -> None:
-        if n > len(self.up):
-            self.up, self.down = _powers(2 * n), _inverse(2 * n)
-
-
-def shingles(text: str | None, k: int, tables: _Tables) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a whole text; of all its words if there are fewer than k."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    gap = _SEP[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    tables.upto(len(raw))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[raw]] * tables.up[: len(raw)])])
-        word = _mixed((sums[end] - sums[start]) * tables.down[start] + (end - start).astype(np.uint64))
-        k = min(k, len(word))
-        out = np.full(len(word) - k + 1, k, np.uint64)
         for i in range(k):
-            out = _mixed(out * np.uint64(0xD6E8FEB86659FD93) + word[i : len(word) - k + 1 + i])
-    return np.unique(out)
+            more = mixed(out * np.uint64(0xD6E8FEB86659FD93) + word[np.minimum(at + i, max(len(word) - 1, 0))])
+            out = more if (own == k).all() else np.where(i < own, more, out)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+    for a, b in zip(ends, ends[1:], strict=False):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    return out[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(texts)))])
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,36 +56,45 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def halves(shingle: np.ndarray, m: int, w: int) -> np.ndarray:
-    """m values of 32 bits, the i-th made of minhashes i * w to (i + 1) * w - 1."""
+def halves(shingle: np.ndarray, begin: np.ndarray, m: int, w: int) -> np.ndarray:
+    """Sets that aren't empty, one after the other, and where each begins -> m values of 32 bits for each, the i-th made of minhashes
+    i * w to (i + 1) * w - 1."""
     a, b = _seeds(m * w)
+    out = np.zeros((m, len(begin)), np.uint64)
     with np.errstate(over="ignore"):
-        least = np.array([((shingle * a[i]) ^ ((shingle + b[i]) >> np.uint64(29))).min() for i in range(m * w)], np.uint64).reshape(m, w)
-        out = np.zeros(m, np.uint64)
-        for j in range(w):
-            out = _mixed(out * np.uint64(31) + least[:, j] + np.uint64(j + 1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+        for i in range(m * w):
+            least = np.minimum.reduceat((shingle * a[i]) ^ ((shingle + b[i]) >> np.uint64(29)), begin)
+            out[i // w] = mixed(out[i // w] * np.uint64(31) + least + np.uint64(i % w + 1))
+    return (out.T >> np.uint64(32)).astype(np.uint32)
 
 
-def _digest(shingle: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart."""
+def digests(shingle: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set that tell sets apart."""
     with np.errstate(over="ignore"):
-        x, y = _mixed(shingle).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mixed(shingle + np.uint64(99))) if len(shingle) else np.uint64(0)
-    return int(np.uint64(x).astype(np.int64)), int(np.uint64(y).astype(np.int64))
+        return np.add.reduceat(mixed(shingle), begin).astype(np.int64), np.bitwise_xor.reduceat(mixed(shingle + np.uint64(99)), begin).astype(np.int64)
+
+
+def _chunked(texts: pa.Array, k: int, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(first, end, shingles, where each text's begin, which texts have any, digests of all) for ranges of a batch's texts."""
+    coded = [encoded(t) for t in texts.to_pylist()]
+    for lo, hi in chunks(coded):
+        s, begin = shingles(coded[lo:hi], k, hasher)
+        some = np.flatnonzero(np.diff(begin))
+        sums = np.zeros((2, hi - lo), np.int64)
+        if len(some):
+            sums[:, some] = digests(s, begin[some])
+        yield lo, hi, s, begin, some, (sums[0], sums[1])
 
 
 def _sign(k: int, m: int, w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables()
+        hasher = Hasher()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                n, h1, h2, half = [], [], [], []
-                for text in batch.column("text")[lo : lo + 512]:
-                    s = shingles(text.as_py(), k, tables)
-                    n.append(len(s))
-                    x, y = _digest(s)
-                    h1.append(x), h2.append(y), half.append(halves(s, m, w).tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([batch.column("key")[lo : lo + 512], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(half, pa.binary())], ["key", "n", "h1", "h2", "half"])
+            for lo, hi, s, begin, some, (h1, h2) in _chunked(batch.column("text"), k, hasher):
+                half = [b""] * (hi - lo)
+                for i, x in zip(some, halves(s, begin[some], m, w) if len(some) else (), strict=True):
+                    half[i] = x.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], pa.array(np.diff(begin)), pa.array(h1), pa.array(h2), pa.array(half, pa.binary())], ["key", "n", "h1", "h2", "half"])
 
     return run
 
@@ -124,27 +109,26 @@ def _entries(m: int):
                 b = batch.slice(lo, 256)
                 x = np.frombuffer(b"".join(b.column("half").to_pylist()), np.uint32).reshape(b.num_rows, m)
                 with np.errstate(over="ignore"):
-                    keys = _mixed(_mixed(table + x[:, pairs_i]) ^ (x[:, pairs_j].astype(np.uint64) << np.uint64(20)))
+                    keys = mixed(mixed(table + x[:, pairs_i]) ^ (x[:, pairs_j].astype(np.uint64) << np.uint64(20)))
                 cid = np.repeat(b.column("cid").to_numpy(), len(table))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(cid), pa.array(np.tile(np.arange(len(table), dtype=np.int16), b.num_rows))], ["key", "cid", "table"])
 
     return run
 
 
-def _sets(k: int, m: int, w: int):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables()
+        hasher = Hasher()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                n, h1, h2, half, prints, sets = [], [], [], [], [], []
-                for text in batch.column("text")[lo : lo + 256]:
-                    s = shingles(text.as_py(), k, tables)
-                    x, y = _digest(s)
-                    n.append(len(s)), h1.append(x), h2.append(y), sets.append(s.tobytes())
-                    half.append(halves(s, m, w).tobytes() if len(s) else b"")
-                    bits = np.bincount((s >> np.uint64(52)).astype(np.int64), minlength=_PRINT) & 1
-                    prints.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *(pa.array(c, pa.binary()) for c in (half, prints, sets))], ["n", "h1", "h2", "half", "print", "set"])
+            for lo, hi, s, begin, _, (h1, h2) in _chunked(batch.column("text"), k, hasher):
+                doc = np.repeat(np.arange(hi - lo), np.diff(begin))
+                for a in range(0, hi - lo, 256):  # bits of 256 texts at once
+                    b = min(a + 256, hi - lo)
+                    mine = slice(begin[a], begin[b])
+                    bits = np.bincount((doc[mine] - a) * _PRINT + (s[mine] >> np.uint64(52)).astype(np.int64), minlength=(b - a) * _PRINT) & 1
+                    prints = np.packbits(bits.astype(np.uint8).reshape(b - a, _PRINT), axis=1)
+                    cols = [pa.array(np.diff(begin)[a:b]), pa.array(h1[a:b]), pa.array(h2[a:b]), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(begin[a:b], begin[a + 1 : b + 1], strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["n", "h1", "h2", "print", "set"])
 
     return run
 
@@ -229,10 +213,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, perc
     entries = classes.select("half", "cid").mapInArrow(_entries(m), "key long, cid long, table short")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     buckets = stash(entries.join(shared, "key"), "minhash-buckets")
-    members = buckets.select("cid").distinct().join(classes.select("cid", "rep", "h1", "h2", "n"), "cid")
+    members = buckets.select("cid").distinct().join(classes, "cid")
     chosen = texts.join(members.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").select("text")
-    sets = chosen.mapInArrow(_sets(shingle, m, w), "n long, h1 long, h2 long, half binary, print binary, set binary")
-    sets = stash(sets.join(members.select("h1", "h2", "n", "cid"), ["h1", "h2", "n"]).drop("h1", "h2").dropDuplicates(["cid"]), "minhash-sets")
+    sets = chosen.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, print binary, set binary")
+    sets = stash(sets.join(members.select("h1", "h2", "n", "cid", "half"), ["h1", "h2", "n"]).drop("h1", "h2").dropDuplicates(["cid"]), "minhash-sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         one = sets.select(F.col("cid").alias("u"), F.col("set").alias("set_u"))
@@ -253,9 +237,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, perc
     for nearest in (True, False):  # (2), (3)
         at = buckets.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         by = at.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-        mixed = by.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        mixed = mixed.select("key", F.col("x.root").alias("major"), F.ceil(F.col("all") / cell).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("x.k")) / cell).cast("int").alias("ni"))
-        at = at.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major"))
+        several = by.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        several = several.select("key", F.col("x.root").alias("major"), F.ceil(F.col("all") / cell).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("x.k")) / cell).cast("int").alias("ni"))
+        at = at.join(several, "key").withColumn("minor", F.col("root") != F.col("major"))
         own = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = at.filter("minor").select("key", own("ni").alias("i"), each("nj").alias("j"), "cid", "root", "table", "minor", F.lit(True).alias("left"))
@@ -277,11 +261,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = 5, perc
         of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         lifted = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
         up = connected_components(lifted, "minhash-cc")
-        raised = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        raised = lookup(roots, up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", roots.count(), "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = stash(raised.unionByName(up.join(roots.select("node"), "node", "left_anti")), "minhash-roots")
 
+    unstash(buckets, sets, links)
     named = classes.select("cid", "h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = stash(named, "minhash-named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "n", "component_id")
+    named = lookup(named, least, "root", named.count()).select("h1", "h2", "n", "component_id")
     out = signed.select("key", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
