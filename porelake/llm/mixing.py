@@ -2,18 +2,20 @@
 
 Each source's words, its documents one after the other, are cut into blocks of a fixed length. The output is a list of shards of
 slots; a shard's number of slots from each source is a multinomial draw, and the i-th slot of a source takes block perm(i) of
-it, perm being a pseudorandom permutation of the source's blocks. Slots and blocks are then joined by (source, block)."""
+it, perm being a pseudorandom permutation of the source's blocks. Slots and blocks are then joined by (source, block).
+
+All shards' draws add up to the sources' slots. Multinomial draws under that condition are hypergeometric; they are drawn by halving
+the list of shards again and again, so that a task finds those of its own shards without the others'."""
 
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, running_before, stash
+from .common import WORD, n_words, running_before, stash, unstash
 
 _WORD = re.compile(WORD)
 
@@ -55,41 +57,60 @@ def permuted(i: np.ndarray, n: int, key: int, rounds: int = 40) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def plan_slots(sizes: list[int], targets: list[float], block: int, shard_slots: int, seed: int) -> tuple[list[dict], np.ndarray]:
-    """(for each source: blocks, slots, short (length of its last block), last_take (words of its last slot)), draws[shard, source].
+def plan_slots(sizes: list[int], targets: list[float], block: int, seed: int) -> list[dict]:
+    """For each source: blocks, slots, last_take (words of its last slot).
 
     A source takes round(target) words: whole rounds through all its blocks, then whole blocks in permuted order and part of one
-    more. The shards' draws are multinomial over what the sources have still to give, so they add up to the sources' slots."""
+    more."""
     plan = []
     for s, (size, target) in enumerate(zip(sizes, targets, strict=True)):
         want, nb = min(round(target), 2 * size), -(-size // block)
         if not want:
-            plan.append({"blocks": nb, "slots": 0, "short": 0, "last_take": 0})
+            plan.append({"blocks": nb, "slots": 0, "last_take": 0})
             continue
         rounds, rest = divmod(want, size)
-        short = size - (nb - 1) * block
-        order = None
+        slots, last = rounds * nb, block
         if rest:  # how many blocks of the next round it takes; the short one shifts the count by one at most
-            k, key = rest // block, _key(seed, s, rounds)
-            near = permuted(np.arange(max(0, k - 1), min(nb, k + 2)), nb, key)
-            place = _place_of(nb - 1, nb, key)
+            short, place = size - (nb - 1) * block, _place_of(nb - 1, nb, _key(seed, s, rounds))
             words = lambda i: i * block - (block - short) * (place < i)
-            k = max(i for i in range(max(0, k - 1), min(nb, k + 2) + 1) if i <= nb and words(i) <= rest)
-            order = (k, rest - words(k), near)
-        slots = rounds * nb + (order[0] + (order[1] > 0) if order else 0)
-        plan.append({"blocks": nb, "slots": slots, "short": short, "last_take": order[1] if order and order[1] else block})
-    left = np.array([p["slots"] for p in plan], np.int64)
-    shards, rng, draws = -(-int(left.sum()) // shard_slots), np.random.default_rng(seed), []
-    for j in range(shards):
-        want, got = min(shard_slots, int(left.sum())), np.zeros(len(plan), np.int64)
-        if j == shards - 1:
-            got = left.copy()
-        while (lack := want - int(got.sum())) > 0:
-            rest = left - got
-            got += np.minimum(rng.multinomial(lack, rest / rest.sum()), rest)
-        draws.append(got)
-        left -= got
-    return plan, np.array(draws, np.int64).reshape(shards, len(plan))
+            k = max(i for i in range(max(0, rest // block - 1), min(nb, rest // block + 2) + 1) if i <= nb and words(i) <= rest)
+            slots, last = slots + k + (rest > words(k)), rest - words(k) or block
+        plan.append({"blocks": nb, "slots": slots, "last_take": last})
+    return plan
+
+
+def _halved(left: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `take` slots come from each source, of which `left` are to be given: a multivariate hypergeometric draw, from 10 ** 9 slots
+    on by normal draws of the same variance."""
+    out, rest = np.zeros(len(left), np.int64), int(left.sum())
+    for s, n in enumerate(left.tolist()):
+        if rest < 10**9:
+            x = int(rng.hypergeometric(n, rest - n, take)) if take else 0
+        else:
+            p, among = n / rest, max(rest - 1, 1)
+            x = round(rng.normal(take * p, np.sqrt(take * p * (1 - p) * ((rest - take) / among))))
+        x = min(max(x, take - (rest - n), 0), n, take)
+        out[s], take, rest = x, take - x, rest - n
+    return out
+
+
+def draw_shards(slots: np.ndarray, shard_slots: int, seed: int, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, the slots of each source before it, its slots of each source) for shards lo .. hi - 1 of all. All shards but the last
+    have shard_slots slots."""
+    total = int(slots.sum())
+
+    def down(a: int, b: int, before: np.ndarray, own: np.ndarray):
+        if b <= lo or a >= hi:
+            return
+        if b - a == 1:
+            yield a, before, own
+            return
+        mid = (a + b) // 2
+        first = _halved(own, min(mid * shard_slots, total) - a * shard_slots, np.random.default_rng([seed, a, b]))
+        yield from down(a, mid, before, first)
+        yield from down(mid, b, before + first, own - first)
+
+    yield from down(0, -(-total // shard_slots), np.zeros_like(slots), slots)
 
 
 def _key(seed: int, source: int, round_: int) -> int:
@@ -109,17 +130,22 @@ def _place_of(block: int, n: int, key: int, rounds: int = 40) -> int:
     return x
 
 
-def _slots(block: int, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                i = r.first + np.arange(r.n, dtype=np.int64)
-                out = np.empty(r.n, np.int64)
-                for e in np.unique(i // r.blocks):
-                    at = i // r.blocks == e
-                    out[at] = permuted(i[at] % r.blocks, r.blocks, _key(seed, r.src, int(e)))
-                take = np.where(i == r.slots - 1, r.last_take, block)
-                yield pd.DataFrame({"src": np.int32(r.src), "shard": np.int32(r.shard), "nth": i - r.first, "epoch": (i // r.blocks).astype(np.int32), "block": out, "take": take})
+def _slots(plan: list[dict], block: int, shard_slots: int, seed: int):
+    slots = np.array([p["slots"] for p in plan], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = batch.column("id").to_numpy()  # neighbours
+            for shard, before, own in draw_shards(slots, shard_slots, seed, int(shards.min()), int(shards.max()) + 1) if len(shards) else ():
+                for s in np.flatnonzero(own):
+                    i, nb = before[s] + np.arange(own[s]), plan[s]["blocks"]
+                    at, n = np.empty(len(i), np.int64), len(i)
+                    for e in np.unique(i // nb):
+                        mine = i // nb == e
+                        at[mine] = permuted(i[mine] % nb, nb, _key(seed, int(s), int(e)))
+                    take = np.where(i == slots[s] - 1, plan[s]["last_take"], block)
+                    cols = [pa.array(np.full(n, s, np.int32)), pa.array(np.full(n, shard, np.int64)), pa.array(np.arange(n)), pa.array((i // nb).astype(np.int32)), pa.array(at), pa.array(take.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["src", "shard", "nth", "epoch", "block", "take"])
 
     return run
 
@@ -127,32 +153,40 @@ def _slots(block: int, seed: int):
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block: int = 512, shard_slots: int = 4096, seed: int = 20, with_texts: bool = False) -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, DataFrame]:
     """docs(doc_id, source, text and others) -> (rows, spans), or (rows, spans, texts) if with_texts.
 
-    rows: docs with rid, src (index of its source), size (words), source_size, target (its source's), start (of its words in the
-    source). spans: the mix: rid, shard, src, nth (slot of that source in the shard), epoch, block, at (first word of the document
-    that it takes), words. texts: rid and the columns of docs, for mixed_texts(). Sources are in order of code points, null last; they weigh `weights`, repeated; their targets share
-    `share` times all words and stop at `most` (at most 2) times their size. One row for each source comes to the driver. Null
-    texts have no words; rows with no words have no spans, repeated rows count each, an empty table gives no rows. The result is
-    the same in each run over the same rows."""
+    rows: rid, doc (a struct of doc_id and source), src (index of its source), size (words), source_size, target (its source's), start
+    (of its words in the source). spans: the mix: rid, shard, src, nth (slot of that source in the shard), epoch, block, at (first
+    word of the document that it takes), words. texts: rid and doc (a struct of all columns of docs, whose names may be any), for
+    mixed_texts().
+
+    Sources are in order of code points, null last; they weigh `weights`, repeated; their targets share `share` times all words and
+    stop at `most` (at most 2) times their size. One row for each source comes to the driver. Null texts have no words; rows with no
+    words have no spans, repeated rows count each, an empty table gives no rows. A document's place in its source depends on
+    its doc_id and text alone, so the mix is the same in each run, however the rows are partitioned; rows that agree in both are
+    interchangeable."""
     spark = docs.sparkSession
-    sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("_h", F.xxhash64("text"))
-    by = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("size")).collect()}
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    sized = docs.select(whole).select("doc", n_words(F.col("doc.text")).alias("size"), F.xxhash64("doc.text").alias("_h"), F.col("doc.source").alias("_s"))
+    if not with_texts:
+        sized = sized.withColumn("doc", F.struct("doc.doc_id", "doc.source"))
+    sized = stash(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+    by = {r[0]: (r[1], r[2]) for r in sized.groupBy("_s").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
-    sizes = [by[s] for s in names]
+    sizes = [by[s][0] for s in names]
     targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes), most)
-    plan, draws = plan_slots(sizes, targets, block, shard_slots, seed)
-    table = spark.createDataFrame([(s, i, sizes[i], targets[i]) for i, s in enumerate(names)] or [(None, 0, 0, 0.0)], "source string, src int, source_size long, target double").withColumnRenamed("source", "_s")
+    plan = plan_slots(sizes, targets, block, seed)
+    table = spark.createDataFrame([(s, i, sizes[i], targets[i]) for i, s in enumerate(names)] or [(None, 0, 0, 0.0)], "_n string, src int, source_size long, target double")
     table = F.broadcast(table) if len(names) <= 100_000 else table
-    keyed = (sized if with_texts else sized.drop("text")).join(table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("rid", F.monotonically_increasing_id())
-    keyed = stash(keyed, "mix-sizes")
-    texts, keyed = keyed.select("rid", *docs.columns) if with_texts else None, keyed.drop("text")
-    rows = stash(running_before(keyed, "src", ["doc_id", "_h", "rid"], F.col("size"), "start", keyed.count()).drop("_h"), "mix-rows")
-    first = np.cumsum(draws, axis=0) - draws
-    cells = [(int(j), int(s), int(first[j, s]), int(draws[j, s]), plan[s]["blocks"], plan[s]["slots"], plan[s]["last_take"]) for j, s in zip(*np.nonzero(draws), strict=True)]
-    cells = spark.createDataFrame(cells or [], "shard int, src int, first long, n long, blocks long, slots long, last_take long")
-    slots = cells.repartition(max(1, min(len(draws), 1024))).mapInPandas(_slots(block, seed), "src int, shard int, nth long, epoch int, block long, take long")
+    small = sized.select("rid", F.struct("doc.doc_id", "doc.source").alias("doc"), "size", "_h", "_s").join(table, F.col("_s").eqNullSafe(F.col("_n"))).drop("_s", "_n").withColumn("_d", F.col("doc.doc_id"))
+    rows = stash(running_before(small, "src", ["_d", "_h"], F.col("size"), "start", sum(n for _, n in by.values()), tie="rid").drop("_d", "_h"), "mix-rows")
+    texts = sized.select("rid", "doc") if with_texts else None
+    if not with_texts:
+        unstash(sized)
+    shards = -(-sum(p["slots"] for p in plan) // shard_slots)
+    ids = spark.range(0, shards, 1, max(1, min(-(-shards // 8), 100_000)))
+    slots = ids.mapInArrow(_slots(plan, block, shard_slots, seed), "src int, shard long, nth long, epoch int, block long, take long")
     pieces = rows.filter("size > 0").select("rid", "src", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     cut = F.greatest("start", F.col("block") * block)
-    # Spark takes slots for as small as the cells they are made of; the hint keeps it from broadcasting what grows with the data
+    # Spark takes slots for as small as the list of shards; the hint keeps it from broadcasting what grows with the data
     spans = pieces.hint("merge").join(slots.hint("merge"), ["src", "block"]).select("rid", "shard", "src", "nth", "epoch", "block", (cut - F.col("start")).alias("at"), (F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take")) - cut).alias("words"))
     spans = spans.filter("words > 0")
     return (rows, spans, texts) if with_texts else (rows, spans)
@@ -180,5 +214,9 @@ def mixed_texts(rows: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFram
     """What mix(with_texts=True) gave -> the columns of its docs, a row for each document and round (epoch) that takes some of it: text
     is what that round takes of it, whole where it takes all; spans that aren't neighbours are joined by a space."""
     took = spans.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("parts"))
-    whole = texts.join(rows.select("rid", "size"), "rid").join(took.drop("epoch"), "rid").drop("rid")
-    return whole.mapInArrow(_cut_texts, texts.drop("rid").schema)
+    whole = texts.join(rows.select("rid", "size"), "rid").join(took.drop("epoch"), "rid")
+    named = texts.schema["doc"].dataType.names
+    others = F.struct(*(F.col(f"doc.`{c}`") for c in named if c != "text"), F.lit(0).alias("_"))
+    cut = whole.select(others.alias("others"), F.col("doc.text").alias("text"), "size", "parts")
+    done = cut.mapInArrow(_cut_texts, cut.select("others", "text").schema)
+    return done.select(*(F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in named))
