@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (`und`) and those whose decoding is ambiguous; a null lang becomes the predicted one."""
     docs = docs.select(COLUMNS)
     model = langid.fit(docs.filter("lang is not null and text is not null"))
-    said = langid.predict(docs, model, COLUMNS).filter((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous"))
+    said = langid.predict(docs, model, COLUMNS).filter((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select("key.*", "lang_pred")
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Rejects documents whose probability of the highest grade, neither of low quality nor toxic, is under one half."""
     docs = docs.select(COLUMNS)
     model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
-    return quality.grade(docs, model, COLUMNS).filter("selected").select(COLUMNS)
+    return quality.grade(docs, model, COLUMNS).filter("selected").select("key.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
