@@ -19,6 +19,12 @@ def op_sum(cigar: Column, ops: tuple[int, ...]) -> Column:
     return F.aggregate(F.filter(cigar, lambda c: c["op"].isin(*ops)), F.lit(0), lambda a, c: a + c["len"])
 
 
+def op_sums(cigar: Column, *kinds: tuple[int, ...]) -> Column:
+    """op_sum() of several sets of operations in one walk: struct(s0, s1, ...)."""
+    none = F.struct(*(F.lit(0).alias(f"s{i}") for i in range(len(kinds))))
+    return F.aggregate(cigar, none, lambda a, c: F.struct(*((a[f"s{i}"] + F.when(c["op"].isin(*ops), c["len"]).otherwise(0)).alias(f"s{i}") for i, ops in enumerate(kinds))))
+
+
 def reference_length(cigar: Column) -> Column:
     return op_sum(cigar, _REF)
 

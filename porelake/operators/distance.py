@@ -55,17 +55,29 @@ def smoothing_weights(window: int = 51, order: int = 3) -> np.ndarray:
 
 def smooth(curve: DataFrame, value: str = "correlation", window: int = 51, order: int = 3) -> DataFrame:
     """curve(distance, value) -> distance, value, smoothed: Savitzky-Golay, the first and last half windows by the polynomial fitted to the
-    outermost window; null for curves shorter than the window. The curve has a row for each distance, so its ordinals are one window."""
+    outermost window; null for curves shorter than the window. A null value weighs nothing.
+
+    The curve has a row for each distance, at most a read's length, so its order is one window; it is made once."""
     if window % 2 == 0 or order >= window:
         raise ValueError("the window must be odd and larger than the order")
     h, half = smoothing_weights(window, order), window // 2
-    table = curve.sparkSession.createDataFrame([(i, j, float(h[i, j])) for i in range(window) for j in range(window)], "i int, j int, w double")
-    ranked = curve.select("distance", value, (F.row_number().over(Window.orderBy("distance")) - 1).alias("at"))
-    ranked = ranked.join(F.broadcast(curve.agg(F.count(F.lit(1)).alias("size"))))
-    first = F.least(F.greatest(F.col("at") - half, F.lit(0)), F.col("size") - window)
-    points = ranked.filter(F.col("size") >= window).select("distance", (F.col("at") - first).cast("int").alias("i"), first.alias("first")).join(F.broadcast(table), "i").withColumn("at", F.col("first") + F.col("j"))
-    sums = points.join(ranked.select("at", F.col(value).alias("y")), "at").groupBy("distance").agg(F.sum(F.col("w") * F.col("y")).alias("smoothed"))
-    return ranked.select("distance", value).join(sums, "distance", "left")
+    by, whole = Window.orderBy("distance"), Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    around = Window.orderBy("distance").rowsBetween(-half, half)
+    y = F.coalesce(value, F.lit(0.0))
+    seen = curve.select("distance", value, y.alias("_y")).select(
+        "distance", value, (F.row_number().over(by) - 1).alias("_at"), F.count(F.lit(1)).over(whole).alias("_n"), F.collect_list("_y").over(around).alias("_near")
+    )
+    at = lambda place: F.max(F.when(F.col("_at") == place, F.col("_near"))).over(whole)
+    seen = seen.withColumn("_first", at(F.lit(half))).withColumn("_last", at(F.col("_n") - 1 - half))
+    dot = lambda weights, values: F.aggregate(F.zip_with(weights, values, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    table = F.lit(h.tolist())
+    smoothed = (
+        F.when(F.col("_n") < window, None)
+        .when(F.col("_at") < half, dot(F.get(table, F.col("_at")), F.col("_first")))
+        .when(F.col("_at") >= F.col("_n") - half, dot(F.get(table, (F.col("_at") - F.col("_n") + window).cast("int")), F.col("_last")))
+        .otherwise(dot(F.lit(h[half].tolist()), F.col("_near")))
+    )
+    return seen.select("distance", value, smoothed.alias("smoothed"))
 
 
 def islands(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:

@@ -24,25 +24,33 @@ def _by_score(rows: DataFrame) -> DataFrame:
 def _ahead(scores: DataFrame, parts: int) -> DataFrame:
     """Adds tp and fp: positives and negatives of this and all higher scores. Scores are dealt by range into parts; sums inside a part and
     of the parts before it make the running sums, so no task sees all scores."""
-    dealt = scores.repartitionByRange(parts, F.desc("score")).withColumn("_part", F.spark_partition_id()) if parts > 1 else scores.withColumn("_part", F.lit(0))
+    if parts == 1:
+        ahead = Window.orderBy(F.desc("score"))
+        return scores.withColumn("tp", F.sum("p").over(ahead)).withColumn("fp", F.sum("n").over(ahead))
+    dealt = scores.repartitionByRange(parts, F.desc("score")).withColumn("_part", F.spark_partition_id())
     totals = dealt.groupBy("_part").agg(F.sum("p").alias("tp_"), F.sum("n").alias("fp_"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("_part", F.coalesce(F.sum("tp_").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("fp_").over(before), F.lit(0)).alias("bn"))
     inner = Window.partitionBy("_part").orderBy(F.desc("score"))
     run = dealt.withColumn("_tp", F.sum("p").over(inner)).withColumn("_fp", F.sum("n").over(inner))
     return run.join(base, "_part").withColumn("tp", F.col("_tp") + F.col("bp")).withColumn("fp", F.col("_fp") + F.col("bn")).drop("_part", "_tp", "_fp", "bp", "bn")
 
 
-def roc_auc(rows: DataFrame, parts: int = 1) -> DataFrame:
-    """rows(label, prob) -> auc; ties count half. Null if a class is missing. parts > 1 spreads many distinct scores over tasks."""
-    r = _ahead(_by_score(rows), parts)
+def _parts(rows: DataFrame, parts: int | None) -> int:
+    return parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def roc_auc(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows(label, prob) -> auc; ties count half. Null if a class is missing. Distinct scores are spread over `parts` tasks (as many as a
+    shuffle has); where they are few, one part saves a pass over the rows."""
+    r = _ahead(_by_score(rows), _parts(rows, parts))
     s = r.agg(F.sum(F.col("n").cast("double") * (F.col("tp") - F.col("p") + F.col("p") / F.lit(2.0))).alias("u"), F.sum("p").cast("double").alias("P"), F.sum("n").cast("double").alias("N"))
     return s.select(F.try_divide("u", F.col("P") * F.col("N")).alias("auc"))
 
 
-def average_precision(rows: DataFrame, parts: int = 1) -> DataFrame:
-    """rows(label, prob) -> ap: precision at each score, weighted by the recall it adds."""
-    r = _ahead(_by_score(rows), parts)
+def average_precision(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows(label, prob) -> ap: precision at each score, weighted by the recall it adds. parts as for roc_auc()."""
+    r = _ahead(_by_score(rows), _parts(rows, parts))
     return r.agg(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")).cast("double")).alias("s"), F.sum("p").cast("double").alias("P")).select(F.try_divide("s", "P").alias("ap"))
 
 
@@ -80,14 +88,15 @@ def sweep(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     One pass: a row counts in the highest threshold it reaches, and running sums over the steps + 1 counts give all thresholds."""
     i = F.least(F.floor(F.col("prob") * steps), F.lit(steps)).cast("int")
     i = i + F.when((i < steps) & (F.col("prob") >= (i + 1) / F.lit(float(steps))), 1).otherwise(0) - F.when(F.col("prob") < i / F.lit(float(steps)), 1).otherwise(0)
-    hist = rows.groupBy(i.alias("i")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    full = threshold_grid(rows, steps).join(F.broadcast(hist), "i", "left").na.fill(0, ["p", "n"])
-    low = hist.filter("i < 0").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("lp"), F.coalesce(F.sum("n"), F.lit(0)).alias("ln"))
+    hist = rows.groupBy(F.greatest(i, F.lit(-1)).alias("i")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    # a row for each threshold, and one for what is below them all
+    none = threshold_grid(rows, steps).select("i", F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n"))
+    full = hist.unionByName(none).groupBy("i").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter("i is not null")
     up = Window.orderBy(F.desc("i"))
     down = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     s = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint")
-    out = full.select("threshold", s("p", up).alias("TP"), s("n", down).alias("TN"), s("n", up).alias("FP"), s("p", down).alias("FN")).join(F.broadcast(low))
-    return rates(out.withColumn("TN", (F.col("TN") + F.col("ln")).cast("bigint")).withColumn("FN", (F.col("FN") + F.col("lp")).cast("bigint")).drop("lp", "ln"))
+    out = full.select("i", (F.col("i") / F.lit(float(steps))).alias("threshold"), s("p", up).alias("TP"), s("n", down).alias("TN"), s("n", up).alias("FP"), s("p", down).alias("FN"))
+    return rates(out.filter("i >= 0").drop("i"))
 
 
 def sweep_by_grid(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -104,8 +113,8 @@ def balance(metrics: DataFrame) -> DataFrame:
     """Adds multiplier (TP + FN) / (TN + FP), the counts times it, rounded half to even, and the balanced precision and specificity.
     If any row has no negatives, the multiplier is 0 in all."""
     c = lambda n: F.col(n).cast("double")
-    none = metrics.agg(F.min(F.col("TN") + F.col("FP")).alias("_least"))
-    out = metrics.join(F.broadcast(none)).withColumn("multiplier", F.when(F.col("_least") == 0, 0.0).otherwise(F.try_divide(c("TP") + c("FN"), c("TN") + c("FP")))).drop("_least")
+    least = F.min(F.col("TN") + F.col("FP")).over(Window.partitionBy(F.lit(0)))  # a table of thresholds is small
+    out = metrics.withColumn("_least", least).withColumn("multiplier", F.when(F.col("_least") == 0, 0.0).otherwise(F.try_divide(c("TP") + c("FN"), c("TN") + c("FP")))).drop("_least")
     out = out.withColumns({f"adjusted_{n}": F.rint(c(n) * F.col("multiplier")).cast("bigint") for n in ("TN", "FP", "TP", "FN")})
     return out.withColumns({"b_Precision": F.try_divide(c("TP"), c("TP") + c("adjusted_FP")), "b_Specificity": F.try_divide(c("adjusted_TN"), c("adjusted_TN") + c("FN"))})
 
@@ -117,9 +126,7 @@ def between(metrics: DataFrame, lower: float, upper: float) -> DataFrame:
 def high_confidence(balanced: DataFrame, levels: tuple[float, ...] = (0.95, 0.96, 0.97, 0.98, 0.99)) -> DataFrame:
     """For each level: TP and TN of the first threshold of balanced precision >= level and of the last of balanced specificity >= level,
     and (TP of the first + TN of the last) / all calls; 0 where there is none. A few rows for each table, so one task."""
-    spark = balanced.sparkSession
-    grid = spark.createDataFrame([(float(v),) for v in levels], "level double")
-    m = balanced.join(F.broadcast(grid))
+    m = balanced.withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
     sure, clear = F.col("b_Precision") >= F.col("level"), F.col("b_Specificity") >= F.col("level")
     pick = lambda f, n, on: F.coalesce(f(F.when(on, F.col(n)), F.when(on, F.col("threshold"))), F.lit(0)).cast("bigint")
     out = m.groupBy("level").agg(

@@ -28,10 +28,16 @@ def usable(a: DataFrame, exclude_flags: int = 0) -> DataFrame:
 
 
 def quality_gate(a: DataFrame, mapq: int = MIN_MAPQ, coverage: float = MIN_COVERAGE, identity: float = MIN_IDENTITY, match_ops: tuple[int, ...] = (0,)) -> DataFrame:
-    """Reads of enough mapping quality, coverage and identity. Native expressions, so the filter goes below joins and into the scan;
-    compared in double precision. Alignments with nothing aligned have no identity and are left out."""
-    ident = F.coalesce(cg.identity(F.col("cigar"), F.col("nm"), match_ops), F.lit(-1.0))
-    return a.filter((F.col("mapq") >= mapq) & (cg.coverage(F.col("cigar"), F.col("q_len"), match_ops) >= coverage) & (ident >= identity))
+    """Reads of enough mapping quality, coverage and identity. Native expressions, so the filter goes below joins, that of the mapping
+    quality into the scan; compared in double precision. Alignments with nothing aligned have no identity and are left out.
+
+    The cigar's sums come out of a generator of one row: a filter isn't pushed below it, and so doesn't repeat what makes the cigar."""
+    sums = F.inline(F.array(F.struct(cg.op_sums(F.col("cigar"), match_ops, tuple({*match_ops, 1, 2})).alias("_sums"))))
+    a = a.filter(F.col("mapq") >= mapq).select("*", sums)
+    match, aligned, q_len, nm = F.col("_sums.s0").cast("double"), F.col("_sums.s1").cast("double"), F.col("q_len"), F.coalesce("nm", F.lit(-1))
+    covered = F.when(q_len == 0, -1.0).otherwise(F.try_divide(match, q_len.cast("double")))
+    alike = F.when(nm == -1, 0.0).otherwise(F.coalesce(F.try_divide(match - nm, aligned), F.lit(-1.0)))
+    return a.filter((covered >= coverage) & (alike >= identity)).drop("_sums")
 
 
 def with_moves(a: DataFrame) -> DataFrame:
@@ -93,10 +99,14 @@ def semi_join_names(calls: DataFrame, names: DataFrame) -> DataFrame:
     return calls.join(names.select("read_id"), "read_id", "left_semi")
 
 
+def sampled(key: Column, fraction: float) -> Column:
+    """Whether a key's hash is in the first `fraction` of its range."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") < int(round(fraction * 2**32))
+
+
 def downsample(df: DataFrame, fraction: float, key: str = "read_id") -> DataFrame:
-    """Rows whose read's hash is in the first `fraction` of its range: a read stays or goes whole, in any run, and a smaller fraction's
-    reads are among a larger's."""
-    return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long") < int(round(fraction * 2**32)))
+    """Rows of the sampled reads: a read stays or goes whole, in any run, and a smaller fraction's reads are among a larger's."""
+    return df.filter(sampled(F.col(key), fraction))
 
 
 def coverage_series(df: DataFrame, total: float, levels: tuple[int, ...] = (5, 10, 15, 20, 25, 30)) -> dict[int, DataFrame]:

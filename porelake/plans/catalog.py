@@ -124,12 +124,12 @@ _AUC = """, s AS (SELECT prob AS score, sum(label) AS p, sum(1 - label) AS n FRO
 
 @query(_AUC + " SELECT round(sum(n * (tp - p + p / 2::DOUBLE)) / (sum(p) * sum(n)), 6) AS auc FROM r", "calls", "labelled")
 def roc_auc(spark, d):
-    return metrics.roc_auc(views.labelled(spark, d)).select(r6("auc"))
+    return metrics.roc_auc(views.labelled(spark, d), 1).select(r6("auc"))
 
 
 @query(_AUC + " SELECT round(sum(p * tp / (tp + fp)::DOUBLE) / sum(p), 6) AS ap FROM r", "calls", "labelled")
 def average_precision(spark, d):
-    return metrics.average_precision(views.labelled(spark, d)).select(r6("ap"))
+    return metrics.average_precision(views.labelled(spark, d), 1).select(r6("ap"))
 
 
 @query(""", y AS (SELECT quality AS label, CASE WHEN n_chars IS NULL THEN 0 ELSE n_chars END::DOUBLE AS prob FROM labels JOIN documents USING (doc_id)),
@@ -137,7 +137,7 @@ def average_precision(spark, d):
     SELECT round(sum(n * (tp - p + p / 2::DOUBLE)) / (sum(p) * sum(n)), 6) AS auc FROM r""".replace(", y AS", "WITH y AS", 1))
 def roc_auc_documents(spark, d):
     rows = views.table(spark, d, "labels").join(views.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return metrics.roc_auc(rows.select(F.col("quality").alias("label"), F.coalesce("n_chars", F.lit(0)).cast("double").alias("prob")), 4).select(r6("auc"))
+    return metrics.roc_auc(rows.select(F.col("quality").alias("label"), F.coalesce("n_chars", F.lit(0)).cast("double").alias("prob"))).select(r6("auc"))
 
 
 _RATES = """round(coalesce(TP / nullif(TP + FN, 0)::DOUBLE, 0), 6) AS TPR, round(coalesce(FP / nullif(FP + TN, 0)::DOUBLE, 0), 6) AS FPR, round(coalesce(2 * TP / nullif(2 * TP + FP + FN, 0)::DOUBLE, 0), 6) AS F1,

@@ -32,9 +32,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of the even events with the truth of their site, a label of their own, and prob."""
-    even = calls(spark, sf_dir).filter("event_id % 2 = 0")
-    return even.withColumn("label", F.expr("cast((event_id div 2) % 7 + prob * 4 > 4 as int)"))
+    """All calls, with a label made of event_id and prob."""
+    return calls(spark, sf_dir).withColumn("label", F.expr("cast((event_id div 2) % 7 + prob * 4 > 4 as int)"))
 
 
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +68,7 @@ SQL = {
         ((round(value * 100)::BIGINT % 101 + 101) % 101) / 100::DOUBLE AS prob FROM events)""",
     "truth": """truth AS (SELECT chr, pos AS start, pos + 1 AS "end", sum(round(prob * 100)::BIGINT)::DOUBLE / count(*) / 100::DOUBLE AS ratio, count(*)::BIGINT AS cov
         FROM calls WHERE event_id % 2 = 1 GROUP BY chr, pos)""",
-    "labelled": """labelled AS (SELECT *, ((event_id // 2) % 7 + prob * 4 > 4)::INTEGER AS label FROM calls WHERE event_id % 2 = 0)""",
+    "labelled": """labelled AS (SELECT *, ((event_id // 2) % 7 + prob * 4 > 4)::INTEGER AS label FROM calls)""",
     "binary_calls": """binary_calls AS (SELECT read_id AS read_name, chr AS chrom, pos, (prob > 0.5::DOUBLE)::INTEGER AS prob FROM calls)""",
     "dna": """dna AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)""",
     "aln": """aln AS (SELECT l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber AS read_id,

@@ -56,6 +56,32 @@ def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_returnflag)" in _plan(catalog.views.table(spark, SF, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey"))
 
 
+def test_gate_parses_a_cigar_once(spark):
+    plan = catalog.read_quality_filter(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize(("name", "most"), [("correlation_matrix", 2), ("compare_confidence", 2), ("downsample_curve", 2), ("distance_smoothed", 2), ("roc_auc", 1), ("threshold_sweep_hist", 1), ("high_confidence_ratio", 1)])
+def test_few_scans(spark, name, most):
+    plan = _plan(catalog.QUERIES[name](spark, SF))
+    assert plan.count("FileScan") <= most and "NestedLoop" not in plan
+
+
+def test_entry_without_the_operators(tmp_path):
+    """The other queries are there if the operators' folder isn't, or what it needs can't be imported."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "porelake"), tmp_path / "porelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    run = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    got = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert got == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE))]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
