@@ -1,9 +1,10 @@
 """Site features: one kernel for training and calling, a read at a time in Arrow batches, after all native gates and joins."""
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,9 @@ def motif_places(ref: np.ndarray, kind: str, loc: int) -> np.ndarray:
     return np.flatnonzero(hit) + loc
 
 
-def read_features(r, k: int, kind: str, loc: int, wanted: set[int] | None, round_digits: int | None, std_mode: str) -> list[tuple]:
-    """(pos, kmer, signal of k * 19 values) for the sites of one read whose window lies inside its reference. A read whose moves, signal or
-    letters don't fit its alignment has none."""
+def read_features(r, k: int, kind: str, loc: int, wanted: np.ndarray | None, round_digits: int | None, std_mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """pos[n], kmer[n, k], signal[n, k * 19] of the sites of one read whose window lies inside its reference. A read whose moves, signal
+    or letters don't fit its alignment has none."""
     ref = np.frombuffer(r.ref_seq.encode("latin-1", "replace"), np.uint8)
     ref = ref if r.is_forward else _COMPLEMENT[ref[::-1]]
     half = (k - 1) // 2
@@ -41,44 +42,64 @@ def read_features(r, k: int, kind: str, loc: int, wanted: set[int] | None, round
     at = at[(at >= half) & (at + half < len(ref))]
     pos = r.ref_start + at if r.is_forward else r.ref_end - 1 - at
     if wanted is not None:
-        keep = np.isin(pos, list(wanted))
+        keep = np.isin(pos, wanted)
         at, pos = at[keep], pos[keep]
     codes = _CODES[ref]
     if not len(at) or (codes < 0).any():
-        return []
+        return None
     x = sg.np_normalise(np.asarray(r.signal), r.offset, r.scale)
     if r.is_split:
         x = x[int(r.split) : int(r.split) + int(r.num_samples)]
     x = x[int(r.trim_start or 0) :]
     moves = np.asarray(r.moves)
     if len(x) < sg.POINTS or moves[-1] * r.stride > len(x):
-        return []
+        return None
     group, length = sg.np_regroup(x, moves, int(r.stride))
     qual = (np.frombuffer((r.qual or "").encode("latin-1"), np.uint8).astype(np.float32) - 33) / np.float32(60)
     qual = qual if r.is_forward else qual[::-1]
     start = r.q_start if r.is_forward else len(r.seq) - r.q_end
-    query = sg.np_ref_to_query(np.array([c["op"] for c in r.cigar]), np.array([c["len"] for c in r.cigar]), r.is_forward)[:-1] + start
+    query = sg.np_ref_to_query(r.ops, r.lens, r.is_forward)[:-1] + start
     if len(query) != len(ref) or (len(query) and query.max() >= min(len(group), len(qual))):
-        return []
+        return None
     signal, mean = group[query], group.mean(1, dtype=np.float32)[query]
     std = mean if std_mode == "compat" else group.std(1, dtype=np.float32)[query]
     stats = np.concatenate([mean[:, None], std[:, None], length[query, None].astype(np.float32), qual[query, None], signal], 1, dtype=np.float32)
     window = at[:, None] + np.arange(-half, half + 1)
     rows = stats[window].reshape(len(at), -1)
     rows = np.round(rows, round_digits) if round_digits is not None else rows
-    return list(zip(pos.tolist(), codes[window].astype(np.int32), rows, strict=True))
+    return pos, codes[window].astype(np.int32), rows.astype(np.float32)
+
+
+def _slices(column: pa.Array, field: str | None = None):
+    """i -> the i-th list of a column as an array."""
+    ends, values = column.offsets.to_numpy(), column.values.field(field) if field else column.values
+    values = values.to_numpy(zero_copy_only=False)
+    return lambda i: values[ends[i] : ends[i + 1]]
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """An array [n, width] as n lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
+_PLAIN = ("read_id", "ref_start", "ref_end", "chr", "is_forward", "file_name", "ref_seq", "seq", "qual", "q_start", "q_end", "stride", "offset", "scale", "is_split", "split", "num_samples", "trim_start")
 
 
 def _kernel(k, kind, loc, round_digits, std_mode, labelled):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                wanted = set(r.wanted.tolist()) if labelled else None
-                for pos, kmer, row in read_features(r, k, kind, loc, wanted, round_digits, std_mode):
-                    out.append((r.read_id, r.ref_start, r.ref_end, r.chr, pos, "+" if r.is_forward else "-", r.file_name, kmer, row))
-            if out:
-                yield pd.DataFrame(out, columns=["read_id", "ref_start", "ref_end", "chr", "pos", "strand", "file_name", "kmer", "signal"])
+    kept = ("read_id", "ref_start", "ref_end", "chr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signal, moves, ops, lens = (_slices(batch.column(c), f) for c, f in (("signal", None), ("moves", None), ("cigar", "op"), ("cigar", "len")))
+            wanted = _slices(batch.column("wanted")) if labelled else None
+            for i, plain in enumerate(batch.select(_PLAIN).to_pylist()):
+                r = SimpleNamespace(**plain, signal=signal(i), moves=moves(i), ops=ops(i), lens=lens(i))
+                made = read_features(r, k, kind, loc, wanted(i) if labelled else None, round_digits, std_mode)
+                if made is not None and len(made[0]):
+                    pos, kmer, rows = made
+                    same = [pa.array([plain[c]] * len(pos), batch.schema.field(c).type) for c in kept]
+                    more = [pa.array(pos.astype(np.int32)), pa.array(["+" if r.is_forward else "-"] * len(pos)), pa.array([r.file_name] * len(pos), pa.string())]
+                    yield pa.RecordBatch.from_arrays([*same, *more, _lists(kmer), _lists(rows)], [*kept, "pos", "strand", "file_name", "kmer", "signal"])
 
     return run
 
@@ -90,23 +111,30 @@ def site_features(
     """Features of each (read, motif site): k base codes, and for each of k bases mean, "std" (the mean again in the mode `compat`), samples,
     quality, 15 samples.
 
-    With labels (chr, pos, label), only their sites, and a label; reads without any are dropped before their signals are joined.
-    Gates run before the one shuffle, the join of the signals; the kernel sees a read once and returns its sites."""
+    With labels (chr, pos, label), only their sites, and a label; reads without any are dropped before anything else is joined. Sites meet
+    the reads' places (chr, ref_start, ref_end) alone, in bins of about a read's length, and the reads then get the list of theirs.
+    Gates run before the joins; the kernel sees a read once and returns its sites."""
     sq.check_odd(k)
     sq.motif_set(motif)
     a = reads.quality_gate(reads.with_moves(reads.usable(alignments, exclude_flags)), match_ops=match_ops, **(gates or {}))
-    a = reads.join_reference(a, reference)
     if labels is not None:
-        span = 1_000_000
-        bins = a.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", F.explode(F.sequence(F.expr(f"ref_start div {span}"), F.expr(f"ref_end div {span}"))))
-        sites = labels.select(F.col("chr"), F.col("pos").alias("_pos"), F.expr(f"pos div {span}").alias("_bin")).distinct()
-        hit = bins.join(sites, ["chr", "_bin"]).filter("_pos >= ref_start and _pos < ref_end")
-        a = hit.groupBy("_row").agg(F.collect_set("_pos").alias("wanted"), *(F.first(c).alias(c) for c in a.columns)).drop("_row")
-    joined = reads.join_signals(a, raw_reads)
-    made = joined.mapInPandas(_kernel(k, motif, loc, round_digits, std_mode, labels is not None), OUT)
+        a = a.join(wanted_sites(a, labels), ["chr", "ref_start", "ref_end"])
+    joined = reads.join_signals(reads.join_reference(a, reference), raw_reads)
+    needed = [*_PLAIN, "signal", "moves", "cigar", *(["wanted"] if labels is not None else [])]
+    made = joined.filter("signal is not null and cigar is not null").select(needed).mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, labels is not None), OUT)
     return made if labels is None else reads.label_sites(made, labels)
 
 
+def wanted_sites(a: DataFrame, labels: DataFrame, span: int = 16_384) -> DataFrame:
+    """chr, ref_start, ref_end of alignments, each place once -> the same with wanted, the positions of labels (chr, pos) on it; places
+    without any are left out."""
+    places = a.select("chr", "ref_start", "ref_end").distinct()
+    bins = places.withColumn("_bin", F.explode(F.sequence(F.expr(f"ref_start div {span}"), F.expr(f"ref_end div {span}"))))
+    spots = labels.select(F.col("chr"), F.col("pos").alias("_pos"), F.expr(f"pos div {span}").alias("_bin")).distinct()
+    hit = bins.join(spots, ["chr", "_bin"]).filter("_pos >= ref_start and _pos < ref_end")
+    return hit.groupBy("chr", "ref_start", "ref_end").agg(F.collect_list("_pos").alias("wanted"))
+
+
 def training_matrix(features: DataFrame, chr_width: int) -> DataFrame:
     """file_name, info (fixed width), features: base codes, signal, label in one array."""
     info = text.fixed_site_info(F.col("read_id"), F.col("ref_start"), F.col("ref_end"), F.col("chr"), F.col("pos"), F.col("strand"), chr_width)

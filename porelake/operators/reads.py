@@ -66,8 +66,9 @@ def join_reference(a: DataFrame, reference: DataFrame, broadcast_bytes: int = 25
         got = a.join(names, "chr").withColumn("ref_seq", F.substring("_ref", F.col("ref_start") + 1, F.col("ref_len"))).drop("_ref")
         return got.filter(F.length("ref_seq") > 0)
     chunk = 1_000_000
-    pieces = reference.select("chr", F.explode(F.sequence(F.lit(0), F.expr(f"cast((greatest(length(seq), 1) - 1) div {chunk} as int)"))).alias("chunk"), "seq")
-    pieces = pieces.select("chr", "chunk", F.expr(f"substring(seq, chunk * {chunk} + 1, {chunk})").alias("part"))
+    # as bytes, of which a part is found without reading what stands before it
+    pieces = reference.select("chr", F.col("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((greatest(length(seq), 1) - 1) div {chunk} as int)"))).alias("chunk"))
+    pieces = pieces.select("chr", "chunk", F.expr(f"cast(substring(seq, chunk * {chunk} + 1, {chunk}) as string)").alias("part"))
     keyed = a.withColumn("_row", F.monotonically_increasing_id()).withColumn("chunk", F.explode(F.sequence(F.expr(f"cast(ref_start div {chunk} as int)"), F.expr(f"cast((greatest(ref_end, ref_start + 1) - 1) div {chunk} as int)"))))
     lo = F.greatest(F.col("ref_start") - F.col("chunk") * chunk, F.lit(0))
     cut = keyed.join(pieces, ["chr", "chunk"]).withColumn("part", F.substring("part", lo + 1, F.least(F.col("ref_end") - F.col("chunk") * chunk, F.lit(chunk)) - lo))

@@ -545,9 +545,21 @@ def _matrix(spark, d):
     return s.select("vec_id", F.concat(codes, F.slice("raw", 1, 57), F.array((F.col("vec_id") % 2).cast("double"))).alias("features"))
 
 
-@query(_MATRIX + " SELECT vec_id, len(f)::INTEGER AS width, round(list_sum(f), 4) AS total FROM mx", "signal")
+@query(""" SELECT 'f' || (v % 3) AS file_name, 'v' || v || chr(9) || lpad(s::VARCHAR, 10, '0') || chr(9) || lpad((s + n)::VARCHAR, 10, '0') || chr(9) || lpad(chr, 6, '_') || chr(9) || lpad(pos::VARCHAR, 10, '0') || chr(9) || CASE WHEN fwd THEN '+' ELSE '-' END AS info,
+    61 AS width, sum(code * (j + 2))::INTEGER AS codes, sum(len[b])::INTEGER AS lengths, round(sum((ascii(qual[b]) - 33) / 60::DOUBLE), 4) AS quality,
+    round(sum(list_sum(list_transform(x[(g[b] + 1) : (g[b] + 15)], lambda y: y::DOUBLE)) / 15), 2) AS means, round(sum(list_sum(list_transform(x[(g[b] + 1) : (g[b] + 15)], lambda y: y::DOUBLE))), 2) AS samples,
+    any_value(pos % 2)::INTEGER AS label FROM one GROUP BY v, s, n, chr, pos, fwd""", "dna", "kernel")
 def feature_rows(spark, d):
-    return _matrix(spark, d).select("vec_id", F.size("features").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    """Reads through gates, labels, reference and signals to the kernel and the training matrix."""
+    made = features.site_features(*views.kernel_tables(spark, d)[:3], "C", 0, 3, views.kernel_tables(spark, d)[3], round_digits=6)
+    f = F.col("features").cast("array<double>")
+    total = lambda at: F.aggregate(F.transform(F.array(*(F.lit(i) for i in at)), lambda i: F.get(f, i)), F.lit(0.0), lambda a, x: a + x)
+    base = [3 + 19 * b for b in range(3)]
+    return features.training_matrix(made, 6).select(
+        "file_name", "info", F.size("features").alias("width"), (F.get(f, F.lit(0)) + F.get(f, F.lit(1)) * 2 + F.get(f, F.lit(2)) * 3).cast("int").alias("codes"),
+        total([b + 2 for b in base]).cast("int").alias("lengths"), F.round(total([b + 3 for b in base]), 4).alias("quality"), F.round(total(base), 2).alias("means"),
+        F.round(total([b + 4 + i for b in base for i in range(15)]), 2).alias("samples"), F.element_at(f, -1).cast("int").alias("label"),
+    )
 
 
 @query(_MATRIX + " SELECT vec_id, f[1]::INTEGER AS k0, f[4] AS s0, f[60] AS s56, f[61]::INTEGER AS label FROM mx", "signal")

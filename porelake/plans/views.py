@@ -62,6 +62,25 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return even(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 1000, 0) + F.lit(0.0)).alias("raw"))
 
 
+def kernel_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(alignments, raw reads, reference, labels): a read of five bases for each vector, at eight places of the documents' bases."""
+    v = even(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding"))
+    name, file = F.concat(F.lit("v"), F.col("v").cast("string")), F.concat(F.lit("f"), (F.col("v") % 3).cast("string"))
+    raw = v.select(file.alias("file_name"), name.alias("read_id"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("smallint")).alias("signal"), F.lit(-5.0).cast("float").alias("offset"), F.lit(0.5).cast("float").alias("scale"))
+    pick = lambda *x: F.element_at(F.array(*(F.lit(i) for i in x)), (F.col("v") % 4 + 1).cast("int"))
+    a = v.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
+        "v", name.alias("read_id"), file.alias("file_name"), (F.col("v") % 2 * 16).cast("int").alias("flag"), (F.col("v") % 60).cast("int").alias("mapq"),
+        F.concat(F.lit("d"), (F.col("v") % 200).cast("string")).alias("chr"), ((F.col("v") + F.col("u") * 5) % 40).cast("int").alias("ref_start"), pick(5, 4, 6, 4).alias("ref_len"), pick(0, 1, 0, 0).alias("q_start"),
+        F.lit(5).alias("q_end"), pick(5, 4, 5, 5).alias("q_len"), cg.parse_cigar(pick("5M", "1S4M", "2M1D3M", "2M1I2M")).alias("cigar"), F.lit("ACGTA").alias("seq"),
+        F.substring(F.lit("!I+5?!I+5?"), (F.col("v") % 5 + 1).cast("int"), F.lit(5)).alias("qual"), F.expr("cast(v div 4 % 3 as int)").alias("nm"), F.lit(2).alias("stride"),
+        F.expr("array(0, cast(1 + v % 3 as int), cast(6 + v % 5 as int), cast(14 + v % 7 as int), 24, 32)").alias("moves"), F.lit(0).alias("trim_start"),
+        F.lit(64).alias("num_samples"), F.lit(False).alias("is_split"), F.lit(None).cast("string").alias("parent_read"), F.lit(None).cast("int").alias("split"), F.lit(True).alias("is_mapped"),
+    ).withColumn("ref_end", F.col("ref_start") + F.col("ref_len")).withColumn("is_forward", F.col("flag") == 0)
+    reference = dna(spark, sf_dir).filter("seq <> ''").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chr"), "seq")
+    labels = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chr"), F.explode(F.sequence(F.lit(0), F.lit(60))).alias("pos"))
+    return a.drop("v"), raw, reference, labels.filter("pos % 5 <> 0").withColumn("label", F.col("pos") % 2)
+
+
 # The same for DuckDB, as common table expressions.
 SQL = {
     "calls": """calls AS (SELECT event_id, 'r' || user_id::VARCHAR AS read_id, event_type AS chr, (hour(ts) * 4 + minute(ts) // 15)::BIGINT AS pos,
@@ -82,6 +101,22 @@ SQL = {
         CASE WHEN c[1].op = 'S' THEN c[1].len ELSE 0 END AS q_start, seq_len - CASE WHEN c[-1].op = 'S' THEN c[-1].len ELSE 0 END AS q_end,
         list_sum(list_transform(c, lambda x: CASE WHEN x.op = 'M' THEN x.len ELSE 0 END))::DOUBLE AS m,
         list_sum(list_transform(c, lambda x: CASE WHEN x.op IN ('M','I','D') THEN x.len ELSE 0 END))::DOUBLE AS align FROM ops)""",
+    "kernel": """reads AS (SELECT vec_id AS v, v % 2 = 0 AS fwd, 'd' || (v % 200) AS chr, ((v + u * 5) % 40)::INTEGER AS s, [5, 4, 6, 4][v % 4 + 1] AS n, embedding FROM embeddings CROSS JOIN (SELECT unnest(range(0, 8)) AS u)
+        WHERE v % 60 >= 20 AND ([5, 4, 5, 4][v % 4 + 1] - (v // 4) % 3) / [5, 4, 6, 5][v % 4 + 1]::DOUBLE >= 0.8::DOUBLE),
+    pa AS (SELECT *, list_transform(embedding, lambda x: (0.5::FLOAT * (round(x::DOUBLE * 1000)::FLOAT - 5::FLOAT))::FLOAT) AS pa FROM reads),
+    med AS (SELECT *, list_sort(pa)[32] AS med FROM pa), mad AS (SELECT *, list_sort(list_transform(pa, lambda x: abs(x - med)))[32] AS mad FROM med),
+    norm AS (SELECT *, CASE WHEN mad = 0 THEN pa ELSE list_transform(pa, lambda x: ((x - med)::FLOAT / (mad / 0.674489::FLOAT)::FLOAT)::FLOAT) END AS x,
+        [0, 1 + v % 3, 6 + v % 5, 14 + v % 7, 24, 32] AS mv, substr('!I+5?!I+5?', (v % 5 + 1)::INTEGER, 5) AS q0 FROM mad),
+    bases AS (SELECT *, list_transform(range(1, 6), lambda i: (mv[i + 1] - mv[i]) * 2) AS len, list_transform(range(1, 6), lambda i: mv[i] * 2) AS edge,
+        CASE WHEN fwd THEN q0 ELSE reverse(q0) END AS qual FROM norm),
+    groups AS (SELECT *, list_transform(range(1, 6), lambda i: CASE WHEN len[i] < 15 THEN least(greatest(edge[i] - (15 - len[i]) // 2, 0), 49) WHEN len[i] > 15 THEN edge[i] + (len[i] - 15) // 2 ELSE edge[i] END) AS g FROM bases),
+    refs AS (SELECT g.*, CASE WHEN fwd THEN substr(d.seq, s + 1, n) ELSE reverse(translate(substr(d.seq, s + 1, n), 'ACGT', 'TGCA')) END AS ref,
+        CASE WHEN fwd THEN [[0, 1, 2, 3, 4], [1, 2, 3, 4], [0, 1, 2, 2, 3, 4], [0, 1, 3, 4]][v % 4 + 1] ELSE [[0, 1, 2, 3, 4], [0, 1, 2, 3], [0, 1, 2, 3, 3, 4], [0, 1, 3, 4]][v % 4 + 1] END AS map
+        FROM groups g JOIN dna d ON g.chr = 'd' || d.doc_id WHERE len(substr(d.seq, s + 1, n)) = n),
+    sites AS (SELECT * FROM (SELECT *, unnest(range(1, n - 1))::INTEGER AS i FROM refs) WHERE substr(ref, i + 1, 1) = 'C'),
+    placed AS (SELECT *, CASE WHEN fwd THEN s + i ELSE s + n - 1 - i END AS pos FROM sites),
+    rows3 AS (SELECT *, unnest([-1, 0, 1]) AS j FROM placed WHERE pos <= 60 AND pos % 5 <> 0),
+    one AS (SELECT *, map[i + j + 1] + 1 AS b, instr('ACGT', substr(ref, i + j + 1, 1)) - 1 AS code FROM rows3)""",
     "signal": """signal AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000) + 0::DOUBLE) AS raw FROM embeddings)""",
 }
 

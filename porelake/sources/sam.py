@@ -9,8 +9,14 @@ from ..functions import signal as sg
 
 def _tag(name: str, kind: str) -> Column:
     """Value of a tag `name:kind:value` of the row's tags; null if there is none."""
-    start = f"{name}:{kind}:"
-    return F.get(F.transform(F.filter("tags", lambda t: t.startswith(start)), lambda t: F.substr(t, F.lit(len(start) + 1))), F.lit(0))
+    return F.try_element_at("tags", F.lit(f"{name}:{kind}"))
+
+
+def _tags(fields: Column) -> Column:
+    """Fields `name:kind:value` -> map of `name:kind` to value, the first of a repeated tag; the row's tags are walked once."""
+    pairs = F.filter(fields, lambda t: F.substr(t, F.lit(3), F.lit(1)) == ":")
+    first = F.filter(pairs, lambda t, i: F.array_position(F.transform(pairs, lambda u: F.left(u, F.lit(4))), F.left(t, F.lit(4))) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda t: F.struct(F.left(t, F.lit(4)), F.substr(t, F.lit(6)))))
 
 
 def derive(a: DataFrame) -> DataFrame:
@@ -38,7 +44,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     rows = f.select(
         col(0).alias("read_id"), col(1).cast("int").alias("flag"), known(col(2)).alias("chr"), (col(3).cast("int") - 1).alias("pos0"), col(4).cast("int").alias("mapq"),
         cg.parse_cigar(col(5)).alias("cigar"), known(col(6)).alias("rnext"), col(7).cast("int").alias("pnext"), col(8).cast("bigint").alias("tlen"),
-        known(col(9)).alias("seq"), known(col(10)).alias("qual"), F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))).alias("tags"),
+        known(col(9)).alias("seq"), known(col(10)).alias("qual"), _tags(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0)))).alias("tags"),
     )
     mv = F.transform(F.split(F.regexp_replace(_tag("mv", "B"), r"^[a-zA-Z],?", ""), ","), lambda x: x.try_cast("int"))
     rows = rows.select(
