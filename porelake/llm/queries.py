@@ -90,8 +90,35 @@ def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix)}
 
+_REACH = """, reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u),
+        components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
 #: What DuckDB computes over the same tables; the other queries are held against brute force in tests/llm.
 ORACLE = {
+    "op3_int8_tiles": """
+        WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        unit AS (SELECT vec_id, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM x WHERE list_dot_product(x, x) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) >= 0.9),
+        nodes AS (SELECT DISTINCT u AS id FROM links)""" + _REACH + """
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) l ON l.u = e.vec_id LEFT JOIN components c ON c.id = e.vec_id""",
+    "op7_chat_parts": r"""
+        WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '(␛)', '\1␛', 'g'), '<(\||/?s>|/?(?:image|audio|document|bos|eos|pad|unk)\b|</?SYS>>)', '<␛\1', 'g'), '\[(/?(?:INST|SYS|TOOL|AVAILABLE|IMG))', '[␛\1', 'g') AS y
+              FROM (SELECT *, unnest([role, text]) AS x FROM said)),
+        n AS (SELECT conv_id, sum(len(y)) AS n, count(*) // 2 AS turns FROM e GROUP BY conv_id)
+        SELECT s.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            (any_value(n.n) + 23 * any_value(n.turns))::BIGINT AS formatted_chars FROM said s JOIN n USING (conv_id) GROUP BY s.conv_id""",
+    "op8_tensored": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.doc_id <> b.doc_id AND len(a.s) > 0 AND 10 * len(b.s) >= 8 * len(a.s) AND 10 * len(a.s) >= 8 * len(b.s)
+            WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s))),
+        nodes AS (SELECT DISTINCT u AS id FROM links)""" + _REACH + """
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN components c ON c.id = s.doc_id""",
     "op4_norm_sorted": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
