@@ -7,7 +7,6 @@ of nearly the same loss make it ambiguous."""
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -48,9 +47,10 @@ def features(text: str) -> np.ndarray:
     return out / max(float(np.sqrt(out @ out)), 1e-9)
 
 
-def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "x": [features(t).astype(np.float16).tobytes() for t in x["text"]]})
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(x, pa.binary())], ["lang", "h", "x"])
 
 
 def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int = 150) -> dict:
@@ -67,7 +67,7 @@ def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int
     some = hashed.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     least = some.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("_r", rank).filter(F.col("_r") <= per_lang)
-    got = least.select("lang", "text", "h").mapInPandas(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    got = least.select("lang", "text", "h").mapInArrow(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
     if not got.num_rows:
         return {"langs": []}
     x = np.stack([np.frombuffer(b.as_buffer(), np.float16) for b in got["x"]]).astype(np.float32)

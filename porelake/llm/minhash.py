@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, lookup, spread, stash, unstash
 from .vectors import grouped, in_cells
-from .words import LOWER, Hasher, buffer, chunks, encoded, mixed, words
+from .words import LOWER, Hasher, buffer, chunks, mixed, words
 
 _PRINT = 4096
 
@@ -76,9 +76,9 @@ def digests(shingle: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _chunked(texts: pa.Array, k: int, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
     """(first, end, shingles, where each text's begin, which texts have any, digests of all) for ranges of a batch's texts."""
-    coded = [encoded(t) for t in texts.to_pylist()]
-    for lo, hi in chunks(coded):
-        s, begin = shingles(coded[lo:hi], k, hasher)
+    for lo, _, coded in chunks(texts):
+        hi = lo + len(coded)
+        s, begin = shingles(coded, k, hasher)
         some = np.flatnonzero(np.diff(begin))
         sums = np.zeros((2, hi - lo), np.int64)
         if len(some):

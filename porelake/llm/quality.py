@@ -55,35 +55,35 @@ def features(texts: list[bytes], lower: list[bytes], hasher: Hasher) -> tuple[np
             _, at, times = np.unique(hasher.spans(hasher.sums(raw), start, end) + mixed(doc), return_index=True, return_counts=True)
         own = doc[at]
         kinds = np.bincount(own.astype(np.int64), minlength=len(texts))
-        both, which = np.unique(np.stack([own, _shapes(raw, start[at], end[at])]), axis=1, return_inverse=True)
-        having = np.bincount(which.ravel(), times)
-        step = np.minimum(_STEPS - 1, np.log2(n[both[0].astype(np.int64)] / having).astype(np.int64))
+        shape = _shapes(raw, start[at], end[at])
+        with np.errstate(over="ignore"):
+            _, one, which = np.unique(shape + mixed(own), return_index=True, return_inverse=True)
+        whose, shape, having = own[one], shape[one], np.bincount(which, times)
+        step = np.minimum(_STEPS - 1, np.log2(n[whose.astype(np.int64)] / having).astype(np.int64))
         for j in range(_STEPS):  # at least this share
             mine = step <= j
-            made.append((both[0][mine], _place(10 + j, both[1][mine])))
+            made.append((whose[mine], _place(10 + j, shape[mine])))
         some = np.flatnonzero(n)
         made.append((some.astype(np.uint64), _place(30, (8 * kinds[some] // n[some]).astype(np.uint64))))
         low, _ = buffer(lower)
         a, b = (x[at] for x in words(low))
-        inner, sums = np.flatnonzero(_INNER[low]), hasher.sums(low)
-        inner = np.concatenate([inner, [len(low)]])
-        first = np.minimum(inner[np.searchsorted(inner, a)], b)
-        last = np.maximum(inner[np.searchsorted(inner, b) - 1] + 1, first)
-        last = np.where(first == b, first, last)
+        inside, sums = _INNER[low], hasher.sums(low)
+        inner, before = np.append(np.flatnonzero(inside), len(low)), np.concatenate([[0], np.cumsum(inside)])
+        first = np.minimum(inner[before[a]], b)
+        last = np.where(first < b, inner[before[b] - 1] + 1, first)
         made.append((own, _place(1, hasher.spans(sums, first, last))))
         for k in (4, 5):
             long = last - first > k
             made.append((own[long], _place(k, hasher.spans(sums, first[long], first[long] + k))))
-    pairs = np.unique(np.concatenate([d * np.uint64(DIM) + f for d, f in made]))
+    pairs = np.sort(np.concatenate([d * np.uint64(DIM) + f for d, f in made]))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
     return (pairs % np.uint64(DIM)).astype(np.uint32), np.searchsorted(pairs, np.arange(len(texts) + 1, dtype=np.uint64) * np.uint64(DIM))
 
 
 def _chunked(texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, features, where each text's begin) for ranges of a batch's texts."""
-    texts = texts.to_pylist()
-    coded = [encoded(t) for t in texts]
-    for lo, hi in chunks(coded):
-        yield lo, hi, *features(coded[lo:hi], [encoded((t or "").lower()) for t in texts[lo:hi]], hasher)
+    for lo, part, coded in chunks(texts):
+        yield lo, lo + len(part), *features(coded, [encoded((t or "").lower()) for t in part], hasher)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,12 +4,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, embed_dedup, langid, licenses, minhash, mixing, packing, quality, sharding, topk
-from .common import read
+from .common import read as table
+from .common import small_batches
 from .vectors import finite
 
 _END = {"special": (("<|endoftext|>", 50256),), "end_id": 0}
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def ranks_path() -> str:
     import public_tokenizers
 

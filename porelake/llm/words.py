@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -23,16 +24,19 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def chunks(texts: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about `size` bytes together; a longer text is one of its own."""
-    lo = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield lo, i
-            lo, held = i, 0
-        held += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+def chunks(texts: pa.Array, rows: int = 128, size: int = 1 << 17) -> Iterator[tuple[int, list[str | None], list[bytes]]]:
+    """(first, texts, the same encoded) for ranges of at most `rows` neighbouring texts of about `size` bytes together; a longer text is
+    a range of its own. Only so many are held as Python objects, however many the batch has."""
+    for a in range(0, len(texts), rows):
+        part = texts[a : a + rows].to_pylist()
+        coded = [encoded(t) for t in part]
+        lo = held = 0
+        for i, t in enumerate(coded):
+            if i > lo and held + len(t) > size:
+                yield a + lo, part[lo:i], coded[lo:i]
+                lo, held = i, 0
+            held += len(t)
+        yield a + lo, part[lo:], coded[lo:]
 
 
 class Hasher:
@@ -43,7 +47,7 @@ class Hasher:
 
     def sums(self, raw: np.ndarray) -> np.ndarray:
         if len(raw) > len(self.up):
-            n = max(2 * len(raw), 1 << 16)
+            n = max(len(raw) + (len(raw) >> 2), 1 << 18)
             with np.errstate(over="ignore"):
                 self.up, self.down = np.cumprod(np.full(n, _STEP | 1, np.uint64)), np.cumprod(np.full(n, pow(_STEP | 1, -1, 2**64), np.uint64))
         with np.errstate(over="ignore"):
