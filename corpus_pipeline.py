@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from porelake.llm import langid, minhash, mixing, quality
-from porelake.llm.common import read, stash
+from porelake.llm.common import read, small_batches, stash
 from porelake.llm.queries import digested, pack_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,6 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (`und`) and those whose decoding is ambiguous; a null lang becomes the predicted one."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     model = langid.fit(docs.filter("lang is not null and text is not null"))
     said = langid.predict(docs, model, COLUMNS).filter((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select("key.*", "lang_pred")
@@ -23,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose probability of the highest grade, neither of low quality nor toxic, is under one half."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     model = quality.fit(docs, quality.graded(read(spark, sf_dir, "labels")))
     return quality.grade(docs, model, COLUMNS).filter("selected").select("key.*")
@@ -32,6 +34,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps one row of each group of near-duplicates (five words, 80 %): that of the least doc_id, a null one last, and the least hash.
 
     Rows are told apart by all their columns, so that rows of one doc_id, or of none, with different texts are different documents."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     nulls = F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in COLUMNS))  # hashes leave nulls out
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(nulls, *COLUMNS).alias("h2"))
@@ -43,11 +46,13 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document and round of its source that takes some of it, with the text that it takes."""
+    small_batches(spark)
     out = mixing.mixed_texts(*mixing.mix(docs.select(COLUMNS), with_texts=True))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return digested(pack_documents(docs, ["doc_id"]))
 
 
