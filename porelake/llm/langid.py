@@ -67,12 +67,19 @@ def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int
     some = hashed.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     least = some.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("_r", rank).filter(F.col("_r") <= per_lang)
-    got = least.select("lang", "text", "h").mapInArrow(_featurise, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]).combine_chunks()
+    got = least.select("lang", "text", "h").mapInArrow(_featurise, "lang string, h long, x binary").toArrow()
     if not got.num_rows:
         return {"langs": []}
-    x = np.stack([np.frombuffer(b.as_buffer(), np.float16) for b in got["x"]]).astype(np.float32)
-    which = np.array([langs.index(v) for v in got["lang"].to_pylist()])
+    place = {lang: i for i, lang in enumerate(langs)}
+    which = np.array([place[v] for v in got["lang"].to_pylist()])
+    order = np.lexsort((got["h"].to_numpy(), which))  # the same sums in each run
+    which, x = which[order], np.empty((len(order), DIM), np.float32)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    for i, b in zip(at, got["x"], strict=True):
+        x[i] = np.frombuffer(b.as_buffer(), np.float16)
     del got
+    pa.default_memory_pool().release_unused()
     code = codewords(len(langs))
     y, weight = code[which], (1 / np.bincount(which, minlength=len(langs)))[which].astype(np.float32)[:, None] / len(langs)
     w, bias = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)

@@ -106,7 +106,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int =
     chosen = graded.withColumn("h", h).filter(F.col("h") <= F.lit(int(min(1.0, (1.1 * max_rows + 100) / max(n, 1)) * (1 << 30))))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "h", F.xxhash64("text").alias("t"), "text")
     made = picked.mapInArrow(_featurise, "grade int, h long, t long, x binary")
-    got = made.orderBy("h", "t", "x").limit(max_rows).toArrow().combine_chunks()
+    got = made.orderBy("h", "t", "x").limit(max_rows).toArrow()
     if not got.num_rows:
         return {"w": np.zeros(DIM, np.float32), "known": np.zeros(DIM, bool), "cuts": np.zeros(0), "fitted": False}
     rows = [np.frombuffer(b.as_buffer(), np.uint32) for b in got["x"]]
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int =
     lens = np.array([len(r) for r in rows])
     cols, doc = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lens)
     del rows, got
+    pa.default_memory_pool().release_unused()
     share = np.bincount(y, minlength=k).astype(float)
     having = np.stack([np.bincount(cols[y[doc] == g], minlength=DIM) for g in range(k)]).astype(float)
     seen = having.sum(0)
@@ -139,11 +140,16 @@ def fit(docs: DataFrame, grades: DataFrame, max_rows: int = 6_000, steps: int =
     w = np.zeros(len(names))
     cuts = np.linspace(-1, 1, k - 1) if k > 2 else np.zeros(k - 1)
     m, v, mc, vc = np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)
+    # some texts at a time, so that what is made on the way stays small
+    ends = np.searchsorted(doc, np.arange(0, n + 500, 500))
+    parts = [(a * 500, min(a * 500 + 500, n), slice(lo, hi)) for a, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if a * 500 < n]
     for t in range(1, steps + 1):  # Adam on the weighted cumulative-link loss
-        s = np.bincount(doc, x * w[cols], n) * scale
-        g = (1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30))) - above) * weight[:, None]
-        gw = np.bincount(cols, x * (g.sum(1) * scale)[doc], len(names)) + 3e-4 * w
-        gc = -g.sum(0)
+        gw, gc = 3e-4 * w, np.zeros_like(cuts)
+        for a, b, of in parts:
+            s = np.bincount(doc[of] - a, x[of] * w[cols[of]], b - a) * scale[a:b]
+            g = (1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30))) - above[a:b]) * weight[a:b, None]
+            gw += np.bincount(cols[of], x[of] * (g.sum(1) * scale[a:b])[doc[of] - a], len(names))
+            gc -= g.sum(0)
         m, v, mc, vc = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mc + 0.1 * gc, 0.99 * vc + 0.01 * gc * gc
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         cuts = np.sort(cuts - 0.05 * (mc / (1 - 0.9**t)) / (np.sqrt(vc / (1 - 0.99**t)) + 1e-9))
