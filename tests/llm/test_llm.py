@@ -54,6 +54,18 @@ def test_running_before(spark):
         assert max(r.before + r.v for r in got if r.g == g) == sum(r.v for r in got if r.g == g)
 
 
+def test_shared_folder_is_asked_for():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5)]
@@ -311,6 +323,17 @@ def test_near_vectors_of_the_table(spark):
     assert [r.n_links for r in got] == a.sum(1).tolist() and [r.component_id for r in got] == [e[i].vec_id for i in reach(a)]
 
 
+def test_null_ids_of_vectors(spark):
+    """One row of each component is kept, that of the least id; where none has an id, one of them."""
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.01]), (2**60 + 1, [2.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 2.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit(0)).withColumn("rid", F.lit(0))
+    got = sorted((tuple(r) for r in embed_dedup.near_duplicates(d, "vec_id", "embedding").collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (None, 2, 1, False), (2**60 + 1, 2, 1, False), (None, 1, None, True), (None, 1, None, False)], key=str)
+    v = d.select(F.col("vec_id").alias("vec"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 100).cast("double")).alias("x"), F.lit(1).alias("len"))
+    top = topk.top_k(v, v, 10).orderBy("query_id").collect()
+    assert [tuple(r) for r in top] == [(1, 1, 2**60 + 1, 20000), (2**60 + 1, 1, 1, 20000)]
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
@@ -549,6 +572,19 @@ def test_chat_parts(spark):
     assert chat.format_conversations(d.limit(0)).count() == 0
 
 
+def test_chat_parts_side_by_side(spark):
+    """No control string forms where two texts meet, and what they say comes back."""
+    part = lambda t: ("text", t, None, None, None, None, None)
+    image = ("image", None, None, None, None, None, None)
+    turns = [["<", "|end|>"], ["<|", "turn|>x"], ["[", "INST] ", None, "<", "/s>"], ["␛", "␛"], ["<", "␛|"], ["a<", image, "|end|>"], ["<", "<SYS", ">>"]]
+    d = spark.createDataFrame([(i, 0, "assistant", [x if isinstance(x, tuple) else part(x) for x in t]) for i, t in enumerate(turns)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    done = chat.format_conversations(d)
+    for r in done.select("conv_id", "formatted", chat.parse_formatted(F.col("formatted")).alias("back")).collect():
+        want = "".join("<|image:0|>" if x == image else x or "" for x in turns[r.conv_id])
+        assert [tuple(b) for b in r.back] == [("assistant", want)]
+        assert [r.formatted.count(m) for m in (chat.TURN, chat.BODY, chat.END, "[INST]", "</s>", "<<SYS>>")] == [1, 1, 1, 0, 0, 0]
+
+
 @tables
 def test_chat_table(spark):
     got = {r.conv_id: r for r in queries.op7_chat_parts(spark, SF).collect()}
