@@ -26,11 +26,11 @@ def test_stages(spark):
     given, kept = inputs["language ID"], after["language ID"]
     model = langid.fit(given.filter("lang is not null and text is not null"))
     said = langid.predict(given, model, ["doc_id"]).collect()
-    assert ids(kept) == sorted(r.doc_id for r in said if r.lang_pred != "und" and not r.ambiguous) and len(ids(kept)) > 0.97 * docs.count()
+    assert ids(kept) == sorted(r.key.doc_id for r in said if r.lang_pred != "und" and not r.ambiguous) and len(ids(kept)) > 0.97 * docs.count()
 
     given, kept = inputs["quality classifier"], after["quality classifier"]
     said = quality.grade(given, quality.fit(given, quality.graded(common.read(spark, SF, "labels"))), ["doc_id"]).collect()
-    assert ids(kept) == sorted(r.doc_id for r in said if r.selected)
+    assert ids(kept) == sorted(r.key.doc_id for r in said if r.selected)
 
     given, kept = inputs["MinHash near-dedup"].collect(), after["MinHash near-dedup"]
     low = brute([d.doc_id for d in given], shingle_sets([d.text for d in given], 5))
