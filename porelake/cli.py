@@ -3,7 +3,7 @@
 import argparse
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import distance, features, metrics, reads, scoring, sites, training, validate
@@ -18,17 +18,37 @@ def _signals(spark, path):
     return arrays.read_signals(spark, path) if path.endswith(".parquet") else arrays.read_pod5(spark, path)
 
 
+def _report(written):
+    """Runs a sink and shows its counts."""
+    written.agg(F.countDistinct("path").alias("files"), F.sum("rows").alias("rows")).show()
+
+
+def _matrices(rows, a, file_column="file_name"):
+    """Rows of path, ord, features as .npy files named by a column, or as Parquet."""
+    if a.form == "parquet":
+        (rows.write.partitionBy(file_column) if file_column == "chunk" else rows.write).parquet(a.output)
+    else:
+        named = rows.withColumn("_name", F.format_string("chunk%d", "chunk") if file_column == "chunk" else F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.npy$", ""))
+        _report(arrays.write_matrices(named, a.output, "_name", ["path", "ord"]))
+
+
 def extract_hc_sites(spark, a):
     labels = reads.truth_labels(tables.read_hc_sites(spark, a.pos, 1), tables.read_hc_sites(spark, a.neg, 0))
     reference = fasta.read_fasta(spark, a.reference_path)
     made = features.site_features(_alignments(spark, a.bam_path), _signals(spark, a.pod5_dir), reference, a.motif_type, a.loc_in_motif, a.kmer_size, labels, round_digits=6)
     width = fasta.max_name_length(reference).first()[0] or 0
-    features.training_matrix(made, width).write.partitionBy("file_name").parquet(a.write_dir)
+    matrix = features.training_matrix(made, width)
+    matrix.write.partitionBy("file_name").parquet(a.write_dir) if a.form == "parquet" else _report(arrays.write_npz(matrix, a.write_dir))
 
 
 def extract_and_call_mods(spark, a):
-    made = features.site_features(_alignments(spark, a.bam_path), _signals(spark, a.pod5_dir), fasta.read_fasta(spark, a.reference_path), a.motif_type, a.loc_in_motif, a.kmer_size)
+    aligned, found = Observation("reads"), Observation("features")
+    whole = reads.counted(_alignments(spark, a.bam_path), "reads", aligned)
+    made = features.site_features(whole, _signals(spark, a.pod5_dir), fasta.read_fasta(spark, a.reference_path), a.motif_type, a.loc_in_motif, a.kmer_size)
+    made = reads.counted(made, "features", found, files=F.approx_count_distinct("file_name"))
     tables.write_calls(scoring.call_mods(made, scoring.BiLstmScorer.load(a.module_path), a.batch_size), a.write_file)
+    counts = aligned.get | found.get
+    print(f"{counts['files']} signal files, {counts['reads']} reads, {counts['features']} features, at least {-(-counts['features'] // a.batch_size)} batches")
 
 
 def _calls(spark, path):
@@ -68,9 +88,11 @@ def distance_correlation(spark, a):
 
 
 def down_sample(spark, a):
-    whole = _alignments(spark, a.bam)
+    binary = not a.bam.endswith((".sam", ".parquet"))
+    whole = bam.read_raw(spark, a.bam) if binary else _alignments(spark, a.bam)
     for level, part in reads.coverage_series(whole, a.cov).items():
-        part.write.parquet(f"{a.output}/coverage={level}")
+        folder = f"{a.output}/coverage={level}"
+        _report(bam.write_sorted(part, bam.header_of(a.bam), folder)) if binary else part.write.parquet(folder)
 
 
 def validation(spark, a):
@@ -81,16 +103,20 @@ def validation(spark, a):
 
 def merge_npz(spark, a):
     rows = arrays.read_matrices(spark, a.input, a.kmer_size)
-    training.chunk_of(rows.withColumn("_k", F.concat_ws("#", "path", "ord")), "_k", a.chunks).drop("_k").write.partitionBy("chunk").parquet(a.output)
+    _matrices(training.chunk_of(rows.withColumn("_k", F.concat_ws("#", "path", "ord")), "_k", a.chunks).drop("_k"), a, "chunk")
 
 
 def extract_kmer(spark, a):
-    features.crop_features(arrays.read_matrices(spark, a.input, a.kmer_size), a.kmer_size, a.new_kmer_size).write.parquet(a.output)
+    _matrices(features.crop_features(arrays.read_matrices(spark, a.input, a.kmer_size), a.kmer_size, a.new_kmer_size), a)
 
 
 def combine(spark, a):
     rows = training.union_sources(arrays.read_matrices(spark, a.one, a.kmer_size), arrays.read_matrices(spark, a.two, a.kmer_size))
-    training.shuffle_rows(rows, ["path", "ord"]).write.parquet(a.output)
+    if a.form == "parquet":
+        training.shuffle_rows(rows, ["path", "ord"]).write.parquet(a.output)
+    else:  # rows of both sources go to files, and to places in them, by their hash
+        dealt = training.chunk_of(rows.withColumn("_k", F.concat_ws("#", "path", "ord")), "_k", a.chunks).withColumn("_name", F.format_string("combined%d", "chunk"))
+        _report(arrays.write_matrices(dealt.withColumn("_h", training.hash_order(["_k"])), a.output, "_name", ["_h", "_k"]))
 
 
 def train(spark, a):
@@ -105,7 +131,7 @@ def train(spark, a):
 
 # name: (function, arguments as (name, default, type); no default: required and in this order)
 COMMANDS = {
-    "extract_hc_sites": (extract_hc_sites, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_dir",), ("pos",), ("neg",), ("kmer_size", 51, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int)]),
+    "extract_hc_sites": (extract_hc_sites, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_dir",), ("pos",), ("neg",), ("kmer_size", 51, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int), ("form", "npz", str)]),
     "extract_and_call_mods": (extract_and_call_mods, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_file",), ("module_path",), ("kmer_size", 51, int), ("batch_size", 1024, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int)]),
     "detail_aggregation": (detail_aggregation, [("file_path",), ("threshold", 0.5, float), ("aggregation_output", "detail_aggregation.txt", str), ("filter_ratio", 0.0, float), ("merge_strand", "", str)]),
     "detail_dict": (detail_dict, [("file",), ("wgbs",), ("output",), ("threshold", 0.5, float)]),
@@ -114,9 +140,9 @@ COMMANDS = {
     "distance_correlation": (distance_correlation, [("file",), ("output",), ("dist_len", 0, int), ("max_distance", None, int)]),
     "down_sample": (down_sample, [("bam",), ("output",), ("cov", 60.0, float)]),
     "validation": (validation, [("bam",), ("detail",), ("wgbs",), ("cov", 60.0, float), ("threshold", 0.5, float)]),
-    "merge_npz": (merge_npz, [("input",), ("output",), ("kmer_size", 51, int), ("chunks", 10, int)]),
-    "combine": (combine, [("one",), ("two",), ("output",), ("kmer_size", 51, int)]),
-    "extract_kmer": (extract_kmer, [("input",), ("output",), ("kmer_size", 51, int), ("new_kmer_size", 13, int)]),
+    "merge_npz": (merge_npz, [("input",), ("output",), ("kmer_size", 51, int), ("chunks", 10, int), ("form", "npy", str)]),
+    "combine": (combine, [("one",), ("two",), ("output",), ("kmer_size", 51, int), ("chunks", 10, int), ("form", "npy", str)]),
+    "extract_kmer": (extract_kmer, [("input",), ("output",), ("kmer_size", 51, int), ("new_kmer_size", 13, int), ("form", "npy", str)]),
     "train": (train, [("input",), ("output",), ("kmer_size", 51, int)]),
 }
 

@@ -1,6 +1,6 @@
 """Reads: gates, and joins with signals, reference and truth sites."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
@@ -87,6 +87,11 @@ def label_sites(sites: DataFrame, labels: DataFrame) -> DataFrame:
     return sites.join(labels, ["chr", "pos"])
 
 
+def counted(df: DataFrame, name: str, seen: Observation, **more: Column) -> DataFrame:
+    """The same rows; the action that runs them counts them into the observation, as `name`, with further aggregates."""
+    return df.observe(seen, F.count(F.lit(1)).alias(name), *(c.alias(n) for n, c in more.items()))
+
+
 def accessors(raw_reads: DataFrame) -> DataFrame:
     return raw_reads.select("file_name", "read_id", F.size("signal").alias("n_samples"), "offset", "scale")
 

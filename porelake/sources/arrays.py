@@ -6,7 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
@@ -45,20 +48,69 @@ def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.selectExpr("element_at(split(path, '/'), -1) as name", "path", "length as size")
 
 
-def write_npz(features: DataFrame, folder: str, partition_column: str = "file_name") -> DataFrame:
-    """Writes site_infos (bytes of fixed width) and features of each file_name to folder/<name>.npz, a folder that the executors share;
-    rows: file_name, info string, features array<float>. Returns file_name and rows written."""
+def _save(folder: str, name: str, piece: int, form: str, rows: list[pa.RecordBatch]) -> tuple[str, int]:
+    """Rows of one file; its name is the same in each run, so a task that runs again writes the same file."""
+    table = pa.Table.from_batches(rows)
+    matrix = np.stack([np.asarray(x, np.float32) for c in table.column("features").chunks for x in _lists(c)])
+    stem = name.replace("/", "_") + (f".part{piece}" if piece else "")
+    target, draft = os.path.join(folder, f"{stem}.{form}"), os.path.join(folder, f".{stem}.{TaskContext.get().taskAttemptId()}.tmp")
+    os.makedirs(folder, exist_ok=True)
+    with open(draft, "wb") as f:
+        if form == "npy":
+            np.save(f, matrix)
+        else:
+            info = np.frombuffer("".join(table.column("info").to_pylist()).encode(), np.uint8).reshape(len(matrix), -1)
+            np.savez(f, site_infos=info, features=matrix)
+    os.replace(draft, target)
+    return target, len(matrix)
+
+
+def _lists(column: pa.Array):
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def _files(folder: str, form: str, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, piece, rows, n = None, 0, [], 0
+
+        def done():
+            path, count = _save(folder, name, piece, form, rows)
+            return pa.RecordBatch.from_pydict({"file_name": [name], "path": [path], "rows": [count]}, pa.schema([("file_name", pa.string()), ("path", pa.string()), ("rows", pa.int64())]))
+
+        for batch in batches:
+            names = np.asarray(batch.column("_file").to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                while lo < hi:
+                    if rows and (names[lo] != name or n == most):
+                        yield done()
+                        piece, rows, n = (piece + 1 if names[lo] == name else 0), [], 0
+                    name = names[lo]
+                    take = min(hi - lo, most - n)
+                    rows.append(batch.slice(lo, take))
+                    lo, n = lo + take, n + take
+        if rows:
+            yield done()
+
+    return run
+
+
+def write_matrices(rows: DataFrame, folder: str, file_column: str, order: list[str], form: str = "npy", most: int = 65_536) -> DataFrame:
+    """Writes features (array<float>, one width) of each value of file_column to folder/<value>.npy, or with info (strings of one length, as
+    bytes) to <value>.npz; the folder is one that the executors share. A file has `most` rows at most: more go to <value>.part1.npy and on, so
+    a task holds no more than that. Rows stand in `order`, which should tell them apart. Returns file_name, path, rows of each file; a null
+    value is the file `none`."""
+    keep = ["features", "info"] if form == "npz" else ["features"]
+    named = rows.withColumn("_file", F.coalesce(F.col(file_column).cast("string"), F.lit("none")))
+    dealt = named.repartition("_file").sortWithinPartitions("_file", *order)
+    return dealt.select("_file", F.col("features").cast("array<float>").alias("features"), *keep[1:]).mapInArrow(_files(folder, form, most), "file_name string, path string, rows long")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[partition_column].iloc[0])
-        info = np.frombuffer("".join(pdf["info"]).encode(), np.uint8).reshape(len(pdf), -1)
-        os.makedirs(folder, exist_ok=True)
-        target = os.path.join(folder, os.path.splitext(os.path.basename(name))[0] + ".npz")
-        np.savez(target + ".tmp.npz", site_infos=info, features=np.stack(pdf["features"].to_numpy()).astype(np.float32))
-        os.replace(target + ".tmp.npz", target)  # a task that runs again writes the same file
-        return pd.DataFrame({partition_column: [name], "rows": [len(pdf)]})
 
-    return features.groupBy(partition_column).applyInPandas(one, f"{partition_column} string, rows long")
+def write_npz(features: DataFrame, folder: str, partition_column: str = "file_name", most: int = 65_536) -> DataFrame:
+    """write_matrices() of rows of file_name, info, features: an .npz of site_infos and features for each signal file, by its name without
+    `.pod5`."""
+    return write_matrices(features.withColumn(partition_column, F.regexp_replace(partition_column, r"\.pod5$", "")), folder, partition_column, ["info"], "npz", most)
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:

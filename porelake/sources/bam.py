@@ -1,18 +1,20 @@
-"""BAM as a Python data source: BGZF blocks are gzip members, records are decoded to Arrow batches, one partition for each file."""
+"""BAM as a Python data source: records are decoded to Arrow batches. A file with an index beside it is read in splits that start at
+records which the index names, any other as one. The sink writes sorted, indexed files, one for each range of places."""
 
 import glob
-import gzip
 import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.cigar import OPS
+from . import bgzf
 from .sam import COLUMNS, derive
 
 # Bases by their code of four bits.
@@ -28,7 +30,7 @@ _ARROW = pa.schema([
     ("read_id", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("mapq", pa.int32()), ("pos0", pa.int32()),
     ("cigar", pa.list_(pa.struct([("op", pa.int8()), ("len", pa.int32())]))), ("rnext", pa.string()), ("pnext", pa.int32()), ("tlen", pa.int64()), ("seq", pa.string()),
     ("qual", pa.string()), ("file_name", pa.string()), ("trim_start", pa.int32()), ("num_samples", pa.int32()), ("nm", pa.int32()), ("md", pa.string()),
-    ("parent_read", pa.string()), ("split", pa.int32()), ("mv", pa.list_(pa.int32())),
+    ("parent_read", pa.string()), ("split", pa.int32()), ("mv", pa.list_(pa.int32())), ("record", pa.binary()),
 ])
 
 
@@ -70,33 +72,60 @@ def decode_record(b: bytes, names: list[str]) -> dict:
     }
 
 
-def read_records(stream) -> Iterator[dict]:
-    assert stream.read(4) == b"BAM\1", "not a BAM file"
+def read_header(stream: bgzf.Reader) -> list[tuple[str, int]]:
+    """Names and lengths of the references; the stream then stands at the first record."""
+    if stream.read(4) != b"BAM\1":
+        raise ValueError("not a BAM file")
     stream.read(struct.unpack("<i", stream.read(4))[0])
     names = []
     for _ in range(struct.unpack("<i", stream.read(4))[0]):
-        names.append(stream.read(struct.unpack("<i", stream.read(4))[0])[:-1].decode())
-        stream.read(4)
-    while head := stream.read(4):
-        yield decode_record(stream.read(struct.unpack("<i", head)[0]), names)
+        name = stream.read(struct.unpack("<i", stream.read(4))[0])[:-1].decode()
+        names.append((name, struct.unpack("<i", stream.read(4))[0]))
+    return names
+
+
+def read_bodies(stream: bgzf.Reader, end: int | None) -> Iterator[bytes]:
+    """Records, without their lengths, that start before a virtual offset."""
+    while (end is None or stream.tell() < end) and (head := stream.read(4)):
+        yield stream.read(struct.unpack("<i", head)[0])
+
+
+def splits(path: str, size: int) -> list[tuple[int | None, int | None]]:
+    """Ranges of virtual offsets of at least `size` bytes of the file, by the index beside it; (None, None), the whole, if it has none."""
+    beside = [p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if os.path.exists(p)]
+    cuts = [None]
+    if beside:
+        with open(beside[0], "rb") as f:
+            last = 0
+            for at in bgzf.record_starts(f.read()):
+                if (at >> 16) - last >= size:
+                    cuts.append(at)
+                    last = at >> 16
+    return list(zip(cuts, [*cuts[1:], None], strict=True))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
+    def __init__(self, path: str, columns: list[str], size: int):
+        self.path, self.columns, self.size = path, columns, size
 
     def partitions(self):
         files = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition(f) for f in files] or [InputPartition(None)]
+        return [InputPartition((f, *s)) for f in files for s in splits(f, self.size)] or [InputPartition(None)]
 
     def read(self, partition):
         if partition.value is None:
             return
+        path, start, end = partition.value
         schema = pa.schema([_ARROW.field(c) for c in self.columns])
         rows = []
-        with gzip.open(partition.value) as stream:
-            for row in read_records(stream):
-                rows.append({c: row[c] for c in self.columns})
+        with open(path, "rb") as f:
+            stream = bgzf.Reader(f)
+            names = [n for n, _ in read_header(stream)]
+            if start is not None:
+                stream = bgzf.Reader(f, start)
+            for body in read_bodies(stream, end):
+                row = decode_record(body, names)
+                rows.append({c: body if c == "record" else row[c] for c in self.columns})
                 if len(rows) == 512:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -105,17 +134,18 @@ class _Reader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path): a file, a pattern, or a folder of .bam files on storage that the executors mount."""
+    """spark.read.format("bam").load(path): a file, a pattern, or a folder of .bam files on storage that the executors mount. Options:
+    `split`, the least bytes of a split (64 MB); `record`, `true` for the records' own bytes in a further column."""
 
     @classmethod
     def name(cls):
         return "bam"
 
     def schema(self):
-        return RAW
+        return RAW + (", record binary" if self.options.get("record") == "true" else "")
 
     def reader(self, schema):
-        return _Reader(self.options["path"], list(schema.names))
+        return _Reader(self.options["path"], list(schema.names), int(self.options.get("split", 64 << 20)))
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
@@ -126,11 +156,76 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("stride", F.col("_m.stride")).withColumn("moves", F.col("_m.moves")).select(COLUMNS)
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, flag, chr, pos0 and record, the alignment's own bytes, for write_sorted()."""
+    spark.dataSource.register(BamSource)
+    return spark.read.format("bam").option("record", "true").load(path).select("read_id", "flag", "chr", "pos0", "record")
+
+
+def header_of(path: str) -> list[tuple[str, int]]:
+    """Names and lengths of the references of a file, or of all files of a folder or pattern, which must agree."""
+    found = []
+    for name in sorted(glob.glob(os.path.join(path, "*.bam") if os.path.isdir(path) else path)):
+        with open(name, "rb") as f:
+            found.append(read_header(bgzf.Reader(f)))
+    if not found or any(h != found[0] for h in found):
+        raise ValueError("no BAM files, or files of different references")
+    return found[0]
+
+
+def _head(names: list[tuple[str, int]], text: bytes = b"") -> bytes:
+    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(names))
+    return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in names)
+
+
+def _place(record: bytes) -> tuple[int, int, int]:
+    """Reference, start and end of a record; one base long if it has no operations over the reference."""
+    tid, pos = struct.unpack_from("<ii", record)
+    ops = np.frombuffer(record, "<u4", struct.unpack_from("<H", record, 12)[0], 32 + record[8])
+    return (tid if pos >= 0 else -1), pos, pos + max(int((ops >> 4)[np.isin(ops & 15, (0, 2, 3, 7, 8))].sum()), 1)
+
+
+def _part(folder: str, names: list[tuple[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        target, draft = os.path.join(folder, f"part-{task.partitionId():05d}.bam"), f".{task.taskAttemptId()}.tmp"
+        os.makedirs(folder, exist_ok=True)
+        n, index = 0, bgzf.Index(len(names))
+        with open(target + draft, "wb") as f:
+            out = bgzf.Writer(f)
+            out.write(_head(names, b"@HD\tVN:1.6\tSO:coordinate\n"))
+            out.flush()
+            for batch in batches:
+                for record in batch.column("record").to_pylist():
+                    at = out.write(struct.pack("<i", len(record)) + record)
+                    index.add(*_place(record), at, out.tell())
+                    n += 1
+            out.close()
+        with open(target + ".bai" + draft, "wb") as f:
+            f.write(index.dump())
+        os.replace(target + draft, target)  # a task that runs again writes the same files
+        os.replace(target + ".bai" + draft, target + ".bai")
+        yield pa.RecordBatch.from_pydict({"path": [target], "rows": [n]})
+
+    return run
+
+
+def write_sorted(raw: DataFrame, names: list[tuple[str, int]], folder: str, parts: int | None = None) -> DataFrame:
+    """Writes rows of read_raw() as sorted BAM files with indexes to a folder that the executors share: a file for each range of
+    (reference, start), reads without a place last. References stand in the header's order. Returns path and rows of each file.
+
+    Ranges are cut on the record's hash as well, so reads that pile up at one place are spread over files."""
+    order = F.create_map(*(F.lit(v) for i, (n, _) in enumerate(names) for v in (n, i))) if names else F.create_map().cast("map<string,int>")
+    place = F.when(F.col("pos0") >= 0, F.try_element_at(order, F.col("chr")))
+    rows = raw.select(F.coalesce(place, F.lit(2**31 - 1)).alias("_ref"), F.col("pos0").alias("_at"), F.xxhash64("record").alias("_h"), "record")
+    keys = ["_ref", "_at", "_h"]
+    dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys, "record").select("record").mapInArrow(_part(folder, names), "path string, rows long")
+
+
 def write_bam(path: str, names: list[tuple[str, int]], rows: list[dict]) -> None:
     """A small BAM file, for fixtures: rows of read_id, flag, chr, pos0, mapq, cigar [(op, len)], seq, qual, tags {name: (kind, value)}."""
-    out = bytearray(b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(names)))
-    for name, length in names:
-        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    out = bytearray()
     ids = {n: i for i, (n, _) in enumerate(names)}
     for r in rows:
         seq = r.get("seq") or ""
@@ -143,5 +238,8 @@ def write_bam(path: str, names: list[tuple[str, int]], rows: list[dict]) -> None
             rec += name.encode() + kind[:1].encode()
             rec += value.encode() + b"\0" if kind == "Z" else kind[1].encode() + struct.pack("<i", len(value)) + struct.pack(f"<{len(value)}{_KINDS[kind[1]]}", *value) if kind[0] == "B" else struct.pack("<" + _KINDS[kind], value)
         out += struct.pack("<i", len(rec)) + rec
-    with gzip.open(path, "wb") as f:
-        f.write(bytes(out))
+    with open(path, "wb") as f:
+        stream = bgzf.Writer(f)
+        stream.write(_head(names))
+        stream.write(bytes(out))
+        stream.close()

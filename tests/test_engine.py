@@ -266,6 +266,54 @@ def test_matrices(spark, genome, tmp_path):
     assert {r.name for r in arrays.list_files(spark, str(tmp_path / "npz"), ".npz").collect()} == {"one.npz", "bad.npz"}
 
 
+def test_matrix_files_are_cut(spark, tmp_path):
+    made = spark.range(25).selectExpr("if(id < 20, 'a.pod5', null) as file_name", "lpad(id, 4, '0') as info", "array(cast(id as float), 0.5f) as features")
+    got = rows(arrays.write_npz(made, str(tmp_path / "z"), most=8).select("path", "rows"))
+    assert [(os.path.basename(p), n) for p, n in got] == [("a.npz", 8), ("a.part1.npz", 8), ("a.part2.npz", 4), ("none.npz", 5)]
+    with np.load(tmp_path / "z" / "a.part1.npz") as f:
+        assert f["features"][:, 0].tolist() == list(range(8, 16)) and bytes(f["site_infos"][0]) == b"0008"
+    assert arrays.write_npz(made.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_matrix_commands(spark, genome, tmp_path):
+    m = features.training_matrix(_features(spark, genome).withColumn("label", F.lit(1)), 4)
+    arrays.write_npz(m, str(tmp_path / "npz")).collect()
+    n = m.count()
+    run = lambda name, *args: cli.COMMANDS[name][0](spark, cli.parser().parse_args([name, *map(str, args), "--kmer_size", "5"]))
+    run("merge_npz", tmp_path / "npz", tmp_path / "merged", "--chunks", "3")
+    assert sorted(os.listdir(tmp_path / "merged")) == [f"chunk{i}.npy" for i in range(3)] and sum(len(np.load(f)) for f in (tmp_path / "merged").iterdir()) == n
+    run("combine", tmp_path / "npz", tmp_path / "merged", tmp_path / "both", "--chunks", "2")
+    assert sum(len(np.load(f)) for f in (tmp_path / "both").iterdir()) == 2 * n
+    run("extract_kmer", tmp_path / "npz", tmp_path / "short", "--new_kmer_size", "3")
+    assert {np.load(f).shape for f in (tmp_path / "short").iterdir()} == {(n, 61)}
+
+
+def test_bam_splits_and_sorted_files(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    names = [("z", 1_000_000), ("a", 500_000)]
+    made = [
+        {"read_id": f"r{i}", "flag": 4 if i % 50 == 0 else 0, "chr": "*" if i % 50 == 0 else names[i % 2][0], "pos0": -1 if i % 50 == 0 else int(rng.integers(0, 400_000)), "mapq": 60,
+         "cigar": [] if i % 50 == 0 else [("M", 2000)], "seq": "".join(rng.choice(list("ACGT"), 2000)), "qual": None, "tags": {"fn": ("Z", "x" * (200_000 if i == 7 else 3))}}
+        for i in range(600)
+    ]
+    bam.write_bam(str(tmp_path / "in.bam"), names, made)
+    assert bam.splits(str(tmp_path / "in.bam"), 1000) == [(None, None)]
+    done = bam.write_sorted(bam.read_raw(spark, str(tmp_path / "in.bam")), bam.header_of(str(tmp_path / "in.bam")), str(tmp_path / "out"), 3).collect()
+    assert sum(r.rows for r in done) == 600 and len(done) > 1
+    files = sorted(r.path for r in done)
+    assert all(os.path.exists(f + ".bai") for f in files) and sum(len(bam.splits(f, 20_000)) for f in files) > len(files) + 5
+    load = lambda path, split: spark.read.format("bam").option("split", split).load(path).select("read_id", "flag", "chr", "pos0", "cigar", "seq")
+    whole, small, again = (load(str(tmp_path / p), n) for p, n in (("in.bam", 1), ("out", 20_000), ("out", 64 << 20)))
+    assert rows(whole) == rows(small) == rows(again) and small.rdd.getNumPartitions() > again.rdd.getNumPartitions() == len(files)
+    order = [(r.chr is None, {"z": 0, "a": 1}.get(r.chr), r.pos0) for f in files for r in load(f, 64 << 20).collect()]
+    assert order == sorted(order, key=lambda o: (o[0], o[1] or 0, o[2]))
+
+
+def test_downsampled_bam(spark, genome, tmp_path):
+    cli.down_sample(spark, cli.parser().parse_args(["down_sample", str(genome[0] / "bam"), str(tmp_path / "d"), "--cov", "5"]))
+    assert rows(bam.read_bam(spark, str(tmp_path / "d" / "coverage=5")).select("read_id", "seq", "qual", "moves")) == rows(bam.read_bam(spark, str(genome[0] / "bam")).select("read_id", "seq", "qual", "moves"))
+
+
 def test_scorers(spark, genome):
     f = _features(spark, genome)
     assert {round(r.methylation_rate, 6) for r in scoring.call_mods(f, scoring.ConstantScorer(0.25)).collect()} == {0.25}
@@ -330,10 +378,11 @@ def test_streaming(spark, genome, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == f.count()
 
 
-def test_command_line(spark, genome, tmp_path):
+def test_command_line(spark, genome, tmp_path, capsys):
     d = genome[0]
     np.savez(tmp_path / "w.npz", **scoring.random_weights(hidden=8))
     cli.extract_and_call_mods(spark, cli.parser().parse_args(["extract_and_call_mods", str(d / "signals.parquet"), str(d / "bam"), str(d / "ref.fa"), str(tmp_path / "c"), str(tmp_path / "w.npz"), "--kmer_size", "5"]))
+    assert "1 signal files, 3 reads, " in capsys.readouterr().out
     cli.detail_aggregation(spark, cli.parser().parse_args(["detail_aggregation", str(tmp_path / "c"), "--aggregation_output", str(tmp_path / "s"), "--merge_strand", str(d / "ref.fa")]))
     assert tables.read_site_freq(spark, str(tmp_path / "s")).count() > 3
     assert set(cli.COMMANDS) >= {"extract_hc_sites", "extract_and_call_mods", "train"} and sq.MOTIFS
