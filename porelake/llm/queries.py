@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, langid, licenses, minhash, mixing, packing, quality, sharding, topk
+from . import chat, embed_dedup, langid, licenses, minhash, mixing, packing, pieces, quality, sharding, topk
 from .common import read as table
 from .common import small_batches
 from .vectors import finite
@@ -94,7 +94,16 @@ def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(taken, "rid", "left").select("doc.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix)}
+def op12_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select(
+        "key.doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("text")).alias("decoded_sha256"),
+        (F.col("as_library") & F.col("text_as_library")).alias("as_library"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix, op12_agenda_pieces)}
 
 _REACH = """, reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u),
         components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
