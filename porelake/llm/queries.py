@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, langid, licenses, minhash, mixing, packing, pieces, quality, sharding, topk
+from . import chat, embed_dedup, langid, lexical, licenses, minhash, mixing, negatives, packing, pieces, quality, sharding, topk
 from .common import read as table
 from .common import small_batches
 from .vectors import finite
@@ -94,6 +94,10 @@ def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(taken, "rid", "left").select("doc.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op11_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -103,7 +107,15 @@ def op12_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix, op12_agenda_pieces)}
+def op13_blocked_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").filter(finite(F.col("embedding")) & F.col("label").isNotNull())
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256).cast("double"))
+    vectors = rows.select(F.col("vec_id").alias("vec"), label.alias("label"), whole.alias("x"))
+    return negatives.hard_negatives(vectors, vectors.filter("vec % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_concat_cut, op2_kd_shards, op3_int8_tiles, op4_norm_sorted, op5_ecoc, op6_ordinal, op7_chat_parts, op8_tensored, op9_license_rules, op10_block_mix, op11_wavelet_search, op12_agenda_pieces, op13_blocked_gemm)}
 
 _REACH = """, reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u),
         components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
@@ -140,4 +152,22 @@ ORACLE = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_wavelet_search": r"""
+        WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        c AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM t WHERE len(t) > 0),
+        p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(100 - 25 + (25 * len * (SELECT n FROM c)) // (SELECT l FROM c)) AS m FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY doc_id, term),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+        w AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM c) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op13_blocked_gemm": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
