@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.views import even
 from . import chat, embed_dedup, langid, lexical, licenses, minhash, mixing, negatives, packing, pieces, quality, sharding, topk
 from .common import read as table
 from .common import small_batches
@@ -95,11 +96,11 @@ def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(lexical.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), 20)
+    return lexical.search(lexical.build_index(even(read(spark, sf_dir, "documents").select("doc_id", "text"))), read(spark, sf_dir, "benchmark"), 20)
 
 
 def op12_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), ["doc_id"]))
+    coded = pieces.decode(pieces.encode(even(read(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return coded.select(
         "key.doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("text")).alias("decoded_sha256"),
