@@ -1,37 +1,123 @@
 """Correlation of calls within reads, by distance; and smoothing of the curve."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_counts(calls: DataFrame, max_distance: int | None = None, by_chrom: bool = False) -> DataFrame:
+#: Places of a stretch; what a task holds at once lies over two of them.
+STRETCH = 1 << 16
+
+
+def _add_lags(out: np.ndarray, a1, a0, b1, b0, p: np.ndarray, q: np.ndarray, same: bool) -> None:
+    """Ones and zeros at the places p (a) and q (b) of stretches: adds to out, int64[3, 2 * width - 1], the pairs of p and q by number of ones,
+    at the differences q - p from -(width - 1). same: p and q are one stretch, of which each two places are a pair once."""
+    width = (out.shape[1] + 1) // 2
+    if len(p) * len(q) <= 1 << 20 or max((a1 + a0) @ (a1 + a0), (b1 + b0) @ (b1 + b0)) >= 1 << 44:  # few, or too large for the transform
+        for lo in range(0, len(p), step := max(1, (1 << 20) // max(len(q), 1))):
+            apart = q[None] - p[lo : lo + step, None]
+            x1, x0 = (np.broadcast_to(x[lo : lo + step, None], apart.shape) for x in (a1, a0))
+            y1, y0 = (np.broadcast_to(y, apart.shape) for y in (b1, b0))
+            if same:
+                keep = apart > 0
+                apart, x1, x0, y1, y0 = (v[keep] for v in (apart, x1, x0, y1, y0))
+            at = (apart + width - 1).ravel()
+            for k, n in enumerate((x0 * y0, x0 * y1 + x1 * y0, x1 * y1)):
+                np.add.at(out[k], at, n.ravel())
+    else:
+        n = 2 * width
+        f1, f0, g1, g0 = (np.fft.rfft(np.bincount(x, y, n)) for x, y in ((p, a1), (p, a0), (q, b1), (q, b0)))
+        for k, x in enumerate((f0.conj() * g0, f0.conj() * g1 + f1.conj() * g0, f1.conj() * g1)):
+            c = np.rint(np.fft.irfft(x, n)).astype(np.int64)
+            out[k, width:] += c[1:width]
+            if not same:
+                out[k, :width] += np.concatenate([c[width + 1 :], c[:1]])
+    if same:
+        out[:, width - 1] += (a0 * (a0 - 1) // 2).sum(), (a0 * a1).sum(), (a1 * (a1 - 1) // 2).sum()
+
+
+def _correlate(keys: list[str], width: int, most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # by how many stretches apart
+        held: list[list[np.ndarray]] = []
+
+        def close() -> None:
+            i, j, pos, one, zero = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            apart = int(j[0] - i[0])
+            left = pos // width == i[0]
+            right = left if not apart else ~left
+            p, q = pos[left] - i[0] * width, pos[right] - j[0] * width
+            if apart not in sums:
+                sums[apart] = np.zeros((3, 2 * width - 1), np.int64)
+            _add_lags(sums[apart], one[left], zero[left], one[right], zero[right], p, q, not apart)
+
+        def flush() -> pa.RecordBatch:
+            parts = []
+            for apart, c in sums.items():
+                at = np.flatnonzero(c.any(0))
+                parts.append((at + apart * width - (width - 1), *c[:, at]))
+            sums.clear()
+            d, *c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keep = slice(None) if most is None else d <= most
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (d, *c)], ["distance", "c0", "c1", "c2"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = [batch.column(k) for k in (*keys, "_i", "_j")]
+            new = np.zeros(batch.num_rows, bool)
+            for c in of:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            first = [c[0].as_py() for c in of]
+            new[0] = last is not None and first != last
+            last = [c[-1].as_py() for c in of]
+            x = [batch.column(c).to_numpy() for c in ("_i", "_j", "pos", "one", "zero")]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if new[a] and held:
+                    close()
+                if a < b:
+                    held.append([c[a:b] for c in x])
+            if len(sums) >= 8:
+                yield flush()
+        if held:
+            close()
+        if sums:
+            yield flush()
+
+    return run
+
+
+def pair_counts(calls: DataFrame, max_distance: int | None = None, by_chrom: bool = False, width: int = STRETCH) -> DataFrame:
     """calls(read_name, pos, prob 0 or 1) -> distance, n, c0, c1, c2: pairs of calls of a read by distance and number of ones.
 
-    Calls of a read at one place are counted first, and places are paired, so a read of m places makes at most m * m / 2 rows.
-    With max_distance, places meet only those of their own and the next bin of that width."""
+    Calls of a read at one place are counted first. A read's ones and zeros are then vectors over its places, and the counts at all
+    distances their correlations, by Fourier transform (pair by pair where there are few); no pair is a row. A vector is cut into
+    stretches of `width` places, and each two of a read's stretches (that lie near enough, with max_distance) are a group of their own, so a
+    read of any length is spread over tasks that hold two stretches at a time. Calls with a null read, chromosome, place or call are left out."""
     keys = ["read_name", "chrom"] if by_chrom else ["read_name"]
-    spots = calls.groupBy(*keys, "pos").agg(F.sum("prob").alias("one"), F.sum(1 - F.col("prob")).alias("zero"))
-    if max_distance is None:
-        right = spots
-        left, on = spots, keys
-    else:
-        w = max(max_distance, 1)
-        left = spots.withColumn("_bin", F.explode(F.array(F.expr(f"pos div {w}"), F.expr(f"pos div {w}") + 1)))
-        right, on = spots.withColumn("_bin", F.expr(f"pos div {w}")), [*keys, "_bin"]
-    a = left.select(*on, F.col("pos").alias("p"), F.col("one").alias("a1"), F.col("zero").alias("a0"))
-    b = right.select(*on, F.col("pos").alias("q"), F.col("one").alias("b1"), F.col("zero").alias("b0"))
-    met = a.join(b, on).filter(F.col("p") <= F.col("q"))
-    if max_distance is not None:
-        met = met.filter(F.col("q") - F.col("p") <= max_distance)
-    same = F.col("p") == F.col("q")
-    two = lambda x: (x * (x - 1) / 2).cast("bigint")
-    rows = met.select(
-        (F.col("q") - F.col("p")).alias("distance"), F.when(same, two(F.col("a0"))).otherwise(F.col("a0") * F.col("b0")).alias("c0"),
-        F.when(same, F.col("a0") * F.col("a1")).otherwise(F.col("a0") * F.col("b1") + F.col("a1") * F.col("b0")).alias("c1"),
-        F.when(same, two(F.col("a1"))).otherwise(F.col("a1") * F.col("b1")).alias("c2"),
-    )
-    out = rows.groupBy("distance").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("c0", "c1", "c2")))
+    there = calls.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("prob").cast("long").alias("prob")).filter(" and ".join(f"{c} is not null" for c in (*keys, "pos", "prob")))
+    spots = there.groupBy(*keys, "pos").agg(F.sum("prob").alias("one"), F.sum(1 - F.col("prob")).alias("zero")).withColumn("_s", F.floor(F.col("pos") / width).cast("long"))
+    ends = there.groupBy(*keys).agg(*(F.floor(f("pos") / width).cast("long").alias(n) for f, n in ((F.min, "_lo"), (F.max, "_hi"))))
+    span = ends.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
+    apart = span if max_distance is None else min(span, max_distance // width + 1)
+    pair = lambda i, j: F.struct(i.alias("_i"), j.alias("_j"))
+    if not apart:
+        dealt = spots.select("*", F.col("_s").alias("_i"), F.col("_s").alias("_j"))
+    else:  # reads over several stretches; their number is at most calls / 2
+        spots = spots.join(ends.filter("_lo < _hi"), keys, "left").withColumns({"_lo": F.coalesce("_lo", "_s"), "_hi": F.coalesce("_hi", "_s")})
+        near = lambda a, b: F.sequence(F.greatest(a, F.col("_s") - apart), F.least(b, F.col("_s") + apart))
+        met = F.explode(F.transform(near(F.col("_lo"), F.col("_hi")), lambda o: pair(F.least(o, F.col("_s")), F.greatest(o, F.col("_s")))))
+        dealt = spots.select(*keys, "pos", "one", "zero", met.alias("_p")).select(*keys, "pos", "one", "zero", "_p.*")
+    group = [*keys, "_i", "_j"]
+    counted = dealt.select(*group, "pos", "one", "zero").repartition(*group).sortWithinPartitions(*group).mapInArrow(_correlate(keys, width, max_distance), "distance long, c0 long, c1 long, c2 long")
+    out = counted.groupBy("distance").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("c0", "c1", "c2")))
     return out.withColumn("n", F.col("c0") + F.col("c1") + F.col("c2")).filter("n > 0").select("distance", "n", "c0", "c1", "c2")
 
 
