@@ -1,13 +1,15 @@
 """Command line: the engine's entry points, each over paths that the cluster reads and writes."""
 
 import argparse
+import io
+import os
 
 import numpy as np
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import distance, features, metrics, reads, scoring, sites, training, validate
-from .sources import arrays, bam, fasta, sam, tables
+from .operators import bilstm, distance, features, metrics, reads, scoring, sites, training, validate
+from .sources import arrays, bam, fasta, pod5, sam, tables
 
 
 def _alignments(spark, path):
@@ -15,7 +17,7 @@ def _alignments(spark, path):
 
 
 def _signals(spark, path):
-    return arrays.read_signals(spark, path) if path.endswith(".parquet") else arrays.read_pod5(spark, path)
+    return arrays.read_signals(spark, path) if path.endswith(".parquet") else pod5.read_pod5(spark, path)
 
 
 def _report(written):
@@ -91,8 +93,13 @@ def down_sample(spark, a):
     binary = not a.bam.endswith((".sam", ".parquet"))
     whole = bam.read_raw(spark, a.bam) if binary else _alignments(spark, a.bam)
     for level, part in reads.coverage_series(whole, a.cov).items():
-        folder = f"{a.output}/coverage={level}"
-        _report(bam.write_sorted(part, bam.header_of(a.bam), folder)) if binary else part.write.parquet(folder)
+        if binary:
+            text, names = bam.heads_of(a.bam)
+            os.makedirs(a.output, exist_ok=True)
+            path = f"{a.output}/coverage{level}.bam"
+            print(f"{path}: {bam.write_one(part, names, path, text)} records")
+        else:
+            part.write.parquet(f"{a.output}/coverage={level}")
 
 
 def validation(spark, a):
@@ -120,13 +127,33 @@ def combine(spark, a):
 
 
 def train(spark, a):
-    rows = features.split_features(arrays.read_matrices(spark, a.input, a.kmer_size), a.kmer_size)
-    rows = training.split(rows.withColumn("_k", F.concat_ws("#", "path", "ord")), "_k")
+    """A BiLSTM (its weights as a table, and as .npz for extract_and_call_mods), or with --model logistic the linear baseline."""
+    rows = features.split_features(arrays.read_matrices(spark, a.input, a.kmer_size), a.kmer_size).withColumn("_k", F.concat_ws("#", "path", "ord"))
+    if a.model == "bilstm":
+        start = scoring.random_weights(hidden=a.hidden, branch_layers=a.branch_layers, joint_layers=a.joint_layers, seed=a.seed)
+        state, seen = bilstm.train(rows, start, a.output, "_k", a.epochs, a.batch_size, a.rate, a.decay, dropout=a.dropout, seed=a.seed)
+        for h in seen:
+            print(", ".join(f"{k} {v:.4f}" if isinstance(v, float) else f"{k} {v}" for k, v in h.items()))
+        _save_npz(spark, f"{a.output}/weights.npz", **state.weights)
+        return
+    rows = training.split(rows, "_k")
     model = training.logistic_baseline(rows.filter("is_train"), "signal")
     got = training.evaluate(model, rows.filter("not is_train"), "signal")
     got.show()
     training.save_if_better(model, got.first()["accuracy"], 0.0, a.output)
-    np.savez(a.output.rstrip("/") + ".npz", weights=model.coefficients.toArray(), bias=model.intercept) if "://" not in a.output else None
+    _save_npz(spark, a.output.rstrip("/") + ".npz", weights=model.coefficients.toArray(), bias=model.intercept)
+
+
+def _save_npz(spark, path, **arrays_):
+    """To any file system that Spark writes."""
+    held = io.BytesIO()
+    np.savez(held, **arrays_)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(held.getvalue()))
+    finally:
+        out.close()
 
 
 # name: (function, arguments as (name, default, type); no default: required and in this order)
@@ -143,7 +170,7 @@ COMMANDS = {
     "merge_npz": (merge_npz, [("input",), ("output",), ("kmer_size", 51, int), ("chunks", 10, int), ("form", "npy", str)]),
     "combine": (combine, [("one",), ("two",), ("output",), ("kmer_size", 51, int), ("chunks", 10, int), ("form", "npy", str)]),
     "extract_kmer": (extract_kmer, [("input",), ("output",), ("kmer_size", 51, int), ("new_kmer_size", 13, int), ("form", "npy", str)]),
-    "train": (train, [("input",), ("output",), ("kmer_size", 51, int)]),
+    "train": (train, [("input",), ("output",), ("kmer_size", 51, int), ("model", "bilstm", str), ("epochs", 25, int), ("batch_size", 1024, int), ("rate", 1e-3, float), ("decay", 0.4, float), ("dropout", 0.5, float), ("hidden", 256, int), ("branch_layers", 2, int), ("joint_layers", 3, int), ("seed", 71, int)]),
 }
 
 

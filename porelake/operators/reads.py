@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..sources import fasta
 
 MIN_MAPQ, MIN_COVERAGE, MIN_IDENTITY = 20, 0.8, 0.8
 
@@ -58,22 +59,19 @@ def join_signals(a: DataFrame, raw_reads: DataFrame) -> DataFrame:
 def join_reference(a: DataFrame, reference: DataFrame, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Adds ref_seq, the reference under each alignment; alignments without any are left out.
 
-    A reference whose measured size is up to broadcast_bytes goes to all executors; a larger one is cut into chunks, and each read
-    gets the pieces of the chunks that it lies over."""
+    A reference whose measured size is up to broadcast_bytes goes to all executors. A larger one is cut into chunks that overlap by the
+    longest alignment, so that a read lies in the chunk of its start and is shuffled once, by (chr, chunk). Sequences are cut as bytes, in
+    time that doesn't depend on the place."""
     size = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+    cut = lambda seq, at: F.substring(seq, (at + 1).cast("int"), F.col("ref_len")).cast("string")
     if size <= broadcast_bytes:
-        names = F.broadcast(reference.select("chr", F.col("seq").alias("_ref")))
-        got = a.join(names, "chr").withColumn("ref_seq", F.substring("_ref", F.col("ref_start") + 1, F.col("ref_len"))).drop("_ref")
-        return got.filter(F.length("ref_seq") > 0)
-    chunk = 1_000_000
-    # as bytes, of which a part is found without reading what stands before it
-    pieces = reference.select("chr", F.col("seq").cast("binary").alias("seq"), F.explode(F.sequence(F.lit(0), F.expr(f"cast((greatest(length(seq), 1) - 1) div {chunk} as int)"))).alias("chunk"))
-    pieces = pieces.select("chr", "chunk", F.expr(f"cast(substring(seq, chunk * {chunk} + 1, {chunk}) as string)").alias("part"))
-    keyed = a.withColumn("_row", F.monotonically_increasing_id()).withColumn("chunk", F.explode(F.sequence(F.expr(f"cast(ref_start div {chunk} as int)"), F.expr(f"cast((greatest(ref_end, ref_start + 1) - 1) div {chunk} as int)"))))
-    lo = F.greatest(F.col("ref_start") - F.col("chunk") * chunk, F.lit(0))
-    cut = keyed.join(pieces, ["chr", "chunk"]).withColumn("part", F.substring("part", lo + 1, F.least(F.col("ref_end") - F.col("chunk") * chunk, F.lit(chunk)) - lo))
-    whole = cut.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("p"), *(F.first(c).alias(c) for c in a.columns))
-    return whole.withColumn("ref_seq", F.concat_ws("", F.transform("p", lambda x: x["part"]))).drop("p", "_row").filter(F.length("ref_seq") > 0)
+        names = F.broadcast(reference.select("chr", F.col("seq").cast("binary").alias("_ref")))
+        return a.join(names, "chr").withColumn("ref_seq", cut(F.col("_ref"), F.col("ref_start"))).drop("_ref").filter(F.length("ref_seq") > 0)
+    longest = a.agg(F.max("ref_len")).first()[0] or 1
+    chunk = max(1_000_000, longest)
+    pieces = fasta.chunked(reference, chunk, longest).select("chr", "chunk", F.col("at").alias("_at"), F.col("seq").cast("binary").alias("_ref"))
+    met = a.withColumn("chunk", F.expr(f"cast(ref_start div {chunk} as int)")).join(pieces, ["chr", "chunk"])
+    return met.withColumn("ref_seq", cut(F.col("_ref"), F.col("ref_start") - F.col("_at"))).drop("chunk", "_at", "_ref").filter(F.length("ref_seq") > 0)
 
 
 def truth_labels(pos: DataFrame, neg: DataFrame) -> DataFrame:

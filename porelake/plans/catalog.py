@@ -7,8 +7,8 @@ from ..functions import cigar as cg
 from ..functions import sequence as sq
 from ..functions import signal as sg
 from ..functions import text as tx
-from ..operators import distance, features, metrics, reads, scoring, sites, training, validate
-from ..sources import fasta, sam, tables
+from ..operators import bilstm, distance, features, metrics, reads, scoring, sites, training, validate
+from ..sources import bam, fasta, pod5, sam, scratch, tables
 from . import views
 
 QUERIES, ORACLE = {}, {}
@@ -641,6 +641,84 @@ def fasta_parse(spark, d):
     return fasta.parse_records(rows).select("chr", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
+@query("""SELECT 'd' || doc_id AS chr, len(seq)::INTEGER AS n, md5(CASE WHEN doc_id % 5 = 0 THEN reverse(seq) ELSE seq END) AS digest FROM dna WHERE seq <> ''""", "dna")
+def fasta_files(spark, d):
+    """Bases as FASTA files, written and read in splits: `>` inside headers, and names that come again in a later file."""
+    where, dna = scratch.folder(spark, "fasta"), views.dna(spark, d)
+    lines = lambda df, seq: df.select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" a->b >text\n"), F.regexp_replace(F.lower(seq), "(.{60})", "$1\n")).alias("value"))
+    lines(dna, F.col("seq")).write.text(f"{where}/1")
+    lines(dna.filter("doc_id % 5 = 0"), F.reverse("seq")).write.text(f"{where}/2")
+    return fasta.read_fasta(spark, f"{where}/*").select("chr", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@query("""SELECT vec_id, 'f' || vec_id % 3 || '.pod5' AS file_name, len(embedding)::INTEGER AS n, md5(array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::SMALLINT), ',')) AS digest,
+    -5.0::DOUBLE AS offset, 0.5::DOUBLE AS scale FROM embeddings""")
+def pod5_signals(spark, d):
+    """Signals written as POD5 files, and read from them in splits."""
+    v = views.table(spark, d, "embeddings").select("vec_id", "embedding")
+    name = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.lower(F.hex("vec_id")), 12, "0"))
+    raw = v.select(
+        F.concat(F.lit("f"), (F.col("vec_id") % 3).cast("string"), F.lit(".pod5")).alias("file_name"), name.alias("read_id"),
+        F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("smallint")).alias("signal"), F.lit(-5.0).alias("offset"), F.lit(0.5).alias("scale"),
+    )
+    where = scratch.folder(spark, "pod5")
+    pod5.write_pod5(raw, where).collect()  # a row a file
+    got = pod5.read_pod5(spark, where, split=20_000)
+    return got.select(
+        F.conv(F.substring("read_id", 25, 12), 16, 10).cast("long").alias("vec_id"), "file_name", F.size("signal").alias("n"), F.md5(F.array_join(F.col("signal").cast("array<string>"), ",").cast("binary")).alias("digest"),
+        F.col("offset").cast("double").alias("offset"), F.col("scale").cast("double").alias("scale"),
+    )
+
+
+def _bam(spark, d):
+    a = views.aln(spark, d)
+    rows = a.select(
+        "read_id", "flag", "chr", "ref_start", "mapq", "cigar", F.repeat(F.lit("A"), F.col("seq_len")).alias("seq"), F.lit("one.pod5").alias("file_name"), F.lit(7).alias("trim_start"), "nm",
+        F.lit(5).alias("stride"), F.expr("array(0, 2, 3, 4)").alias("moves"), F.when(F.col("nm") == 2, F.lit("parent")).alias("parent_read"), (F.col("flag").bitwiseAND(4) == 0).alias("is_mapped"),
+    )
+    path, names = f"{scratch.folder(spark, 'bam')}/all.bam", [(f"chr{i}", 1 << 29) for i in range(23)]
+    bam.write_one(bam.encode(rows, names), names, path, b"@CO\tmade of order lines\n")
+    return path
+
+
+@query("""SELECT read_id, flag, CASE WHEN flag & 4 = 0 THEN chr END AS chr, mapq, CASE WHEN flag & 4 = 0 THEN ref_start END AS ref_start, CASE WHEN flag & 4 = 0 THEN ref_start + ref_len END::INTEGER AS ref_end,
+    CASE WHEN flag & 4 = 0 THEN q_end - q_start END::INTEGER AS q_len, seq_len AS n, nm, 'one.pod5' AS file_name, 7 AS trim_start, 5 AS stride, '0,2,3,4' AS moves, nm = 2 AS is_split FROM extents""", "aln", "ops", "extents")
+def bam_file_decode(spark, d):
+    """Alignments written as one sorted BAM file with its index, and read from it in splits."""
+    return bam.read_bam(spark, _bam(spark, d), split=1 << 18).select(
+        "read_id", "flag", "chr", "mapq", "ref_start", "ref_end", "q_len", F.length("seq").alias("n"), "nm", "file_name", "trim_start", "stride", F.concat_ws(",", "moves").alias("moves"), "is_split"
+    )
+
+
+@query("""SELECT read_id, ref_start, (ref_start + ref_len)::INTEGER AS ref_end FROM extents WHERE flag & 4 = 0 AND chr = 'chr7' AND ref_start < 400 AND ref_start + ref_len > 100""", "aln", "ops", "extents")
+def bam_region(spark, d):
+    """Reads over a region, by the index."""
+    return bam.read_bam(spark, _bam(spark, d), region="chr7:100-400").select("read_id", "ref_start", "ref_end")
+
+
+def _kernel_features(spark, d):
+    a, raw, reference, labels = views.kernel_tables(spark, d)
+    return features.site_features(a, raw, reference, "C", 0, 3, labels, round_digits=6)
+
+
+@query()
+def bilstm_calls(spark, d):
+    """Calls of the two-branch BiLSTM, with small fixed weights."""
+    scorer = scoring.BiLstmScorer(scoring.random_weights(embedding=4, hidden=8, branch_layers=1, joint_layers=1, seed=7), 1, 1)
+    called = scoring.call_mods(_kernel_features(spark, d), scorer)
+    return called.withColumn("methylation_rate", F.round(F.col("methylation_rate").cast("double"), 4))
+
+
+@query()
+def bilstm_training(spark, d):
+    """Two epochs of training on the kernel's features: what each came to."""
+    rows = _kernel_features(spark, d).withColumn("info", F.concat_ws("#", "read_id", "ref_start", "pos", "strand"))
+    start = scoring.random_weights(embedding=4, hidden=8, branch_layers=1, joint_layers=1, seed=7)
+    n = rows.count()
+    _, seen = bilstm.train(rows, start, scratch.folder(spark, "bilstm"), epochs=2, batch=max(1, n // 3), rate=0.01)
+    return spark.createDataFrame([(h["epoch"], n, h["train_loss"], h["loss"], h["accuracy"], h["f1"]) for h in seen], "epoch int, rows long, train_loss double, loss double, accuracy double, f1 double")
+
+
 @query("SELECT DISTINCT chr, pos::INTEGER AS pos, 1 AS label FROM calls", "calls")
 def hc_sites_parse(spark, d):
     lines = views.calls(spark, d).select(F.concat_ws("\t", "chr", F.col("pos").cast("string"), F.lit("x")).alias("value"))

@@ -1,4 +1,4 @@
-"""NPY and NPZ matrices, read from binary files; raw signals from Parquet or POD5."""
+"""NPY and NPZ matrices, read from binary files; raw signals from Parquet."""
 
 import io
 import os
@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
 
@@ -116,39 +115,3 @@ def write_npz(features: DataFrame, folder: str, partition_column: str = "file_na
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
     """Raw reads from Parquet, the engine's own form of them."""
     return spark.read.schema(schemas.RAW_READS).parquet(path)
-
-
-class _Pod5Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".pod5")] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        import pod5
-
-        with pod5.Reader(partition.value) as reader:
-            for r in reader.reads():
-                yield os.path.basename(partition.value), str(r.read_id), [int(x) for x in r.signal], float(r.calibration.offset), float(r.calibration.scale)
-
-
-class Pod5Source(DataSource):
-    """spark.read.format("pod5").load(folder), a partition for each file; needs the pod5 library on the executors."""
-
-    @classmethod
-    def name(cls):
-        return "pod5"
-
-    def schema(self):
-        return schemas.RAW_READS
-
-    def reader(self, schema):
-        return _Pod5Reader(self.options["path"])
-
-
-def read_pod5(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(Pod5Source)
-    return spark.read.format("pod5").load(path)

@@ -1,10 +1,12 @@
-"""BAM as a Python data source: records are decoded to Arrow batches. A file with an index beside it is read in splits that start at
-records which the index names, any other as one. The sink writes sorted, indexed files, one for each range of places."""
+"""BAM as a Python data source: records are decoded to Arrow batches. A file is read in splits: with an index beside it at records that
+the index names, else from the first block and the first record behind any byte. The sinks write sorted, indexed files, one for each range
+of places or one in all."""
 
 import glob
 import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -72,16 +74,74 @@ def decode_record(b: bytes, names: list[str]) -> dict:
     }
 
 
-def read_header(stream: bgzf.Reader) -> list[tuple[str, int]]:
-    """Names and lengths of the references; the stream then stands at the first record."""
+def read_head(stream: bgzf.Reader) -> tuple[bytes, list[tuple[str, int]]]:
+    """The header's text, names and lengths of the references; the stream then stands at the first record."""
     if stream.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    stream.read(struct.unpack("<i", stream.read(4))[0])
+    text = stream.read(struct.unpack("<i", stream.read(4))[0])
     names = []
     for _ in range(struct.unpack("<i", stream.read(4))[0]):
         name = stream.read(struct.unpack("<i", stream.read(4))[0])[:-1].decode()
         names.append((name, struct.unpack("<i", stream.read(4))[0]))
-    return names
+    return text.rstrip(b"\0"), names
+
+
+def read_header(stream: bgzf.Reader) -> list[tuple[str, int]]:
+    return read_head(stream)[1]
+
+
+#: Bytes before a record's name, with the length before them; the most that a record may have; and how many records in a row must be plausible.
+_FIXED, _MOST, _CHAIN = 36, 1 << 28, 4
+
+
+def _plausible(head: bytes, names: list[tuple[str, int]]) -> int | None:
+    """Size of the record, with its length, whose first bytes these are; none if it can't be one."""
+    if len(head) < _FIXED + 1:
+        return None
+    size, tid, pos, name_len, _, _, n_ops, _, n, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", head)
+    known = lambda t, p: t == -1 and p >= -1 or 0 <= t < len(names) and -1 <= p < max(names[t][1], 1)
+    if not (32 <= size <= _MOST and name_len and n >= 0 and known(tid, pos) and known(mate, mate_pos) and 32 + name_len + 4 * n_ops + (n + 1) // 2 + n <= size):
+        return None
+    name = head[_FIXED : _FIXED + name_len]
+    if len(name) < name_len or name[-1] or not all(33 <= c <= 126 for c in name[:-1]):
+        return None
+    ops = head[_FIXED + name_len : _FIXED + name_len + 4 * min(n_ops, 8)]
+    return 4 + size if all(o & 15 < len(OPS) for o in struct.unpack_from(f"<{len(ops) // 4}I", ops)) else None
+
+
+def first_record(f: BinaryIO, names: list[tuple[str, int]], at: int, end: int) -> int | None:
+    """Virtual offset of the first record that begins in a block of [at, end) of the file, none if there is none: where _CHAIN records in a
+    row, or all up to the file's end, are plausible."""
+    block = bgzf.next_block(f, at, end)
+    while block is not None and block < end:
+        stream = bgzf.Reader(f, block << 16)
+        data, after = stream.data, stream.next
+        # what follows, as far as a record's head may reach into it
+        more = bgzf.Reader(f, after << 16).read(_FIXED + 255 + 32) if data else b""
+        whole = data + more
+        for i in range(len(data)):
+            size = _plausible(whole[i : i + _FIXED + 255 + 32], names)
+            if size is not None and _chain(f, block << 16 | i, size, names):
+                return block << 16 | i
+        if after == block:
+            return None
+        block = after if after < f.seek(0, 2) else None
+    return None
+
+
+def _chain(f: BinaryIO, at: int, size: int, names: list[tuple[str, int]]) -> bool:
+    stream = bgzf.Reader(f, at)
+    for _ in range(_CHAIN - 1):
+        if len(stream.read(size)) < size:
+            return False  # cut off
+        here = bgzf.Reader(f, stream.tell())
+        head = here.read(_FIXED + 255 + 32)
+        if not head:
+            return True
+        if (size := _plausible(head, names)) is None:
+            return False
+        stream = bgzf.Reader(f, stream.tell())
+    return True
 
 
 def read_bodies(stream: bgzf.Reader, end: int | None) -> Iterator[bytes]:
@@ -90,40 +150,81 @@ def read_bodies(stream: bgzf.Reader, end: int | None) -> Iterator[bytes]:
         yield stream.read(struct.unpack("<i", head)[0])
 
 
-def splits(path: str, size: int) -> list[tuple[int | None, int | None]]:
-    """Ranges of virtual offsets of at least `size` bytes of the file, by the index beside it; (None, None), the whole, if it has none."""
-    beside = [p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if os.path.exists(p)]
-    cuts = [None]
-    if beside:
-        with open(beside[0], "rb") as f:
-            last = 0
-            for at in bgzf.record_starts(f.read()):
-                if (at >> 16) - last >= size:
-                    cuts.append(at)
-                    last = at >> 16
-    return list(zip(cuts, [*cuts[1:], None], strict=True))
+def index_of(path: str) -> bgzf.Index | None:
+    """The index beside a file; none if there is none."""
+    stem = os.path.splitext(path)[0]
+    for name in (path + ".bai", stem + ".bai", path + ".csi", stem + ".csi"):
+        if os.path.exists(name):
+            with open(name, "rb") as f:
+                raw = f.read() if name.endswith(".bai") else bgzf.Reader(f).read(1 << 40)
+            return bgzf.Index.load(raw)
+    return None
+
+
+def splits(path: str, size: int) -> list[tuple[str, int, int | None]]:
+    """How a file is read: ranges of virtual offsets (`at`) at records that the index beside it names, or without one ranges of bytes
+    (`near`), the first of which begins at the first record; about `size` bytes each."""
+    index = index_of(path)
+    with open(path, "rb") as f:
+        whole = f.seek(0, 2)
+        stream = bgzf.Reader(f)
+        read_head(stream)
+        first = stream.tell()
+    cuts = [first]
+    if index:
+        for at in index.starts():
+            if (at >> 16) - (cuts[-1] >> 16) >= size and at > first:
+                cuts.append(at)
+        return [("at", a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+    bytes_ = [b for b in range(size, whole, size) if b > first >> 16]
+    return [("at" if i == 0 else "near", a, b) for i, (a, b) in enumerate(zip([first, *bytes_], [*(b << 16 for b in bytes_), None], strict=True))]
+
+
+def over(path: str, size: int, region: str) -> list[tuple[str, int, int | None]]:
+    """The parts of an indexed file in which the records over `name:start-end` (from 0, end left out) begin, in pieces at records."""
+    index = index_of(path)
+    if index is None:
+        raise ValueError(f"{path}: a region needs an index beside the file")
+    name, start, end = parse_region(region)
+    with open(path, "rb") as f:
+        names = [n for n, _ in read_header(bgzf.Reader(f))]
+    return [("at", a, b) for a, b in index.chunks(names.index(name), start, end)] if name in names else []
+
+
+def parse_region(region: str) -> tuple[str, int, int]:
+    name, _, places = region.rpartition(":")
+    start, _, end = places.partition("-")
+    return name, int(start), int(end)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str], size: int):
-        self.path, self.columns, self.size = path, columns, size
+    def __init__(self, path: str, columns: list[str], size: int, region: str | None = None):
+        self.path, self.columns, self.size, self.region = path, columns, size, region
 
     def partitions(self):
         files = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition((f, *s)) for f in files for s in splits(f, self.size)] or [InputPartition(None)]
+        parts = [(f, *s) for f in files for s in (over(f, self.size, self.region) if self.region else splits(f, self.size))]
+        return [InputPartition(p) for p in parts] or [InputPartition(None)]
 
     def read(self, partition):
         if partition.value is None:
             return
-        path, start, end = partition.value
+        path, kind, start, end = partition.value
         schema = pa.schema([_ARROW.field(c) for c in self.columns])
         rows = []
         with open(path, "rb") as f:
-            stream = bgzf.Reader(f)
-            names = [n for n, _ in read_header(stream)]
-            if start is not None:
-                stream = bgzf.Reader(f, start)
-            for body in read_bodies(stream, end):
+            heads = read_header(bgzf.Reader(f))
+            names = [n for n, _ in heads]
+            if kind == "near":
+                start = first_record(f, heads, start, end >> 16 if end is not None else f.seek(0, 2))
+                if start is None:
+                    return
+            wanted = parse_region(self.region) if self.region else None
+            for body in read_bodies(bgzf.Reader(f, start), end):
+                if wanted:
+                    tid, a, b = _place(body)
+                    if tid < 0 or names[tid] != wanted[0] or a >= wanted[2] or b <= wanted[1]:
+                        continue
                 row = decode_record(body, names)
                 rows.append({c: body if c == "record" else row[c] for c in self.columns})
                 if len(rows) == 512:
@@ -135,7 +236,8 @@ class _Reader(DataSourceReader):
 
 class BamSource(DataSource):
     """spark.read.format("bam").load(path): a file, a pattern, or a folder of .bam files on storage that the executors mount. Options:
-    `split`, the least bytes of a split (64 MB); `record`, `true` for the records' own bytes in a further column."""
+    `split`, about the bytes of a split (64 MB); `region`, as chr1:1000-2000 (from 0, the end left out), of files with an index: only its
+    parts are read; `record`, `true` for the records' own bytes in a further column."""
 
     @classmethod
     def name(cls):
@@ -145,14 +247,15 @@ class BamSource(DataSource):
         return RAW + (", record binary" if self.options.get("record") == "true" else "")
 
     def reader(self, schema):
-        return _Reader(self.options["path"], list(schema.names), int(self.options.get("split", 64 << 20)))
+        return _Reader(self.options["path"], list(schema.names), int(self.options.get("split", 64 << 20)), self.options.get("region"))
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, split: int = 64 << 20, region: str | None = None) -> DataFrame:
     from ..functions.signal import move_table
 
     spark.dataSource.register(BamSource)
-    rows = derive(spark.read.format("bam").load(path)).withColumn("_m", F.when(F.col("mv").isNotNull(), move_table(F.col("mv"))))
+    source = spark.read.format("bam").option("split", split)
+    rows = derive((source.option("region", region) if region else source).load(path)).withColumn("_m", F.when(F.col("mv").isNotNull(), move_table(F.col("mv"))))
     return rows.withColumn("stride", F.col("_m.stride")).withColumn("moves", F.col("_m.moves")).select(COLUMNS)
 
 
@@ -162,17 +265,22 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bam").option("record", "true").load(path).select("read_id", "flag", "chr", "pos0", "record")
 
 
-def header_of(path: str) -> list[tuple[str, int]]:
-    """Names and lengths of the references of a file, or of all files of a folder or pattern, which must agree."""
+def heads_of(path: str) -> tuple[bytes, list[tuple[str, int]]]:
+    """The first file's header text, and names and lengths of the references of a file, or of all files of a folder or pattern, which must
+    agree."""
     found = []
     for name in sorted(glob.glob(os.path.join(path, "*.bam") if os.path.isdir(path) else path)):
         with open(name, "rb") as f:
-            found.append(read_header(bgzf.Reader(f)))
-    if not found or any(h != found[0] for h in found):
+            found.append(read_head(bgzf.Reader(f)))
+    if not found or any(h[1] != found[0][1] for h in found):
         raise ValueError("no BAM files, or files of different references")
     return found[0]
 
 
+def header_of(path: str) -> list[tuple[str, int]]:
+    return heads_of(path)[1]
+
+
 def _head(names: list[tuple[str, int]], text: bytes = b"") -> bytes:
     out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(names))
     return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in names)
@@ -215,31 +323,190 @@ def write_sorted(raw: DataFrame, names: list[tuple[str, int]], folder: str, part
     (reference, start), reads without a place last. References stand in the header's order. Returns path and rows of each file.
 
     Ranges are cut on the record's hash as well, so reads that pile up at one place are spread over files."""
+    return _in_order(raw, names, parts).mapInArrow(_part(folder, names), "path string, rows long")
+
+
+def _in_order(raw: DataFrame, names: list[tuple[str, int]], parts: int | None) -> DataFrame:
     order = F.create_map(*(F.lit(v) for i, (n, _) in enumerate(names) for v in (n, i))) if names else F.create_map().cast("map<string,int>")
     place = F.when(F.col("pos0") >= 0, F.try_element_at(order, F.col("chr")))
     rows = raw.select(F.coalesce(place, F.lit(2**31 - 1)).alias("_ref"), F.col("pos0").alias("_at"), F.xxhash64("record").alias("_h"), "record")
     keys = ["_ref", "_at", "_h"]
     dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
-    return dealt.sortWithinPartitions(*keys, "record").select("record").mapInArrow(_part(folder, names), "path string, rows long")
+    return dealt.sortWithinPartitions(*keys, "record").select("record")
+
+
+#: Added to a run's own virtual offsets, of which none is then 0, as for windows without a record.
+_BEFORE = 1 << 16
+_RUN = "part int, path string, size long, rows long, unplaced long, chunks array<struct<tid: int, bin: int, first: long, last: long>>, windows array<struct<tid: int, window: int, at: long>>"
+
+
+def _run(folder: str, refs: int, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part = task.partitionId()
+        target = os.path.join(folder, f"{part:05d}.{task.taskAttemptId()}")
+        os.makedirs(folder, exist_ok=True)
+        n, index = 0, bgzf.Index(refs, depth)
+        with open(target, "wb") as f:
+            out = bgzf.Writer(f)
+            for batch in batches:
+                for record in batch.column("record").to_pylist():
+                    at = out.write(struct.pack("<i", len(record)) + record)
+                    index.add(*_place(record), at + _BEFORE, out.tell() + _BEFORE)
+                    n += 1
+            while out.data:
+                out.flush()
+            size = f.tell()
+        chunks = [{"tid": t, "bin": b, "first": x, "last": y} for t, bins in enumerate(index.bins) for b, own in bins.items() for x, y in own]
+        windows = [{"tid": t, "window": w, "at": x} for t, own in enumerate(index.windows) for w, x in enumerate(own) if x]
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": target, "size": size, "rows": n, "unplaced": index.unplaced, "chunks": chunks, "windows": windows}], _RUN_ARROW)
+
+    return run
+
+
+_RUN_ARROW = pa.schema([
+    ("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("rows", pa.int64()), ("unplaced", pa.int64()),
+    ("chunks", pa.list_(pa.struct([("tid", pa.int32()), ("bin", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))),
+    ("windows", pa.list_(pa.struct([("tid", pa.int32()), ("window", pa.int32()), ("at", pa.int64())]))),
+])
+
+
+def _placed(target: str):
+    """Copies parts into the file, each to its own place; a task that runs again writes the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            for path, at in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                with open(path, "rb") as part, open(target, "r+b") as whole:
+                    whole.seek(at)
+                    while piece := part.read(1 << 22):
+                        whole.write(piece)
+                        done += len(piece)
+        yield pa.RecordBatch.from_pydict({"bytes": [done]})
+
+    return run
+
+
+def sorted_text(text: bytes) -> bytes:
+    """A header's text with the order of places stated in its first line; the other lines stay."""
+    lines = [x for x in text.split(b"\n") if x]
+    head = [x for x in lines if x.startswith(b"@HD")][:1] or [b"@HD\tVN:1.6"]
+    fields = [x for x in head[0].split(b"\t") if not x.startswith((b"SO:", b"GO:", b"SS:"))] + [b"SO:coordinate"]
+    return b"".join(x + b"\n" for x in [b"\t".join(fields), *(x for x in lines if not x.startswith(b"@HD"))])
+
+
+def write_one(raw: DataFrame, names: list[tuple[str, int]], path: str, text: bytes = b"", parts: int | None = None) -> int:
+    """Writes rows of read_raw() as one sorted BAM file with an index beside it (.bai, or .csi if a reference is longer than 512 Mb), on
+    storage that driver and executors share; `text` is the header's. Returns the number of records.
+
+    Tasks write ranges of (reference, start, hash) as runs of blocks without a header; the runs' sizes, added up, say where each goes
+    in the file, and tasks copy them there side by side, so none passes all bytes. The runs' indexes come to the driver, shifted by these
+    places: a few chunks a bin and run, and 8 bytes for each 16 kb of a reference."""
+    spark, folder, draft = raw.sparkSession, path + ".runs", path + ".draft"
+    depth = bgzf.depth_for(max((n for _, n in names), default=0))
+    runs = sorted(_in_order(raw, names, parts).mapInArrow(_run(folder, len(names), depth), _RUN).collect(), key=lambda r: r.part)
+    index = bgzf.Index(len(names), depth)
+    with open(draft, "wb") as f:
+        out = bgzf.Writer(f)
+        out.write(_head(names, sorted_text(text)))
+        while out.data:
+            out.flush()
+        at, places = f.tell(), []
+        for r in runs:
+            index.merge([tuple(c) for c in r.chunks], [tuple(w) for w in r.windows], r.unplaced, at - (_BEFORE >> 16))
+            places.append((r.path, at))
+            at += r.size
+        f.seek(at)
+        f.write(bgzf.EOF)
+    if places:
+        spark.createDataFrame(places, "path string, at long").repartition(len(places)).mapInArrow(_placed(draft), "bytes long").agg(F.sum("bytes")).collect()
+    os.replace(draft, path)
+    for name in os.listdir(folder) if runs else []:
+        os.remove(os.path.join(folder, name))
+    if runs:
+        os.rmdir(folder)
+    for old in (path + ".bai", path + ".csi"):
+        if os.path.exists(old):
+            os.remove(old)
+    with open(path + (".bai" if depth == 5 else ".csi"), "wb") as f:
+        if depth == 5:
+            f.write(index.dump())
+        else:
+            packed = bgzf.Writer(f)
+            packed.write(index.dump_csi())
+            packed.close()
+    return sum(r.rows for r in runs)
+
+
+def encode_record(r: dict, ids: dict[str, int]) -> bytes:
+    """A row of read_id, flag, chr, pos0, mapq, cigar [(op's number, len)], seq, qual, tags [(name, kind, value)] -> the record, without its length."""
+    seq, name = r.get("seq") or "", (r.get("read_id") or "*").encode()
+    nibbles = _NIBBLE[np.frombuffer((seq + "=" * (len(seq) % 2)).encode("latin-1", "replace"), np.uint8)]
+    mate = {"=": r["chr"], "*": None}.get(r.get("rnext"), r.get("rnext"))
+    at = lambda p: -1 if p is None else p
+    out = [struct.pack("<iiBBHHHiiii", ids.get(r["chr"], -1), at(r["pos0"]), len(name) + 1, r.get("mapq") or 0, 0, len(r.get("cigar") or ()), r["flag"], len(seq), ids.get(mate, -1), at(r.get("pnext")), r.get("tlen") or 0)]
+    out += [name, b"\0", np.array([n << 4 | o for o, n in r.get("cigar") or ()], "<u4").tobytes(), (nibbles[::2] << 4 | nibbles[1::2]).tobytes()]
+    out.append((np.frombuffer(r["qual"].encode("latin-1"), np.uint8) - np.uint8(33)).tobytes() if r.get("qual") and len(r["qual"]) == len(seq) else b"\xff" * len(seq))
+    for tag, kind, value in r.get("tags") or ():
+        if value is None:
+            continue
+        out.append(tag.encode() + kind[:1].encode())
+        if kind == "Z":
+            out.append(value.encode() + b"\0")
+        elif kind[0] == "B":
+            out.append(kind[1].encode() + struct.pack("<i", len(value)) + np.asarray(value, np.dtype(_KINDS[kind[1]]).newbyteorder("<")).tobytes())
+        else:
+            out.append(struct.pack("<" + _KINDS[kind], value))
+    return b"".join(out)
+
+
+_NIBBLE = np.full(256, NIBBLES.index("N"), np.uint8)
+_NIBBLE[[ord(c) for c in NIBBLES]] = np.arange(16)
+_NIBBLE[[ord(c) for c in NIBBLES.lower()]] = np.arange(16)
+#: Tags of an alignment's columns, and their kinds.
+_TAGS = (("fn", "Z", "file_name"), ("ts", "i", "trim_start"), ("ns", "i", "num_samples"), ("NM", "i", "nm"), ("MD", "Z", "md"), ("pi", "Z", "parent_read"), ("sp", "i", "split"))
+
+
+def _encoded(names: list[tuple[str, int]]):
+    ids = {n: i for i, (n, _) in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                tags = [(tag, kind, r[c]) for tag, kind, c in _TAGS if not (c == "nm" and r[c] == -1)]
+                if r["moves"] is not None and r["stride"] is not None:  # as 0 and 1 for each stride
+                    mv = np.zeros(max(r["moves"], default=0) + 1, np.int8)
+                    mv[r["moves"][:-1]] = 1
+                    mv = mv[:-1]
+                    tags.append(("mv", "Bc", [r["stride"], *mv.tolist()]))
+                made.append(encode_record(r | {"tags": tags, "cigar": [(c["op"], c["len"]) for c in r["cigar"] or ()]}, ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("read_id", "flag", "chr", "pos0")), pa.array(made, pa.binary())], ["read_id", "flag", "chr", "pos0", "record"])
+
+    return run
+
+
+def encode(alignments: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
+    """Alignments -> rows of read_raw(), for write_one() and write_sorted(): each with its BAM record, of the columns and the tags that they
+    came from. A chromosome that isn't one of the references is none; a quality of another length than the sequence is left out."""
+    a = alignments.withColumn("pos0", F.when(F.col("ref_start") >= 0, F.col("ref_start")).otherwise(-1)).withColumn("chr", F.when(F.col("is_mapped"), F.col("chr")))
+    kept = ["read_id", "flag", "chr", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", *(c for _, _, c in _TAGS), "stride", "moves"]
+    there = [F.col(c) if c in a.columns else F.lit(None).cast(_KIND_OF.get(c, "int")).alias(c) for c in kept]
+    return a.select(*there).mapInArrow(_encoded(names), "read_id string, flag int, chr string, pos0 int, record binary")
+
+
+_KIND_OF = dict.fromkeys(("read_id", "chr", "rnext", "seq", "qual", "file_name", "md", "parent_read"), "string") | {"tlen": "bigint", "moves": "array<int>"}
 
 
 def write_bam(path: str, names: list[tuple[str, int]], rows: list[dict]) -> None:
     """A small BAM file, for fixtures: rows of read_id, flag, chr, pos0, mapq, cigar [(op, len)], seq, qual, tags {name: (kind, value)}."""
-    out = bytearray()
     ids = {n: i for i, (n, _) in enumerate(names)}
-    for r in rows:
-        seq = r.get("seq") or ""
-        nibbles = [NIBBLES.index(c) for c in seq] + [0] * (len(seq) % 2)
-        rec = bytearray(struct.pack("<iiBBHHHiiii", ids.get(r["chr"], -1), r["pos0"], len(r["read_id"]) + 1, r["mapq"], 0, len(r["cigar"]), r["flag"], len(seq), -1, -1, 0))
-        rec += r["read_id"].encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | OPS.index(o)) for o, n in r["cigar"])
-        rec += bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2], strict=True))
-        rec += bytes(ord(c) - 33 for c in r["qual"]) if r.get("qual") else b"\xff" * len(seq)
-        for name, (kind, value) in r.get("tags", {}).items():
-            rec += name.encode() + kind[:1].encode()
-            rec += value.encode() + b"\0" if kind == "Z" else kind[1].encode() + struct.pack("<i", len(value)) + struct.pack(f"<{len(value)}{_KINDS[kind[1]]}", *value) if kind[0] == "B" else struct.pack("<" + _KINDS[kind], value)
-        out += struct.pack("<i", len(rec)) + rec
     with open(path, "wb") as f:
         stream = bgzf.Writer(f)
         stream.write(_head(names))
-        stream.write(bytes(out))
+        for r in rows:
+            tags = [(k, *v) for k, v in r.get("tags", {}).items()]
+            record = encode_record(r | {"cigar": [(OPS.index(o), n) for o, n in r["cigar"]], "tags": tags}, ids)
+            stream.write(struct.pack("<i", len(record)) + record)
         stream.close()

@@ -87,25 +87,95 @@ class Writer:
         self.f.write(EOF)
 
 
-def bin_of(start: int, end: int) -> int:
-    """The smallest bin of the index's tree that holds [start, end)."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+def header_size(head: bytes) -> int | None:
+    """Size of the block that begins with these bytes (18 are enough where the extra field has nothing else); none if it is no block."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    n, i = struct.unpack_from("<H", head, 10)[0], 12
+    while i + 6 <= min(12 + n, len(head)):
+        if head[i : i + 4] == b"BC\x02\x00":
+            return struct.unpack_from("<H", head, i + 4)[0] + 1
+        i += 4 + struct.unpack_from("<H", head, i + 2)[0]
+    return None
+
+
+def next_block(f: BinaryIO, at: int, end: int) -> int | None:
+    """The first block that begins in [at, end) of the file; none if there is none. Bytes that only look like a block's are told by
+    unpacking it, which checks its sum, and by another block, or the end, behind it."""
+    size = f.seek(0, 2)
+    lo = at
+    while lo < end:
+        f.seek(lo)
+        piece = f.read(1 << 17)
+        if not piece:
+            return None
+        i = piece.find(b"\x1f\x8b\x08\x04")
+        while i >= 0:
+            if lo + i >= end:
+                return None
+            if _is_block(f, lo + i, size):
+                return lo + i
+            i = piece.find(b"\x1f\x8b\x08\x04", i + 1)
+        lo += max(1, len(piece) - 3)
+    return None
+
+
+def _is_block(f: BinaryIO, at: int, size: int) -> bool:
+    f.seek(at)
+    n = header_size(head := f.read(256))
+    if n is None or at + n > size:
+        return False
+    f.seek(at)
+    whole = f.read(n)
+    start = 12 + struct.unpack_from("<H", head, 10)[0]
+    try:
+        data = zlib.decompress(whole[start:-8], -15)
+    except zlib.error:
+        return False
+    total, length = struct.unpack("<II", whole[-8:])
+    return len(data) == length and zlib.crc32(data) == total and (at + n == size or header_size(f.read(256)) is not None)
+
+
+def bin_of(start: int, end: int, depth: int = 5) -> int:
+    """The smallest bin of the index's tree of `depth` levels, the lowest of 16 kb, that holds [start, end)."""
+    shift, first = 14, ((1 << 3 * depth) - 1) // 7
+    for level in range(depth, 0, -1):
         if start >> shift == (end - 1) >> shift:
             return first + (start >> shift)
+        shift += 3
+        first -= 1 << 3 * (level - 1)
     return 0
 
 
+def bins_over(start: int, end: int, depth: int = 5) -> list[int]:
+    """All bins that something over [start, end) may be in."""
+    out, shift, first = [0], 14 + 3 * depth, 0
+    for level in range(1, depth + 1):
+        shift -= 3
+        first += 1 << 3 * (level - 1)
+        out += range(first + (start >> shift), first + ((end - 1) >> shift) + 1)
+    return out
+
+
+def depth_for(length: int) -> int:
+    """Levels that an index of references up to this length needs: 5 up to 512 Mb, which is what the .bai form has."""
+    depth = 5
+    while length > 1 << (14 + 3 * depth):
+        depth += 1
+    return depth
+
+
 class Index:
     """Bins' chunks and 16 kb windows' first offsets, gathered from records in their order; 8 bytes a window and a few chunks a bin."""
 
-    def __init__(self, refs: int):
-        self.bins, self.windows, self.unplaced = [{} for _ in range(refs)], [[] for _ in range(refs)], 0
+    def __init__(self, refs: int, depth: int = 5):
+        self.bins, self.windows, self.unplaced, self.depth = [{} for _ in range(refs)], [[] for _ in range(refs)], 0, depth
 
     def add(self, tid: int, start: int, end: int, at: int, after: int) -> None:
         if tid < 0:
             self.unplaced += 1
             return
-        chunks, windows = self.bins[tid].setdefault(bin_of(start, end), []), self.windows[tid]
+        chunks, windows = self.bins[tid].setdefault(bin_of(start, end, self.depth), []), self.windows[tid]
         if chunks and chunks[-1][1] == at:
             chunks[-1][1] = after
         else:
@@ -114,7 +184,38 @@ class Index:
         for w in range(start >> 14, ((end - 1) >> 14) + 1):
             windows[w] = windows[w] or at
 
+    def merge(self, chunks: list[tuple[int, int, int, int]], windows: list[tuple[int, int, int]], unplaced: int, shift: int) -> None:
+        """Takes in what a later part of the file has gathered, (reference, bin, first, last) and (reference, window, offset) by virtual offsets
+        in that part, which begins `shift` bytes into the file."""
+        for tid, number, a, b in chunks:
+            own = self.bins[tid].setdefault(number, [])
+            a, b = a + (shift << 16), b + (shift << 16)
+            if own and own[-1][1] == a:
+                own[-1][1] = b
+            else:
+                own.append([a, b])
+        for tid, w, at in windows:
+            own = self.windows[tid]
+            own += [0] * (w + 1 - len(own))
+            own[w] = own[w] or at + (shift << 16)
+        self.unplaced += unplaced
+
+    def chunks(self, tid: int, start: int, end: int) -> list[tuple[int, int]]:
+        """Ranges of virtual offsets, in order, in which all records over [start, end) of a reference begin."""
+        if not 0 <= tid < len(self.bins) or start >= end:
+            return []
+        windows = self.windows[tid]
+        least = next((x for x in windows[start >> 14 :] if x), 0) if start >> 14 < len(windows) else 0
+        out: list[list[int]] = []
+        for a, b in sorted((a, b) for number in bins_over(start, end, self.depth) for a, b in self.bins[tid].get(number, []) if b > least):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out]
+
     def dump(self) -> bytes:
+        """The .bai form."""
         out = bytearray(b"BAI\1" + struct.pack("<i", len(self.bins)))
         for bins, windows in zip(self.bins, self.windows, strict=True):
             out += struct.pack("<i", len(bins))
@@ -123,20 +224,49 @@ class Index:
             out += struct.pack(f"<i{len(windows)}Q", len(windows), *windows)
         return bytes(out + struct.pack("<Q", self.unplaced))
 
+    def dump_csi(self) -> bytes:
+        """The .csi form, before it is packed: as many levels as the longest reference needs, and each bin's first offset in place of windows."""
+        out = bytearray(b"CSI\1" + struct.pack("<iiii", 14, self.depth, 0, len(self.bins)))
+        for bins, windows in zip(self.bins, self.windows, strict=True):
+            out += struct.pack("<i", len(bins))
+            for number, chunks in sorted(bins.items()):
+                first, level = 0, 0
+                while number >= first + (1 << 3 * level):
+                    first += 1 << 3 * level
+                    level += 1
+                w = (number - first) << 3 * (self.depth - level)
+                least = next((x for x in windows[w:] if x), 0)
+                out += struct.pack("<IQi", number, least, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        return bytes(out + struct.pack("<Q", self.unplaced))
+
+    @classmethod
+    def load(cls, raw: bytes) -> "Index":
+        """Of either form (a .csi unpacked)."""
+        csi = raw[:4] == b"CSI\1"
+        if not csi and raw[:4] != b"BAI\1":
+            raise ValueError("not an index of a BAM file")
+        depth, i = (struct.unpack_from("<i", raw, 8)[0], 16 + struct.unpack_from("<i", raw, 12)[0]) if csi else (5, 4)
+        if csi and struct.unpack_from("<i", raw, 4)[0] != 14:
+            raise ValueError("an index whose lowest bins aren't of 16 kb")
+        out = cls(struct.unpack_from("<i", raw, i)[0], depth)
+        i += 4
+        for tid in range(len(out.bins)):
+            n, i = struct.unpack_from("<i", raw, i)[0], i + 4
+            for _ in range(n):
+                number = struct.unpack_from("<I", raw, i)[0]
+                i += 12 if csi else 4
+                k = struct.unpack_from("<i", raw, i)[0]
+                if csi or number != COUNTS_BIN:
+                    ends = struct.unpack_from(f"<{2 * k}Q", raw, i + 4)
+                    out.bins[tid][number] = [list(c) for c in zip(ends[::2], ends[1::2], strict=True)]
+                i += 4 + 16 * k
+            if not csi:
+                k = struct.unpack_from("<i", raw, i)[0]
+                out.windows[tid] = list(struct.unpack_from(f"<{k}Q", raw, i + 4))
+                i += 4 + 8 * k
+        return out
 
-def record_starts(index: bytes) -> list[int]:
-    """Virtual offsets at which a record starts, in order, from an index's chunks and windows; none if it isn't an index."""
-    if index[:4] != b"BAI\1":
-        return []
-    found, i = set(), 8
-    for _ in range(struct.unpack_from("<i", index, 4)[0]):
-        bins, i = struct.unpack_from("<i", index, i)[0], i + 4
-        for _ in range(bins):
-            number, n = struct.unpack_from("<Ii", index, i)
-            if number != COUNTS_BIN:
-                found.update(struct.unpack_from(f"<{2 * n}Q", index, i + 8)[::2])
-            i += 8 + 16 * n
-        n = struct.unpack_from("<i", index, i)[0]
-        found.update(struct.unpack_from(f"<{n}Q", index, i + 4))
-        i += 4 + 8 * n
-    return sorted(found - {0})
+    def starts(self) -> list[int]:
+        """Virtual offsets at which a record starts, in order."""
+        found = {c[0] for bins in self.bins for chunks in bins.values() for c in chunks} | {x for windows in self.windows for x in windows}
+        return sorted(found - {0})
