@@ -3,7 +3,7 @@
 A visitor flattens each turn's parts (text, image, audio, document) into one string with ordered placeholders,
 recording what each placeholder refers to and how many tokens it expands to; turns are then joined by a template."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -77,7 +77,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     attachments (array of turn index, n, type, ref, tokens), expanded_tokens.
 
     Turns are in order of (turn, role, parts); null turns come first, null roles are empty. Rows with a null conv_id make one
-    conversation. Rows that are repeated stay, one after the other. An empty table gives no rows; other columns are not read."""
+    conversation, which like any other is one row: a conversation must fit a task. Rows that are repeated stay, one after the other. An empty table gives no rows; other columns are not read."""
     one = turns.select(
         "conv_id",
         F.struct(
@@ -85,19 +85,22 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
             attachments(F.col("parts")).alias("media"),
         ).alias("t"),
     )
-    conv = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
-    written = F.transform("ts", lambda t: F.concat(head(t), t["content"], F.lit(END)))
-    conv = conv.select("conv_id", "ts", F.concat_ws("", written).alias("formatted"), F.transform(written, lambda x: F.length(x)).alias("_n"))
-    before = lambda i: F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    # a running sum in the turns' order says where each begins; the same partitioning then serves the list
+    n = (F.length(head(F.col("t"))) + F.length("t.content") + len(END)).cast("long")
+    before = F.sum(n).over(Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    one = one.select("conv_id", F.struct("t", F.coalesce(before, F.lit(0).cast("long")).alias("at")).alias("x"))
+    conv = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("ts"))
+    written = F.transform("ts", lambda x: F.concat(head(x["t"]), x["t"]["content"], F.lit(END)))
+    conv = conv.select("conv_id", "ts", F.concat_ws("", written).alias("formatted"))
     placed = F.transform(
         "ts",
-        lambda t, i: F.struct(
-            t["role"].alias("role"), t["content"].alias("content"), (before(i) + F.length(head(t))).cast("long").alias("start"),
-            F.length(t["content"]).cast("long").alias("length"), t["role"].isin(*loss_roles).alias("loss"),
+        lambda x: F.struct(
+            x["t"]["role"].alias("role"), x["t"]["content"].alias("content"), (x["at"] + F.length(head(x["t"]))).cast("long").alias("start"),
+            F.length(x["t"]["content"]).cast("long").alias("length"), x["t"]["role"].isin(*loss_roles).alias("loss"),
         ),
     )
-    media = F.flatten(F.transform("ts", lambda t, i: F.transform(t["media"], lambda m: F.struct(i.alias("turn"), m["n"].alias("n"), m["type"].alias("type"), m["ref"].alias("ref"), m["tokens"].alias("tokens")))))
+    media = F.flatten(F.transform("ts", lambda x, i: F.transform(x["t"]["media"], lambda m: F.struct(i.alias("turn"), m["n"].alias("n"), m["type"].alias("type"), m["ref"].alias("ref"), m["tokens"].alias("tokens")))))
     return conv.select("conv_id", "formatted", placed.alias("turns"), media.alias("attachments")).withColumn(
         "expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, m: a + m["tokens"])
     )

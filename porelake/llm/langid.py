@@ -53,17 +53,19 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(x, pa.binary())], ["lang", "h", "x"])
 
 
-def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int = 150) -> dict:
-    """train(text, lang), without nulls -> the model. Learns from at most per_lang distinct texts of each of the max_langs languages
-    of most distinct texts (all, where there are fewer): those with the least hash. A text that stands in many rows counts once, so
-    copies neither fill the sample nor make it larger."""
+def fit(train: DataFrame, per_lang: int = 400, max_rows: int = 16_384, steps: int = 150) -> dict:
+    """train(text, lang), without nulls -> the model. Learns from at most per_lang distinct texts of each language, fewer if all
+    languages' together would be over max_rows, but one of each at least (all, where there are fewer): those with the least hash. So
+    every language is learnt, and the driver holds max_rows vectors of DIM floats, or one for each language. A text that stands in many
+    rows counts once, so copies neither fill the sample nor make it larger."""
     hashed = train.select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
-    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
     langs = sorted((r.lang for r in counts), key=lambda s: s.encode())
     if not langs:
         return {"langs": []}
-    # half as many again as are wanted, in expectation; then the least
-    shares = train.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * per_lang / r.n)) for r in counts], "lang string, share double")
+    per_lang = max(1, min(per_lang, max_rows // len(langs)))
+    # half as many again as are wanted (of few, eight more), in expectation; then the least
+    shares = train.sparkSession.createDataFrame([(r.lang, min(1.0, (1.5 * per_lang + 8) / max(r.n, 1))) for r in counts], "lang string, share double")
     some = hashed.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     least = some.groupBy("lang", "h").agg(F.first("text").alias("text")).withColumn("_r", rank).filter(F.col("_r") <= per_lang)
@@ -96,7 +98,8 @@ def fit(train: DataFrame, per_lang: int = 400, max_langs: int = 512, steps: int
 
 def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """margins[n, bits] -> index of the language, its score in 0..1, and the loss by which the next language is worse, per bit."""
-    loss = np.logaddexp(0, -margins[:, None, :] * model["code"][None]) @ model["bit"]
+    ones = (model["code"] > 0).astype(margins.dtype)
+    loss = (np.logaddexp(0, -margins) * model["bit"]) @ ones.T + (np.logaddexp(0, margins) * model["bit"]) @ (1 - ones).T
     best, n = loss.argmin(1), len(loss)
     p = np.exp(loss.min(1, keepdims=True) - loss)
     least = np.partition(loss, 1, axis=1)[:, :2] if loss.shape[1] > 1 else np.concatenate([loss, loss + model["bit"].sum() * 9], 1)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_before, stash, text_size, unstash
+from .common import lookup, running_before, stash, text_size, unstash
 
 #: A key: the place in the range of all rows in so many bits, a hash that tells rows of equal value apart, a hash that tells equal rows apart.
 _VALUE, _TIE, _ROW = 20, 24, 18
@@ -105,7 +105,7 @@ def kd_tree(points: DataFrame, dims: int, shards: int, tolerance: float = 2e-4,
     once. So a pass gives the driver at most nodes_at_once * dims * 4,096 sums, whatever the rows are."""
     total = points.agg(F.sum("w")).first()[0] or 0
     tree, level = Tree(shards), [0]
-    big = points.filter("heavy").select("w", *(f"k{i}" for i in range(dims))).toPandas()  # under 64 * shards rows
+    big = points.filter("heavy").groupBy(*(f"k{i}" for i in range(dims))).agg(F.sum("w").alias("w")).toPandas()  # under 64 * shards rows
     big_keys, big_w = big[[f"k{i}" for i in range(dims)]].to_numpy(np.int64).reshape(-1, dims), big["w"].to_numpy(np.int64)
 
     def histograms(windows: dict) -> dict:
@@ -183,25 +183,27 @@ def kd_shards(points: DataFrame, dims: list[str], tie: str, row: str, shards: in
     its weight, as a share of the range of all rows), where n // 2 / n of its weight lies below, until each leaf stands for one
     shard. Rows of equal value are split by tie, and those of equal tie by row, if a shard's edge falls among them, so that a value
     that holds any share of the rows is no obstacle. Rows over 1/64 of a shard have a median of their own, and that of
-    the others makes up for where it falls, so that shards don't differ by such rows. The driver gets histograms and those rows' keys
+    the others makes up for where it falls, so that shards don't differ by such rows. A column `unit` has the weight of all the rows that
+    a row can't be parted from, as they agree in dims, tie and row; they then count together. The driver gets histograms and those rows' keys
     (fewer than 64 * shards). An empty table gives no rows."""
-    keyed = stash(_keyed(points.withColumn("heavy", F.lit(False)), dims, tie, row), "kd-points")
+    whole = F.col("unit") if "unit" in points.columns else F.col("w")
+    keyed = stash(_keyed(points.withColumn("_whole", whole).drop("unit"), dims, tie, row), "kd-points")
     total = keyed.agg(F.sum("w")).first()[0] or 0
     shards = shards or max(1, -(-total // target_bytes))
-    keyed, n = keyed.withColumn("heavy", F.col("w") * (64 * shards) > total), len(dims)
+    keyed, n = keyed.withColumn("heavy", F.col("_whole") * (64 * shards) > total).drop("_whole"), len(dims)
     tree = kd_tree(keyed, n, shards, tolerance)
     keep = [c for c in keyed.columns if c != "heavy" and c not in {f"k{i}" for i in range(n)}]
     kinds = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in keep)
     return keyed.mapInArrow(_sharded(tree, n, keep), f"{kinds}, shard int"), tree
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, together: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, together: int = 16) -> DataFrame:
     """docs(doc_id, text, lang, source) -> doc_id, size (UTF-8 bytes of the text and 8), text_crc32, shard, slot (gapless from 0).
 
     Dimensions: source and lang (by their first letters), the place of doc_id, and the text's size. Null texts have no bytes and
     the checksum of the empty text; null sources and languages count as empty, null doc_ids as the lowest. Documents of equal text stand
-    together, at the place of the least of them, unless they hold over 1 / (together * shards) of all bytes or rows: such a group is
-    split, for the shards' sizes come first. Rows that are repeated get slots of their own; other columns are not read."""
+    together, at the place of the least of them, unless they hold over 1 / together of a shard's bytes: such a group is split, for the shards'
+    sizes come first. How many rows they are doesn't matter. Rows that are repeated get slots of their own; other columns are not read."""
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long")
     letters = lambda c: F.conv(F.hex(F.rpad(F.substring(F.coalesce(F.col(c), F.lit("")).cast("binary"), 1, 6), 6, b"\0")), 16, 10).cast("double")
     narrow = docs.select(
@@ -213,18 +215,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, together: int = 64) -> Da
     same = ["h", "crc", "w"]
     least = [F.min(c).alias(f"_{c}") for c in ("doc_id", "s", "l")]
     groups = narrow.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
-    large = (F.col("n") * F.col("w") * (together * shards) > (total or 0)) | (F.col("n") * (together * shards) > rows)
+    large = F.col("n") * F.col("w") * (together * shards) > (total or 0)
     groups = stash(groups.withColumn("large", large), "kd-groups")
-    split = groups.filter("large").select(*same, "large")  # fewer than 2 * together * shards rows of 25 bytes
+    split = groups.filter("large").select(*same, "large")  # fewer than together * shards rows of 25 bytes
     split = F.broadcast(split) if together * shards <= 1 << 18 else split
     flagged = narrow.join(split, same, "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    # rows of a split group have a key of their own, so that none of the groups that are joined is large
+    # rows of a split group have a key of their own; of the others, short texts may still be most of the rows
     keyed = flagged.withColumn("h0", F.col("h")).withColumn("h", F.when(F.col("large"), F.xxhash64("h", "row")).otherwise(F.col("h")))
-    joined = keyed.join(groups.filter("not large").select(*same, *(f"_{c}" for c in ("doc_id", "s", "l"))), same, "left")
+    key = F.struct(*same).alias("_same")
+    kept = groups.filter("not large").select(key, (F.col("n") * F.col("w")).alias("_unit"), *(f"_{c}" for c in ("doc_id", "s", "l")))
+    joined = lookup(keyed.select("*", key), kept, "_same", rows, "left")
     whole = ~F.col("large")
     log = F.log1p(F.col("w").cast("double"))
     points = joined.select(
-        "doc_id", "w", "crc", F.coalesce("_s", "s").alias("p_source"), F.coalesce("_l", "l").alias("p_lang"), F.coalesce("_doc_id", "doc_id").alias("p_id"), log.alias("p_size"),
+        "doc_id", "w", F.coalesce("_unit", "w").alias("unit"), "crc", F.coalesce("_s", "s").alias("p_source"), F.coalesce("_l", "l").alias("p_lang"), F.coalesce("_doc_id", "doc_id").alias("p_id"), log.alias("p_size"),
         F.when(whole, F.col("h0")).otherwise(F.xxhash64("h0", "doc_id")).alias("tie"), F.when(whole, F.lit(0).cast("long")).otherwise(F.xxhash64("row")).alias("row"),
     )
     placed, _ = kd_shards(points, ["p_source", "p_lang", "p_id", "p_size"], "tie", "row", shards)

@@ -212,6 +212,30 @@ def test_equal_texts_stand_together(spark):
     assert all(len(v) == 1 for v in of.values()) and max(sizes.values()) - min(sizes.values()) < 0.02 * min(sizes.values())
 
 
+@tables
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_equal_texts_of_the_given_tables(spark, table):
+    """At the registered parameters: only groups of over 1/16 of a shard's bytes are split, and the shards' sizes stay near."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    ids = {r.doc_id: r.text for r in docs.collect()}
+    of, size, own = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for r in sharding.shard_documents(docs, 24).collect():
+        of[ids[r.doc_id]].add(r.shard)
+        size[r.shard] += r.size
+        own[ids[r.doc_id]] += r.size
+    total = sum(size.values())
+    groups = [t for t in of if own[t] > len((t or "").encode()) + 8]
+    assert groups and all(len(of[t]) == 1 for t in groups if own[t] * 16 * 24 <= total)
+    if table == "sf0.01":  # the smaller table has a text of nearly a shard's bytes
+        assert max(size.values()) < 1.02 * total / 24 and min(size.values()) > 0.98 * total / 24
+
+
+def test_many_rows_of_few_bytes_stand_together(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("a text of some length, number "), F.repeat(F.col("id").cast("string"), 8))).alias("text"), F.lit("l").alias("lang"), F.lit("s").alias("source"))
+    got = sharding.shard_documents(d, 4, together=2).collect()
+    assert len({r.shard for r in got if r.size == 8}) == 1 and len(got) == 4000
+
+
 def plain_kd(keys, w, heavy, n):
     """A plain k-d tree with exact medians: each row's shard, numbered from the left."""
     bits = sharding._BITS
@@ -436,7 +460,8 @@ def test_language_sample_is_bounded(spark):
     rows = spark.range(5000).select(F.lit("immer derselbe satz").alias("text"), F.lit("de").alias("lang"))
     rows = rows.unionByName(spark.range(900).select(F.concat(F.lit("satz nummer "), "id").alias("text"), F.lit("de").alias("lang"))).unionByName(spark.range(7).select(F.concat(F.lit("sentence "), "id").alias("text"), F.lit("en").alias("lang")))
     assert langid.fit(rows, per_lang=100)["rows"] == 107
-    assert langid.fit(rows, per_lang=100, max_langs=1)["langs"] == ["de"]
+    few = langid.fit(rows, per_lang=100, max_rows=20)  # fewer of each, but no language is lost
+    assert few["langs"] == ["de", "en"] and few["rows"] == 17
 
 
 def test_language_id_awkward(spark):
