@@ -3,11 +3,11 @@
 Each stage takes (spark, docs, sf_dir), docs having the columns of documents, and works on all that its predecessor kept; all but the
 last return those columns. An empty or null text is rejected by the first stage; rows that are repeated are copies of each other."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porelake.llm import langid, minhash, mixing, quality
-from porelake.llm.common import read, small_batches, stash
+from porelake.llm.common import read, small_batches, stash, unstash
 from porelake.llm.queries import digested, pack_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,8 +40,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*COLUMNS).alias("h1"), F.xxhash64(nulls, *COLUMNS).alias("h2"))
     docs = docs.withColumn("_row", row)
     kept = minhash.near_duplicates(docs, "_row").filter("kept").select("_row").distinct()
-    one = Window.partitionBy("_row").orderBy("_row")
-    return docs.join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(COLUMNS)
+    return docs.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all texts of the mix into sequences of 1,024 ids: a row for each piece, with its digest. Null and empty texts give the end id
+    alone, repeated rows are packed each, an empty table gives no rows."""
     small_batches(spark)
     return digested(pack_documents(docs, ["doc_id"]))
 
@@ -71,7 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
+        before, out = out, stage(spark, out, sf_dir)
         if i < len(STAGES) - 1:
             out = stash(out, "stage")
+            unstash(before)
     return out
