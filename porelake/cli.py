@@ -3,6 +3,7 @@
 import argparse
 import io
 import os
+import shlex
 
 import numpy as np
 from pyspark.sql import Observation, SparkSession
@@ -62,6 +63,10 @@ def detail_aggregation(spark, a):
     calls = _calls(spark, a.file_path)
     calls = sites.confident(calls, a.filter_ratio) if a.filter_ratio else calls
     found = sites.aggregate_sites(calls, a.threshold)
+    if a.merge_strand and a.merge_program:
+        motifs = sites.motif_bed(fasta.read_fasta(spark, a.merge_strand))
+        sites.merge_by_program(motifs, found, shlex.split(a.merge_program)).write.mode("overwrite").text(a.aggregation_output)
+        return
     if a.merge_strand:
         found = sites.merge_strands(sites.motif_bed(fasta.read_fasta(spark, a.merge_strand)), found)
     tables.write_tsv(found.orderBy("chr", "start"), a.aggregation_output)
@@ -160,7 +165,7 @@ def _save_npz(spark, path, **arrays_):
 COMMANDS = {
     "extract_hc_sites": (extract_hc_sites, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_dir",), ("pos",), ("neg",), ("kmer_size", 51, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int), ("form", "npz", str)]),
     "extract_and_call_mods": (extract_and_call_mods, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_file",), ("module_path",), ("kmer_size", 51, int), ("batch_size", 1024, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int)]),
-    "detail_aggregation": (detail_aggregation, [("file_path",), ("threshold", 0.5, float), ("aggregation_output", "detail_aggregation.txt", str), ("filter_ratio", 0.0, float), ("merge_strand", "", str)]),
+    "detail_aggregation": (detail_aggregation, [("file_path",), ("threshold", 0.5, float), ("aggregation_output", "detail_aggregation.txt", str), ("filter_ratio", 0.0, float), ("merge_strand", "", str), ("merge_program", "", str)]),
     "detail_dict": (detail_dict, [("file",), ("wgbs",), ("output",), ("threshold", 0.5, float)]),
     "f1_auc": (f1_auc, [("wgbs",), ("calls",), ("output",), ("pos", 1.0, float), ("neg", 0.0, float), ("label_cut", 0.5, float)]),
     "roc_compare": (roc_compare, [("metrics1",), ("metrics2",)]),
