@@ -47,11 +47,13 @@ def extract_hc_sites(spark, a):
 def extract_and_call_mods(spark, a):
     aligned, found = Observation("reads"), Observation("features")
     whole = reads.counted(_alignments(spark, a.bam_path), "reads", aligned)
-    made = features.site_features(whole, _signals(spark, a.pod5_dir), fasta.read_fasta(spark, a.reference_path), a.motif_type, a.loc_in_motif, a.kmer_size)
+    made = features.site_features(whole, _signals(spark, a.pod5_dir), fasta.read_fasta(spark, a.reference_path), a.motif_type, a.loc_in_motif, a.kmer_size, ledger=a.ledger or None)
     made = reads.counted(made, "features", found, files=F.approx_count_distinct("file_name"))
     tables.write_calls(scoring.call_mods(made, scoring.BiLstmScorer.load(a.module_path), a.batch_size), a.write_file)
     counts = aligned.get | found.get
     print(f"{counts['files']} signal files, {counts['reads']} reads, {counts['features']} features, at least {-(-counts['features'] // a.batch_size)} batches")
+    if a.ledger and os.path.isdir(a.ledger):
+        features.read_ledger(spark, a.ledger).groupBy("reason").count().orderBy("reason").show()
 
 
 def _calls(spark, path):
@@ -164,7 +166,7 @@ def _save_npz(spark, path, **arrays_):
 # name: (function, arguments as (name, default, type); no default: required and in this order)
 COMMANDS = {
     "extract_hc_sites": (extract_hc_sites, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_dir",), ("pos",), ("neg",), ("kmer_size", 51, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int), ("form", "npz", str)]),
-    "extract_and_call_mods": (extract_and_call_mods, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_file",), ("module_path",), ("kmer_size", 51, int), ("batch_size", 1024, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int)]),
+    "extract_and_call_mods": (extract_and_call_mods, [("pod5_dir",), ("bam_path",), ("reference_path",), ("write_file",), ("module_path",), ("kmer_size", 51, int), ("batch_size", 1024, int), ("motif_type", "CG", str), ("loc_in_motif", 0, int), ("ledger", "", str)]),
     "detail_aggregation": (detail_aggregation, [("file_path",), ("threshold", 0.5, float), ("aggregation_output", "detail_aggregation.txt", str), ("filter_ratio", 0.0, float), ("merge_strand", "", str), ("merge_program", "", str)]),
     "detail_dict": (detail_dict, [("file",), ("wgbs",), ("output",), ("threshold", 0.5, float)]),
     "f1_auc": (f1_auc, [("wgbs",), ("calls",), ("output",), ("pos", 1.0, float), ("neg", 0.0, float), ("label_cut", 0.5, float)]),

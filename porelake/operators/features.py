@@ -1,11 +1,14 @@
 """Site features: one kernel for training and calling, a read at a time in Arrow batches, after all native gates and joins."""
 
+import os
 from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
@@ -85,14 +88,23 @@ def _lists(rows: np.ndarray) -> pa.Array:
 _PLAIN = ("read_id", "ref_start", "ref_end", "chr", "is_forward", "file_name", "ref_seq", "seq", "qual", "q_start", "q_end", "stride", "offset", "scale", "is_split", "split", "num_samples", "trim_start")
 
 
-def _kernel(k, kind, loc, round_digits, std_mode, labelled):
+_LEDGER = pa.schema([("read_id", pa.string()), ("file_name", pa.string()), ("reason", pa.string())])
+
+
+def _kernel(k, kind, loc, round_digits, std_mode, labelled, ledger=None):
+    """ledger: a folder for the reads that come to nothing, a file a task; without one they are let go."""
     kept = ("read_id", "ref_start", "ref_end", "chr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost: list[tuple] = []
         for batch in batches:
             signal, moves, ops, lens = (_slices(batch.column(c), f) for c, f in (("signal", None), ("moves", None), ("cigar", "op"), ("cigar", "len")))
             wanted = _slices(batch.column("wanted")) if labelled else None
+            gone = batch.column("dropped").to_pylist() if ledger else None
             for i, plain in enumerate(batch.select(_PLAIN).to_pylist()):
+                if gone and gone[i]:
+                    lost.append((plain["read_id"], plain["file_name"], gone[i]))
+                    continue
                 r = SimpleNamespace(**plain, signal=signal(i), moves=moves(i), ops=ops(i), lens=lens(i))
                 made = read_features(r, k, kind, loc, wanted(i) if labelled else None, round_digits, std_mode)
                 if made is not None and len(made[0]):
@@ -100,22 +112,56 @@ def _kernel(k, kind, loc, round_digits, std_mode, labelled):
                     same = [pa.array([plain[c]] * len(pos), batch.schema.field(c).type) for c in kept]
                     more = [pa.array(pos.astype(np.int32)), pa.array(["+" if r.is_forward else "-"] * len(pos)), pa.array([r.file_name] * len(pos), pa.string())]
                     yield pa.RecordBatch.from_arrays([*same, *more, _lists(kmer), _lists(rows)], [*kept, "pos", "strand", "file_name", "kmer", "signal"])
+                elif ledger:
+                    lost.append((plain["read_id"], plain["file_name"], "kernel" if _has_site(r, k, kind, loc) else "no site"))
+        if lost:
+            _write_ledger(ledger, lost)
 
     return run
 
 
+def _has_site(r, k: int, kind: str, loc: int) -> bool:
+    """Whether a read's reference has a site with a whole window."""
+    ref, half = np.frombuffer(r.ref_seq.encode("latin-1", "replace"), np.uint8), (k - 1) // 2
+    at = motif_places(ref if r.is_forward else _COMPLEMENT[ref[::-1]], kind, loc)
+    return bool(((at >= half) & (at + half < len(ref))).any())
+
+
+def _write_ledger(folder: str, lost: list[tuple]) -> None:
+    """One file for the task's partition, whichever attempt writes it."""
+    task = TaskContext.get()
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"part-{task.partitionId():05d}.parquet")
+    pq.write_table(pa.Table.from_arrays([pa.array(c, pa.string()) for c in zip(*lost, strict=True)], schema=_LEDGER), draft := f"{folder}/.{task.taskAttemptId()}.tmp")
+    os.replace(draft, target)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """read_id, file_name, reason of the reads that site_features() has written aside."""
+    return spark.read.schema("read_id string, file_name string, reason string").parquet(folder)
+
+
 def site_features(
     alignments: DataFrame, raw_reads: DataFrame, reference: DataFrame, motif: str = "CG", loc: int = 0, k: int = 51, labels: DataFrame | None = None,
     round_digits: int | None = None, std_mode: str = "compat", exclude_flags: int = 0, match_ops: tuple[int, ...] = (0,), gates: dict | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Features of each (read, motif site): k base codes, and for each of k bases mean, "std" (the mean again in the mode `compat`), samples,
     quality, 15 samples.
 
     With labels (chr, pos, label), only their sites, and a label; reads without any are dropped before anything else is joined. Sites meet
     the reads' places (chr, ref_start, ref_end) alone, in bins of about a read's length, and the reads then get the list of theirs.
-    Gates run before the joins; the kernel sees a read once and returns its sites."""
+    Gates run before the joins; the kernel sees a read once and returns its sites.
+
+    With a ledger (a folder that the executors share; not with labels), each read that has no features is written there with the reason, one of
+    reads.REASONS, by the tasks that make the features, in the same pass; kept and dropped reads are then all of the input's."""
     sq.check_odd(k)
     sq.motif_set(motif)
+    if ledger:
+        if labels is not None:
+            raise ValueError("a ledger is kept without labels only")
+        whole = reads.join_all(reads.dropped(alignments, exclude_flags, match_ops=match_ops, **(gates or {})), raw_reads, reference)
+        return whole.select(*_PLAIN, "signal", "moves", "cigar", "dropped").mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, False, ledger), OUT)
     a = reads.quality_gate(reads.with_moves(reads.usable(alignments, exclude_flags)), match_ops=match_ops, **(gates or {}))
     if labels is not None:
         a = a.join(wanted_sites(a, labels), ["chr", "ref_start", "ref_end"])
