@@ -4,6 +4,7 @@ of places or one in all."""
 
 import glob
 import os
+import re
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -197,6 +198,32 @@ def parse_region(region: str) -> tuple[str, int, int]:
     return name, int(start), int(end)
 
 
+def read_part(path: str, kind: str, start: int, end: int | None, columns: list[str], region: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of one of splits() or over()."""
+    schema = pa.schema([_ARROW.field(c) for c in columns])
+    rows = []
+    with open(path, "rb") as f:
+        heads = read_header(bgzf.Reader(f))
+        names = [n for n, _ in heads]
+        if kind == "near":
+            start = first_record(f, heads, start, end >> 16 if end is not None else f.seek(0, 2))
+            if start is None:
+                return
+        wanted = parse_region(region) if region else None
+        for body in read_bodies(bgzf.Reader(f, start), end):
+            if wanted:
+                tid, a, b = _place(body)
+                if tid < 0 or names[tid] != wanted[0] or a >= wanted[2] or b <= wanted[1]:
+                    continue
+            row = decode_record(body, names)
+            rows.append({c: body if c == "record" else row[c] for c in columns})
+            if len(rows) == 512:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, columns: list[str], size: int, region: str | None = None):
         self.path, self.columns, self.size, self.region = path, columns, size, region
@@ -207,31 +234,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in parts] or [InputPartition(None)]
 
     def read(self, partition):
-        if partition.value is None:
-            return
-        path, kind, start, end = partition.value
-        schema = pa.schema([_ARROW.field(c) for c in self.columns])
-        rows = []
-        with open(path, "rb") as f:
-            heads = read_header(bgzf.Reader(f))
-            names = [n for n, _ in heads]
-            if kind == "near":
-                start = first_record(f, heads, start, end >> 16 if end is not None else f.seek(0, 2))
-                if start is None:
-                    return
-            wanted = parse_region(self.region) if self.region else None
-            for body in read_bodies(bgzf.Reader(f, start), end):
-                if wanted:
-                    tid, a, b = _place(body)
-                    if tid < 0 or names[tid] != wanted[0] or a >= wanted[2] or b <= wanted[1]:
-                        continue
-                row = decode_record(body, names)
-                rows.append({c: body if c == "record" else row[c] for c in self.columns})
-                if len(rows) == 512:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        if partition.value is not None:
+            yield from read_part(*partition.value, self.columns, self.region)
 
 
 class BamSource(DataSource):
@@ -251,14 +255,45 @@ class BamSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str, split: int = 64 << 20, region: str | None = None) -> DataFrame:
-    from ..functions.signal import move_table
-
     spark.dataSource.register(BamSource)
     source = spark.read.format("bam").option("split", split)
-    rows = derive((source.option("region", region) if region else source).load(path)).withColumn("_m", F.when(F.col("mv").isNotNull(), move_table(F.col("mv"))))
+    return _alignments((source.option("region", region) if region else source).load(path))
+
+
+def _alignments(raw: DataFrame) -> DataFrame:
+    from ..functions.signal import move_table
+
+    rows = derive(raw).withColumn("_m", F.when(F.col("mv").isNotNull(), move_table(F.col("mv"))))
     return rows.withColumn("stride", F.col("_m.stride")).withColumn("moves", F.col("_m.moves")).select(COLUMNS)
 
 
+def _split_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                local = re.sub(r"^file:(//)?(?=/)", "", path)
+                kinds, starts, ends = zip(*splits(local, size), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([local] * len(kinds)), pa.array(kinds), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["path", "kind", "first", "last"])
+
+    return run
+
+
+def _read_rows(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, kind, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from read_part(path, kind, first, last, columns)
+
+    return run
+
+
+def alignments_of(files: DataFrame, split: int = 64 << 20, parts: int | None = None) -> DataFrame:
+    """files(path) -> the alignments of these BAM files, in batch or as a stream: each file's splits are dealt over `parts` partitions."""
+    rows = files.select("path").mapInArrow(_split_rows(split), "path string, kind string, first long, last long")
+    dealt = rows.repartition(*([parts] if parts else []), "path", "first")
+    return _alignments(dealt.mapInArrow(_read_rows([f.name for f in _ARROW if f.name != "record"]), RAW))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """read_id, flag, chr, pos0 and record, the alignment's own bytes, for write_sorted()."""
     spark.dataSource.register(BamSource)
