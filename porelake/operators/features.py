@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as sq
 from ..functions import signal as sg
 from ..functions import text
+from ..sources import refstore
 from . import reads
 
 PER_BASE = 4 + sg.POINTS
@@ -91,19 +92,25 @@ _PLAIN = ("read_id", "ref_start", "ref_end", "chr", "is_forward", "file_name", "
 _LEDGER = pa.schema([("read_id", pa.string()), ("file_name", pa.string()), ("reason", pa.string())])
 
 
-def _kernel(k, kind, loc, round_digits, std_mode, labelled, ledger=None):
-    """ledger: a folder for the reads that come to nothing, a file a task; without one they are let go."""
+def _kernel(k, kind, loc, round_digits, std_mode, labelled, ledger=None, store=None):
+    """ledger: a folder for the reads that come to nothing, a file a task; without one they are let go. store: a folder of refstore.write(), if
+    the reads don't bring their reference along."""
     kept = ("read_id", "ref_start", "ref_end", "chr")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost: list[tuple] = []
+        bases = refstore.Store(store) if store else None
         for batch in batches:
             signal, moves, ops, lens = (_slices(batch.column(c), f) for c, f in (("signal", None), ("moves", None), ("cigar", "op"), ("cigar", "len")))
             wanted = _slices(batch.column("wanted")) if labelled else None
             gone = batch.column("dropped").to_pylist() if ledger else None
-            for i, plain in enumerate(batch.select(_PLAIN).to_pylist()):
-                if gone and gone[i]:
-                    lost.append((plain["read_id"], plain["file_name"], gone[i]))
+            for i, plain in enumerate(batch.select([c for c in _PLAIN if c in batch.schema.names]).to_pylist()):
+                why = gone[i] if gone else None
+                if bases and not why:
+                    plain["ref_seq"] = bases.cut(plain["chr"], plain["ref_start"], plain["ref_end"])
+                    why = None if plain["ref_seq"] else "no reference"
+                if why:
+                    lost.append((plain["read_id"], plain["file_name"], why))
                     continue
                 r = SimpleNamespace(**plain, signal=signal(i), moves=moves(i), ops=ops(i), lens=lens(i))
                 made = read_features(r, k, kind, loc, wanted(i) if labelled else None, round_digits, std_mode)
@@ -114,7 +121,7 @@ def _kernel(k, kind, loc, round_digits, std_mode, labelled, ledger=None):
                     yield pa.RecordBatch.from_arrays([*same, *more, _lists(kmer), _lists(rows)], [*kept, "pos", "strand", "file_name", "kmer", "signal"])
                 elif ledger:
                     lost.append((plain["read_id"], plain["file_name"], "kernel" if _has_site(r, k, kind, loc) else "no site"))
-        if lost:
+        if lost and ledger:
             _write_ledger(ledger, lost)
 
     return run
@@ -142,7 +149,7 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def site_features(
-    alignments: DataFrame, raw_reads: DataFrame, reference: DataFrame, motif: str = "CG", loc: int = 0, k: int = 51, labels: DataFrame | None = None,
+    alignments: DataFrame, raw_reads: DataFrame, reference: DataFrame | str, motif: str = "CG", loc: int = 0, k: int = 51, labels: DataFrame | None = None,
     round_digits: int | None = None, std_mode: str = "compat", exclude_flags: int = 0, match_ops: tuple[int, ...] = (0,), gates: dict | None = None,
     ledger: str | None = None,
 ) -> DataFrame:
@@ -151,23 +158,26 @@ def site_features(
 
     With labels (chr, pos, label), only their sites, and a label; reads without any are dropped before anything else is joined. Sites meet
     the reads' places (chr, ref_start, ref_end) alone, in bins of about a read's length, and the reads then get the list of theirs.
-    Gates run before the joins; the kernel sees a read once and returns its sites.
+    Gates run before the joins; the kernel sees a read once and returns its sites. reference: a table, or the folder of refstore.write(), from which
+    the kernel cuts each read's bases itself.
 
     With a ledger (a folder that the executors share; not with labels), each read that has no features is written there with the reason, one of
     reads.REASONS, by the tasks that make the features, in the same pass; kept and dropped reads are then all of the input's."""
     sq.check_odd(k)
     sq.motif_set(motif)
+    store = reference if isinstance(reference, str) else None
+    plain = [c for c in _PLAIN if c != "ref_seq" or not store]
     if ledger:
         if labels is not None:
             raise ValueError("a ledger is kept without labels only")
-        whole = reads.join_all(reads.dropped(alignments, exclude_flags, match_ops=match_ops, **(gates or {})), raw_reads, reference)
-        return whole.select(*_PLAIN, "signal", "moves", "cigar", "dropped").mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, False, ledger), OUT)
+        whole = reads.join_all(reads.dropped(alignments, exclude_flags, match_ops=match_ops, **(gates or {})), raw_reads, None if store else reference)
+        return whole.select(*plain, "signal", "moves", "cigar", "dropped").mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, False, ledger, store), OUT)
     a = reads.quality_gate(reads.with_moves(reads.usable(alignments, exclude_flags)), match_ops=match_ops, **(gates or {}))
     if labels is not None:
         a = a.join(wanted_sites(a, labels), ["chr", "ref_start", "ref_end"])
-    joined = reads.join_signals(reads.join_reference(a, reference), raw_reads)
-    needed = [*_PLAIN, "signal", "moves", "cigar", *(["wanted"] if labels is not None else [])]
-    made = joined.filter("signal is not null and cigar is not null").select(needed).mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, labels is not None), OUT)
+    joined = reads.join_signals(a if store else reads.join_reference(a, reference), raw_reads)
+    needed = [*plain, "signal", "moves", "cigar", *(["wanted"] if labels is not None else [])]
+    made = joined.filter("signal is not null and cigar is not null").select(needed).mapInArrow(_kernel(k, motif, loc, round_digits, std_mode, labels is not None, None, store), OUT)
     return made if labels is None else reads.label_sites(made, labels)
 
 

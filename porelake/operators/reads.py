@@ -60,11 +60,11 @@ def dropped(a: DataFrame, exclude_flags: int = 0, mapq: int = MIN_MAPQ, coverage
     return _with_sums(a, match_ops).withColumn("dropped", why.when(fails(_good(mapq, coverage, identity) & F.col("cigar").isNotNull()), REASONS[3]).when(fails(moves), REASONS[4])).drop("_sums")
 
 
-def join_all(a: DataFrame, raw_reads: DataFrame, reference: DataFrame) -> DataFrame:
+def join_all(a: DataFrame, raw_reads: DataFrame, reference: DataFrame | None) -> DataFrame:
     """dropped() alignments, all of them, with ref_seq and signal where there are any, and the reason where there is none. The joins are those
-    of join_reference() and join_signals(), but outer: rows that are dropped already meet nothing, under keys of their own."""
+    of join_reference() and join_signals(), but outer: rows that are dropped already meet nothing, under keys of their own. Without a reference, only the signals are joined."""
     live = F.col("dropped").isNull()
-    a = join_reference(a, reference, keep=True).withColumn("dropped", F.when(live & (F.length(F.coalesce("ref_seq", F.lit(""))) == 0), REASONS[5]).otherwise(F.col("dropped")))
+    a = a if reference is None else join_reference(a, reference, keep=True).withColumn("dropped", F.when(live & (F.length(F.coalesce("ref_seq", F.lit(""))) == 0), REASONS[5]).otherwise(F.col("dropped")))
     files = raw_reads.select(F.col("file_name").alias("_file")).distinct().withColumn("_known", F.lit(True))
     raw = raw_reads.select(F.col("file_name").alias("_file"), F.col("read_id").alias("_read"), "signal", "offset", "scale", F.lit(True).alias("_found"))
     own = lambda c, other: F.when(live, c).otherwise(F.concat(F.lit("\0"), other))

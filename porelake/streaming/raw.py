@@ -21,12 +21,12 @@ def stream_bam(spark: SparkSession, path: str, max_bytes: int = 4 << 30, split:
 
 
 def call_files(
-    spark: SparkSession, path: str, raw_reads: DataFrame, reference: DataFrame, scorer: scoring.Scorer, output: str, checkpoint: str, max_bytes: int = 4 << 30, split: int = 64 << 20,
+    spark: SparkSession, path: str, raw_reads: DataFrame, reference: DataFrame | str, scorer: scoring.Scorer, output: str, checkpoint: str, max_bytes: int = 4 << 30, split: int = 64 << 20,
     once: bool = True, **kernel,
 ) -> StreamingQuery:
     """Starts the stream: output/batch=<n> gets the calls of the n-th micro-batch's files. A batch that runs again, after a restart too, has the
     same files by the checkpoint's log and replaces its own folder, so calls are neither lost nor repeated; max_bytes bounds what is under
-    way. raw_reads and reference are tables; of the signals, only those of the batch's own signal files are read past a join by file name.
+    way. raw_reads and reference are tables, the latter rather a folder of refstore.write(); of the signals, only those of the batch's own signal files are read past a join by file name.
     once: what is there now, then it ends. Other arguments are site_features()'s."""
 
     def batch(alignments: DataFrame, n: int) -> None:
