@@ -570,6 +570,18 @@ def test_chat_round_trip(spark):
             assert control not in r.e
 
 
+def test_a_long_conversation(spark):
+    """Offsets of 5,000 turns, and of rows that are repeated."""
+    n = 5000
+    d = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn <s> "), F.col("id").cast("string")).alias("text"))
+    same = spark.createDataFrame([(2, 0, "assistant", "again")] * 3, "conv_id long, turn long, role string, text string")
+    turns = d.unionByName(same).repartition(5).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    got = {r.conv_id: r for r in chat.format_conversations(turns).select("*", chat.loss_text(F.col("formatted"), F.col("turns")).alias("loss")).collect()}
+    assert got[1].loss == "".join(f"turn <s> {i}" for i in range(1, n, 2)) and got[2].loss == "again" * 3
+    for r in got.values():
+        assert all(r.formatted[t.start : t.start + t.length] == t.content for t in r.turns)
+
+
 def test_chat_format(spark):
     rows = [(c, t, ["user", "assistant", None][(c + t) % 3], NASTY[(c * 3 + t) % len(NASTY)] or None) for c in range(12) for t in range(c % 5 + 1)] + [(None, 0, "assistant", "x"), (3, None, "user", "first"), (4, 0, "a<|body|>\nb", "y")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
