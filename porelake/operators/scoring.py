@@ -61,11 +61,12 @@ def bilstm(x: np.ndarray, w: dict, name: str, layers: int) -> np.ndarray:
 
 class BiLstmScorer:
     """Two branches, bases with their four statistics and the 15 samples, joined by a third LSTM; weights by their PyTorch names, as saved
-    in an .npz file."""
+    in an .npz file. The numbers of layers are those that there are weights of, unless they are given."""
 
-    def __init__(self, weights: dict[str, np.ndarray], branch_layers: int = 2, joint_layers: int = 3):
+    def __init__(self, weights: dict[str, np.ndarray], branch_layers: int | None = None, joint_layers: int | None = None):
         self.w = {k: np.asarray(v, np.float32) for k, v in weights.items()}
-        self.branch_layers, self.joint_layers = branch_layers, joint_layers
+        there = lambda name: sum(k.startswith(f"{name}.weight_ih_l") and not k.endswith("_reverse") for k in self.w)
+        self.branch_layers, self.joint_layers = branch_layers or there("lstm_seq"), joint_layers or there("lstm_comb")
 
     @classmethod
     def load(cls, path: str) -> "BiLstmScorer":

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from porelake import cli
 from porelake.operators import bilstm, distance, scoring
 
 from .test_engine import rows
@@ -111,6 +112,23 @@ def test_training_without_rows(spark, table, tmp_path):
     assert bilstm.train(bad, start, str(tmp_path / "bad"), epochs=1)[0].steps == 0
 
 
+def test_train_command(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    (tmp_path / "in").mkdir()
+    label = rng.integers(0, 2, 120)
+    x = np.concatenate([rng.integers(0, 4, (120, 3)), rng.normal(size=(120, 57)) + (2 * label[:, None] - 1), label[:, None]], 1).astype(np.float32)
+    np.save(tmp_path / "in" / "a.npy", x)
+    run = lambda out, *more: cli.COMMANDS["train"][0](spark, cli.parser().parse_args(["train", str(tmp_path / "in"), str(tmp_path / out), "--kmer_size", "3", *more]))
+    run("m", "--epochs", "2", "--batch_size", "60", "--rate", "0.03", "--hidden", "6", "--branch_layers", "1", "--joint_layers", "1", "--dropout", "0")
+    assert (tmp_path / "m" / "state" / "_SUCCESS").exists() and bilstm.State.load(spark, str(tmp_path / "m" / "state")).epoch == 2
+    scorer = scoring.BiLstmScorer.load(str(tmp_path / "m" / "weights.npz"))
+    assert (scorer.branch_layers, scorer.joint_layers) == (1, 1) and scorer(x[:, :3].astype(int), x[:, 3:60].reshape(120, 3, 19)).shape == (120, 2)
+    assert np.array_equal(bilstm.flat(scorer.w), bilstm.flat(bilstm.State.load(spark, str(tmp_path / "m" / "state")).weights))
+    run("linear", "--model", "logistic")
+    with np.load(tmp_path / "linear.npz") as f:
+        assert f["weights"].shape == (57,)
+
+
 # --- pairs of calls
 
 
