@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.cigar import OPS
-from . import bgzf
+from . import bamcols, bgzf
+from .bamcols import _NIBBLE, _PAIR
+from .bamcols import TAGS as _TAGS
 from .sam import COLUMNS, derive
 
-# Bases by their code of four bits.
-NIBBLES = "=ACMGRSVTWYHKDBN"
-_PAIR = np.array([[ord(NIBBLES[b >> 4]), ord(NIBBLES[b & 15])] for b in range(256)], np.uint8)
 # Struct formats of tag types.
 _KINDS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 RAW = (
@@ -145,12 +144,6 @@ def _chain(f: BinaryIO, at: int, size: int, names: list[tuple[str, int]]) -> boo
     return True
 
 
-def read_bodies(stream: bgzf.Reader, end: int | None) -> Iterator[bytes]:
-    """Records, without their lengths, that start before a virtual offset."""
-    while (end is None or stream.tell() < end) and (head := stream.read(4)):
-        yield stream.read(struct.unpack("<i", head)[0])
-
-
 def index_of(path: str) -> bgzf.Index | None:
     """The index beside a file; none if there is none."""
     stem = os.path.splitext(path)[0]
@@ -163,22 +156,23 @@ def index_of(path: str) -> bgzf.Index | None:
 
 
 def splits(path: str, size: int) -> list[tuple[str, int, int | None]]:
-    """How a file is read: ranges of virtual offsets (`at`) at records that the index beside it names, or without one ranges of bytes
-    (`near`), the first of which begins at the first record; about `size` bytes each."""
+    """How a file is read: ranges of about `size` bytes each. A range begins and ends `at` a record that the index beside the file names, or at the
+    first record `near` a byte: without an index, and where the index names none for long (reads without a place, or many at one place).
+    Kinds name both ends, as `at-near`."""
     index = index_of(path)
     with open(path, "rb") as f:
         whole = f.seek(0, 2)
         stream = bgzf.Reader(f)
         read_head(stream)
         first = stream.tell()
-    cuts = [first]
-    if index:
-        for at in index.starts():
-            if (at >> 16) - (cuts[-1] >> 16) >= size and at > first:
-                cuts.append(at)
-        return [("at", a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
-    bytes_ = [b for b in range(size, whole, size) if b > first >> 16]
-    return [("at" if i == 0 else "near", a, b) for i, (a, b) in enumerate(zip([first, *bytes_], [*(b << 16 for b in bytes_), None], strict=True))]
+    cuts = [("at", first)]
+    for at in [*(index.starts() if index else []), None]:
+        end = whole if at is None else at >> 16
+        last = cuts[-1][1] >> 16
+        if at is None or end - last >= size and at > first:
+            cuts += [("near", b << 16) for b in range(last + size, end - size // 2, size)]
+            cuts += [("at", at)] if at is not None else []
+    return [(f"{a}-{b}", x, y) for (a, x), (b, y) in zip(cuts, [*cuts[1:], ("at", None)], strict=True)]
 
 
 def over(path: str, size: int, region: str) -> list[tuple[str, int, int | None]]:
@@ -189,7 +183,7 @@ def over(path: str, size: int, region: str) -> list[tuple[str, int, int | None]]
     name, start, end = parse_region(region)
     with open(path, "rb") as f:
         names = [n for n, _ in read_header(bgzf.Reader(f))]
-    return [("at", a, b) for a, b in index.chunks(names.index(name), start, end)] if name in names else []
+    return [("at-at", a, b) for a, b in index.chunks(names.index(name), start, end)] if name in names else []
 
 
 def parse_region(region: str) -> tuple[str, int, int]:
@@ -201,27 +195,39 @@ def parse_region(region: str) -> tuple[str, int, int]:
 def read_part(path: str, kind: str, start: int, end: int | None, columns: list[str], region: str | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of one of splits() or over()."""
     schema = pa.schema([_ARROW.field(c) for c in columns])
-    rows = []
+    begins, ends = kind.split("-")
     with open(path, "rb") as f:
         heads = read_header(bgzf.Reader(f))
-        names = [n for n, _ in heads]
-        if kind == "near":
-            start = first_record(f, heads, start, end >> 16 if end is not None else f.seek(0, 2))
-            if start is None:
-                return
+        names, whole = [n for n, _ in heads], f.seek(0, 2)
+        # the part before ends where this one begins: both look for the same record
+        start = first_record(f, heads, start >> 16, whole) if begins == "near" else start
+        end = first_record(f, heads, end >> 16, whole) if ends == "near" else end
+        if start is None or end is not None and start >= end:
+            return
         wanted = parse_region(region) if region else None
-        for body in read_bodies(bgzf.Reader(f, start), end):
+        for data, at, size in bamcols.spans(bgzf.Reader(f, start), end):
+            done = False
             if wanted:
-                tid, a, b = _place(body)
-                if tid < 0 or names[tid] != wanted[0] or a >= wanted[2] or b <= wanted[1]:
-                    continue
-            row = decode_record(body, names)
+                tid, a, b = bamcols.places(np.frombuffer(data, np.uint8), at)
+                own = names.index(wanted[0])
+                done = bool(tid[-1] < 0 or tid[-1] > own or tid[-1] == own and a[-1] >= wanted[2])  # an indexed file is sorted
+                keep = (tid == own) & (a < wanted[2]) & (b > wanted[1])
+                at, size = at[keep], size[keep]
+            if len(at):
+                yield _rows(data, at, size, names, columns, schema)
+            if done:
+                return
+
+
+def _rows(data: bytes, at: np.ndarray, size: np.ndarray, names: list[str], columns: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    try:
+        return bamcols.decode(data, at, size, names, columns, schema)
+    except bamcols.Odd:
+        rows = []
+        for i, n in zip(at.tolist(), size.tolist(), strict=True):
+            row = decode_record(body := data[i : i + n], names)
             rows.append({c: body if c == "record" else row[c] for c in columns})
-            if len(rows) == 512:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        return pa.RecordBatch.from_pylist(rows, schema)
 
 
 class _Reader(DataSourceReader):
@@ -321,11 +327,15 @@ def _head(names: list[tuple[str, int]], text: bytes = b"") -> bytes:
     return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in names)
 
 
-def _place(record: bytes) -> tuple[int, int, int]:
-    """Reference, start and end of a record; one base long if it has no operations over the reference."""
-    tid, pos = struct.unpack_from("<ii", record)
-    ops = np.frombuffer(record, "<u4", struct.unpack_from("<H", record, 12)[0], 32 + record[8])
-    return (tid if pos >= 0 else -1), pos, pos + max(int((ops >> 4)[np.isin(ops & 15, (0, 2, 3, 7, 8))].sum()), 1)
+def _append(out: bgzf.Writer, index: bgzf.Index, records: pa.Array, before: int = 0) -> int:
+    """Writes records, and adds them to the index, `before` further on."""
+    n, rows = 0, max(1, int((4 << 20) / max(1, records.nbytes / max(1, len(records)))))
+    for lo in range(0, len(records), rows):
+        data, at, size = bamcols.framed(records.slice(lo, rows))
+        first, after = out.write_all(data, size + 4)
+        index.add_all(*bamcols.places(np.frombuffer(data, np.uint8), at), first + before, after + before)
+        n += len(at)
+    return n
 
 
 def _part(folder: str, names: list[tuple[str, int]]):
@@ -339,10 +349,7 @@ def _part(folder: str, names: list[tuple[str, int]]):
             out.write(_head(names, b"@HD\tVN:1.6\tSO:coordinate\n"))
             out.flush()
             for batch in batches:
-                for record in batch.column("record").to_pylist():
-                    at = out.write(struct.pack("<i", len(record)) + record)
-                    index.add(*_place(record), at, out.tell())
-                    n += 1
+                n += _append(out, index, batch.column("record"))
             out.close()
         with open(target + ".bai" + draft, "wb") as f:
             f.write(index.dump())
@@ -385,10 +392,7 @@ def _run(folder: str, refs: int, depth: int):
         with open(target, "wb") as f:
             out = bgzf.Writer(f)
             for batch in batches:
-                for record in batch.column("record").to_pylist():
-                    at = out.write(struct.pack("<i", len(record)) + record)
-                    index.add(*_place(record), at + _BEFORE, out.tell() + _BEFORE)
-                    n += 1
+                n += _append(out, index, batch.column("record"), _BEFORE)
             while out.data:
                 out.flush()
             size = f.tell()
@@ -496,28 +500,30 @@ def encode_record(r: dict, ids: dict[str, int]) -> bytes:
     return b"".join(out)
 
 
-_NIBBLE = np.full(256, NIBBLES.index("N"), np.uint8)
-_NIBBLE[[ord(c) for c in NIBBLES]] = np.arange(16)
-_NIBBLE[[ord(c) for c in NIBBLES.lower()]] = np.arange(16)
-#: Tags of an alignment's columns, and their kinds.
-_TAGS = (("fn", "Z", "file_name"), ("ts", "i", "trim_start"), ("ns", "i", "num_samples"), ("NM", "i", "nm"), ("MD", "Z", "md"), ("pi", "Z", "parent_read"), ("sp", "i", "split"))
-
-
 def _encoded(names: list[tuple[str, int]]):
     ids = {n: i for i, (n, _) in enumerate(names)}
 
+    def one_by_one(batch: pa.RecordBatch) -> list[bytes]:
+        made = []
+        for r in batch.to_pylist():
+            tags = [(tag, kind, r[c]) for tag, kind, c in _TAGS if not (c == "nm" and r[c] == -1)]
+            if r["moves"] is not None and r["stride"] is not None:  # as 0 and 1 for each stride
+                mv = np.zeros(max(r["moves"], default=0) + 1, np.int8)
+                mv[r["moves"][:-1]] = 1
+                mv = mv[:-1]
+                tags.append(("mv", "Bc", [r["stride"], *mv.tolist()]))
+            made.append(encode_record(r | {"tags": tags, "cigar": [(c["op"], c["len"]) for c in r["cigar"] or ()]}, ids))
+        return made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for r in batch.to_pylist():
-                tags = [(tag, kind, r[c]) for tag, kind, c in _TAGS if not (c == "nm" and r[c] == -1)]
-                if r["moves"] is not None and r["stride"] is not None:  # as 0 and 1 for each stride
-                    mv = np.zeros(max(r["moves"], default=0) + 1, np.int8)
-                    mv[r["moves"][:-1]] = 1
-                    mv = mv[:-1]
-                    tags.append(("mv", "Bc", [r["stride"], *mv.tolist()]))
-                made.append(encode_record(r | {"tags": tags, "cigar": [(c["op"], c["len"]) for c in r["cigar"] or ()]}, ids))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("read_id", "flag", "chr", "pos0")), pa.array(made, pa.binary())], ["read_id", "flag", "chr", "pos0", "record"])
+        for whole in batches:
+            rows = max(1, int((4 << 20) / max(1, whole.nbytes / max(1, whole.num_rows))))
+            for batch in (whole.slice(lo, rows) for lo in range(0, whole.num_rows, rows)):
+                try:
+                    made = bamcols.encode(batch, [n for n, _ in names])
+                except bamcols.Odd:
+                    made = pa.array(one_by_one(batch), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("read_id", "flag", "chr", "pos0")), made], ["read_id", "flag", "chr", "pos0", "record"])
 
     return run
 
