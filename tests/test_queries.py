@@ -87,3 +87,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 101
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_argmax_class_where_terms_cancel(spark, tmp_path):
+    """Rows whose terms come to 0 lie at one half up to the order of the sum, which must be that of the SQL."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    raw, w = np.random.default_rng(0).integers(-400, 400, (500, 64)), np.arange(57) % 7 - 3
+    raw[:, 4] -= raw[:, :57] @ w  # a weight of 1
+    path = str(tmp_path / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array(range(500), pa.int64()), "embedding": pa.array((raw / 1000).astype(np.float32).tolist(), pa.list_(pa.float32()))}), path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    want = con.execute(catalog.ORACLE["argmax_class"]).fetchall()
+    assert {p for _, p in want} == {0, 1}
+    assert sorted((r.vec_id, r.predicted) for r in catalog.argmax_class(spark, str(tmp_path)).collect()) == sorted(want)
