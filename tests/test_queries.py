@@ -105,3 +105,9 @@ def test_argmax_class_where_terms_cancel(spark, tmp_path):
     want = con.execute(catalog.ORACLE["argmax_class"]).fetchall()
     assert {p for _, p in want} == {0, 1}
     assert sorted((r.vec_id, r.predicted) for r in catalog.argmax_class(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_labels_are_not_broadcast(spark):
+    """Only the reference, up to its measured limit, goes through the driver."""
+    plan = _plan(catalog.feature_rows(spark, SF))
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 4
