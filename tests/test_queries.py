@@ -111,3 +111,10 @@ def test_labels_are_not_broadcast(spark):
     """Only the reference, up to its measured limit, goes through the driver."""
     plan = _plan(catalog.feature_rows(spark, SF))
     assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 4
+
+
+def test_training_makes_its_features_once(spark, monkeypatch):
+    plans, train = [], catalog.bilstm.train
+    monkeypatch.setattr(catalog.bilstm, "train", lambda rows, *a, **kw: plans.append(_plan(rows)) or train(rows, *a, **kw))
+    assert catalog.bilstm_training(spark, SF).count() == 2
+    assert "FileScan" in plans[0] and "InArrow" not in plans[0] and "Join" not in plans[0]
