@@ -8,15 +8,8 @@ from ..functions import signal as sg
 
 
 def _tag(name: str, kind: str) -> Column:
-    """Value of a tag `name:kind:value` of the row's tags; null if there is none."""
-    return F.try_element_at("tags", F.lit(f"{name}:{kind}"))
-
-
-def _tags(fields: Column) -> Column:
-    """Fields `name:kind:value` -> map of `name:kind` to value, the first of a repeated tag; the row's tags are walked once."""
-    pairs = F.filter(fields, lambda t: F.substr(t, F.lit(3), F.lit(1)) == ":")
-    first = F.filter(pairs, lambda t, i: F.array_position(F.transform(pairs, lambda u: F.left(u, F.lit(4))), F.left(t, F.lit(4))) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda t: F.struct(F.left(t, F.lit(4)), F.substr(t, F.lit(6)))))
+    """Value of a tag `name:kind:value` of the row's tags, the first of a repeated one; null if there is none."""
+    return F.substr(F.get(F.filter("tags", lambda t: t.startswith(f"{name}:{kind}")), F.lit(0)), F.lit(6))
 
 
 def derive(a: DataFrame) -> DataFrame:
@@ -38,20 +31,22 @@ COLUMNS = [
 def parse_sam(lines: DataFrame) -> DataFrame:
     """lines(value) -> alignments. Header lines and lines of fewer than 11 fields are left out; a missing tag is null, a missing NM -1;
     `*` is null."""
-    f = lines.filter(~F.col("value").startswith("@")).select(F.split("value", "\t", -1).alias("f")).filter(F.size("f") >= 11)
+    # a line is made and split once: filters on either would be moved below and make it again
+    whole = lambda f: (F.size(f) >= 11) & ~F.get(f, F.lit(0)).startswith("@")
+    f = lines.select(F.explode_outer(F.filter(F.array(F.split("value", "\t", -1)), whole)).alias("f")).filter(F.col("f").isNotNull())
     col = lambda i: F.get("f", F.lit(i))
     known = lambda c: F.nullif(c, F.lit("*"))
     rows = f.select(
         col(0).alias("read_id"), col(1).cast("int").alias("flag"), known(col(2)).alias("chr"), (col(3).cast("int") - 1).alias("pos0"), col(4).cast("int").alias("mapq"),
         cg.parse_cigar(col(5)).alias("cigar"), known(col(6)).alias("rnext"), col(7).cast("int").alias("pnext"), col(8).cast("bigint").alias("tlen"),
-        known(col(9)).alias("seq"), known(col(10)).alias("qual"), _tags(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0)))).alias("tags"),
+        known(col(9)).alias("seq"), known(col(10)).alias("qual"), F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))).alias("tags"),
     )
     mv = F.transform(F.split(F.regexp_replace(_tag("mv", "B"), r"^[a-zA-Z],?", ""), ","), lambda x: x.try_cast("int"))
     rows = rows.select(
         "*", _tag("fn", "Z").alias("file_name"), _tag("ts", "i").cast("int").alias("trim_start"), _tag("ns", "i").cast("int").alias("num_samples"),
         F.coalesce(_tag("NM", "i").cast("int"), F.lit(-1)).alias("nm"), _tag("MD", "Z").alias("md"), _tag("pi", "Z").alias("parent_read"),
-        _tag("sp", "i").cast("int").alias("split"), sg.move_table(mv).alias("mv"),
-    )
+        _tag("sp", "i").cast("int").alias("split"), mv.alias("mv"),
+    ).withColumn("mv", sg.move_table(F.col("mv")))
     return derive(rows).withColumn("stride", F.col("mv.stride")).withColumn("moves", F.col("mv.moves")).select(COLUMNS)
 
 

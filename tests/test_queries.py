@@ -118,3 +118,8 @@ def test_training_makes_its_features_once(spark, monkeypatch):
     monkeypatch.setattr(catalog.bilstm, "train", lambda rows, *a, **kw: plans.append(_plan(rows)) or train(rows, *a, **kw))
     assert catalog.bilstm_training(spark, SF).count() == 2
     assert "FileScan" in plans[0] and "InArrow" not in plans[0] and "Join" not in plans[0]
+
+
+def test_sam_lines_are_split_once(spark):
+    plan = catalog.sam_text_decode(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("array_position") == 0  # the line, and its move table
