@@ -110,3 +110,20 @@ def test_parts_where_the_index_names_nothing(tmp_path, placed):
     got = [[x for b in bam.read_part(path, *p, ["read_id"]) for x in b.column(0).to_pylist()] for p in parts]
     assert len(parts) > 5 and max(map(len, got)) < 3000
     assert [x for p in got for x in p] == [r["read_id"] for r in rows]
+
+
+def test_region_ends_with_its_last_read(tmp_path, monkeypatch):
+    """Reads behind the region, in the same bin of the index, were all decoded."""
+    path, index = str(tmp_path / "a.bam"), bgzf.Index(1)
+    made = [bam.encode_record({"read_id": f"r{i}", "flag": 0, "chr": "c1", "pos0": i, "cigar": [(0, 30)], "seq": "A" * 300}, {"c1": 0}) for i in range(15_000)]
+    with open(path, "wb") as f:
+        out = bgzf.Writer(f)
+        out.write(bam._head([("c1", 20_000)]))
+        bam._append(out, index, pa.array(made, pa.binary()))
+        out.close()
+    with open(path + ".bai", "wb") as f:
+        f.write(index.dump())
+    seen, places = [], bamcols.places
+    monkeypatch.setattr(bamcols, "places", lambda buf, at: seen.append(len(at)) or places(buf, at))
+    got = [x for p in bam.over(path, 1 << 20, "c1:100-200") for b in bam.read_part(path, *p, ["read_id"], "c1:100-200") for x in b.column(0).to_pylist()]
+    assert got == [f"r{i}" for i in range(71, 200)] and sum(seen) < 5000
