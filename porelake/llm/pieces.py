@@ -5,7 +5,8 @@ from left to right); the best is joined, its new neighbours go on the agenda, un
 become bytes. Two neighbouring characters that no piece has side by side are never joined, whatever surrounds them: a text is cut
 there, the parts are encoded by themselves, and what comes out of a word is kept for the next ones.
 
-Each batch is checked against the sentencepiece library: all words that the agenda was used for, and all decoded texts."""
+Each batch is checked against the sentencepiece library: all words that the agenda was used for; and of the decoded texts all ids, runs of
+bytes and beginnings that a worker meets for the first time."""
 
 import codecs
 import functools
@@ -18,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -28,6 +30,8 @@ _SPACE = "▁"  # stands for a space inside pieces
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: Characters of words whose ids a worker keeps.
 _HELD = 4_000_000
+#: Runs of bytes and beginnings that a worker has had checked.
+_MET = 200_000
 #: Longer words have an agenda each, shorter ones are worked on together.
 _SHORT = 32
 
@@ -79,7 +83,7 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
-        trainer, norm = (dict(chain.from_iterable(_fields(v) for k, v in model if k == n)) for n in (2, 3))
+        trainer, norm, back = (dict(chain.from_iterable(_fields(v) for k, v in model if k == n)) for n in (2, 3, 5))
         made = [dict(_fields(v)) for k, v in model if k == 1]
         names = [p[1].decode() for p in made]
         kinds = [p.get(3, _NORMAL) for p in made]
@@ -105,7 +109,13 @@ class Pieces:
             mark = "".join(map(re.escape, sorted(marks)))
             words = f"{_SPACE}*[^{mark}{_SPACE}]+|{_SPACE}*[{mark}]+|{_SPACE}+"
         self.split = re.compile(words).findall
-        self.said = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else p.replace(_SPACE, " ").encode() for p, k in zip(names, kinds, strict=True)]
+        said = self.said = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else p.replace(_SPACE, " ").encode() for p, k in zip(names, kinds, strict=True)]
+        self.says = pa.array(said, pa.binary())
+        self.is_lead, self.is_control, self.is_byte, self.met, self.off = np.zeros((5, len(names)), bool)
+        self.is_lead[[*self.lead]] = self.is_control[[*self.control]] = self.is_byte[[*self.byte.values()]] = True
+        self.between = next((i for p, i in self.id.items() if p.isascii() and p.isalpha()), None)
+        self.apart = self.plain and not back.get(2) and self.between is not None  # a decoded id says the same whatever stands around it
+        self.seen: dict[tuple[int, ...], bool] = {}
         self.rare = sorted({c for p in self.id for c in p} - self.id.keys())  # characters that only longer pieces have
         number = self.id | {c: len(names) + i for i, c in enumerate(self.rare)}
         self.symbol = np.full(0x110000, -2, np.int32)
@@ -117,7 +127,7 @@ class Pieces:
         self.pair_key, self.pair_cost, self.pair_to = np.array(key, np.int64), np.array(cost, np.float32), np.array(to, np.int32)
         self.gap = next(c for c in map(chr, [10, *range(0x110000)]) if c != " " and self.symbol[ord(c)] == -2)
         self.gap_ids, self.alone = self.ids_of(self.gap), self.ids_of(self.prefix)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.wrong: set[str] = set()
         self.held = 0
 
@@ -147,7 +157,8 @@ class Pieces:
                 heappush(agenda, (c, k, len(both)))
         return [p for p in parts if p]
 
-    def ids_of(self, word: str) -> tuple[int, ...]:
+    def ids_of(self, word: str) -> bytes:
+        """A word's ids, four bytes each."""
         out, a, pairs = [], 0, self.pairs
         for b in range(1, len(word) + 1):
             if b == len(word) or word[b - 1 : b + 1] not in pairs:
@@ -157,7 +168,7 @@ class Pieces:
                     else:
                         out += [self.byte[c] for c in p.encode()]
                 a = b
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def agendas(self, words: list[str]) -> None:
         """Makes known the ids of words of at most _SHORT characters, many at once: a row of `cost` is the agenda of a word, a place for each
@@ -192,12 +203,12 @@ class Pieces:
             cost[row, i], to[row, i] = self._pair(sym[row, i], sym[row, k])
             r, h, i = row[h >= 0], h[h >= 0], i[h >= 0]
             cost[r, h], to[r, h] = self._pair(sym[r, h], sym[r, i])
-        flat, ends = sym[sym != -1].tolist(), np.cumsum((sym != -1).sum(1)).tolist()
+        flat, ends = sym[sym != -1], np.cumsum((sym != -1).sum(1)).tolist()
+        raw = flat.tobytes()
         odd = ((sym < -1) | (sym >= len(self.said))).any(1).tolist()
         at = 0
         for w, end, o in zip(words, ends, odd, strict=True):
-            ids = flat[at:end]
-            self.known[w] = tuple(chain.from_iterable(map(self._bytes, ids))) if o else tuple(ids)
+            self.known[w] = np.array([*chain.from_iterable(map(self._bytes, flat[at:end].tolist()))], np.int32).tobytes() if o else raw[4 * at : 4 * end]
             at = end
 
     def _bytes(self, symbol: int) -> tuple[int, ...]:
@@ -215,7 +226,11 @@ class Pieces:
         return np.where(hit, self.pair_cost[at], np.float32(np.inf)), np.where(hit, self.pair_to[at], -1)
 
     def encode(self, texts: list[str], whole: bool = False) -> tuple[list[list[int]], list[bool]]:
-        """The texts' ids, and whether the library agrees: on each of the text's words (one that was met before isn't checked again), or on
+        packed, same = self.packed(texts, whole)
+        return [np.frombuffer(p, np.int32).tolist() for p in packed], same
+
+    def packed(self, texts: list[str], whole: bool = False) -> tuple[list[bytes], list[bool]]:
+        """The texts' ids, four bytes each, and whether the library agrees: on each of the text's words (one that was met before isn't checked again), or on
         the whole text."""
         if self.held > _HELD:
             self.known.clear()
@@ -230,9 +245,9 @@ class Pieces:
             self.held += sum(map(len, new))
             if not whole and self.plain:
                 self.check(new)
-        out = [[*chain.from_iterable(map(self.known.__getitem__, words))] for words in split]
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         if whole or not self.plain:
-            return out, [a == b for a, b in zip(out, self.library.encode(texts, num_threads=1), strict=True)]
+            return out, [a == np.array(b, np.int32).tobytes() for a, b in zip(out, self.library.encode(texts, num_threads=1), strict=True)]
         return out, [not self.wrong or self.wrong.isdisjoint(words) for words in split]
 
     def check(self, words: list[str]) -> None:
@@ -240,8 +255,8 @@ class Pieces:
         if that comes out differently, they are looked at one by one."""
 
         def agree(group: list[str]) -> bool:
-            own = [*self.alone, *chain.from_iterable((*self.gap_ids, *self.known[w]) for w in group)]
-            return self.library.encode((self.gap + self.gap.join(group)).replace(_SPACE, " ")) == own
+            own = self.gap_ids.join([self.alone, *map(self.known.__getitem__, group)])
+            return self.library.encode((self.gap + self.gap.join(group)).replace(_SPACE, " ")) == np.frombuffer(own, np.int32).tolist()
 
         for i in range(0, len(words), 64):
             if not agree(words[i : i + 64]):
@@ -257,6 +272,64 @@ class Pieces:
         first = next((run[0] for run in runs if run), None)
         return text[1:] if first in self.lead else text  # without the prefix
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray, whole: bool = False) -> tuple[list[str], np.ndarray]:
+        """The texts of many lists of ids, which end at `ends` (the first is where they begin), and whether the library agrees: on each of the
+        text's ids between two others, on its runs of bytes and on its first two ids, each of which is asked for once; or on the whole text, for
+        all texts or those with ids that say nothing."""
+        if len(flat) and not (0 <= flat.min() and flat.max() < len(self.said)):
+            raise IndexError("an id that the vocabulary lacks")
+        said = self.says.take(pa.array(flat))
+        offsets, data = np.frombuffer(said.buffers()[1], np.int32, len(flat) + 1) if len(flat) else np.zeros(1, np.int32), said.buffers()[2]
+        raw = memoryview(data) if data is not None else b""
+        first, some = ends[:-1], np.diff(ends) > 0
+        lead = np.zeros(len(first), bool)
+        lead[some] = self.is_lead[flat[first[some]]]  # without the prefix
+        a, b = (offsets[first] + lead).tolist(), offsets[ends[1:]].tolist()
+        texts = [str(raw[x:y], "utf-8", "each_byte") for x, y in zip(a, b, strict=True)]
+        text_of = lambda at: np.searchsorted(ends, at, "right") - 1
+        odd = np.zeros(len(first), bool)
+        odd[text_of(np.flatnonzero(self.is_control[flat]))] = True
+        same = np.ones(len(first), bool)
+        if self.apart and not whole:
+            same = self._agreed(flat, ends, text_of)
+        else:
+            odd[:] = True
+        for i in np.flatnonzero(odd).tolist():
+            ids = flat[ends[i] : ends[i + 1]].tolist()
+            texts[i] = self.decode(ids)
+            same[i] = texts[i] == self.library.decode(ids)
+        return texts, same
+
+    def _agreed(self, flat: np.ndarray, ends: np.ndarray, text_of) -> np.ndarray:
+        same = np.ones(len(ends) - 1, bool)
+        for i in np.unique(flat[~self.met[flat]]).tolist():
+            self.met[i], self.off[i] = True, not self._agrees((self.between, i, self.between))
+        if self.off.any():
+            same[text_of(np.flatnonzero(self.off[flat]))] = False
+        if len(self.seen) > _MET:
+            self.seen.clear()
+        # runs of bytes end with their text
+        here = np.concatenate([[False], self.is_byte[flat], [False]])
+        begins = np.zeros(len(flat) + 1, bool)
+        begins[ends] = True
+        starts, stops = np.flatnonzero(here[1:] & (~here[:-1] | begins)), np.flatnonzero(here[:-1] & (~here[1:] | begins))
+        starts, stops = starts[(long := stops - starts > 1)], stops[long]
+        for x, y, t in zip(starts.tolist(), stops.tolist(), text_of(starts).tolist(), strict=True):
+            same[t] &= self._met((self.between, *flat[x:y].tolist(), self.between))
+        for t, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            same[t] &= x == y or self._met(tuple(flat[x : min(y, x + 2)].tolist()))
+        return same
+
+    def _met(self, ids: tuple[int, ...]) -> bool:
+        if (out := self.seen.get(ids)) is None:
+            out = self._agrees(ids)
+            if len(ids) <= _SHORT:
+                self.seen[ids] = out
+        return out
+
+    def _agrees(self, ids: tuple[int, ...]) -> bool:
+        return self.decode([*ids]) == self.library.decode([*ids])
+
 
 @functools.cache
 def pieces(path: str) -> Pieces:
@@ -268,9 +341,9 @@ def _encode(path: str, whole: bool):
         own = pieces(path)
         for batch in batches:
             for lo, texts, _ in chunks(text_of(batch), 1024, 1 << 20):
-                ids, same = own.encode([t or "" for t in texts], whole)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                ids, same = own.packed([t or "" for t in texts], whole)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("key")[lo : lo + len(ids)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)], ["key", "ids", "as_library"])
 
     return run
@@ -288,22 +361,25 @@ def encode(docs: DataFrame, keys: list[str], path: str | None = None, whole: boo
     return k.mapInArrow(_encode(path or piece_bpe_path(), whole), schema("key int, ids array<int>, as_library boolean", key=k.schema["key"].dataType))
 
 
-def _decode(path: str):
+def _decode(path: str, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                ids = [x or [] for x in part.column("ids").to_pylist()]
-                texts = [own.decode(x) for x in ids]
-                same = [a == b for a, b in zip(texts, own.library.decode(ids, num_threads=1), strict=True)]
+                ids = part.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                texts, same = own.decode_all(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes.tolist()]), whole)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array(same, pa.bool_())], [*part.schema.names, "text", "text_as_library"])
 
     return run
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, whole: bool = False) -> DataFrame:
     """encoded(ids array<int>, and other columns than text and text_as_library) -> the same with text and text_as_library (whether the
-    library's decode gives the same). Null ids give an empty text, begin and end ids nothing, bytes that aren't UTF-8 a replacement
+    library's decode gives the same).
+
+    whole: the library decodes whole texts for the check, at about 5 MB a second; else what a decoded text is made of, as a worker meets it: each
+    id between two letters, each run of bytes, each text's first two ids; and texts with begin or end ids whole. Null ids give an empty text, begin and end ids nothing, bytes that aren't UTF-8 a replacement
     character each; an id that the vocabulary lacks is an error."""
-    return encoded.mapInArrow(_decode(path or piece_bpe_path()), StructType([*encoded.schema, StructField("text", StringType()), StructField("text_as_library", BooleanType())]))
+    return encoded.mapInArrow(_decode(path or piece_bpe_path(), whole), StructType([*encoded.schema, StructField("text", StringType()), StructField("text_as_library", BooleanType())]))

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -45,6 +47,53 @@ def test_decoding_of_any_ids(own, library):
     assert [own.decode(i) for i in ids] == library.decode(ids)
 
 
+def _many(own, ids, whole=False):
+    texts, same = own.decode_all(np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)]), whole)
+    return texts, same.tolist()
+
+
+def test_decoding_of_many_lists(own, library):
+    rng = random.Random(7)
+    ids = [[rng.choice((rng.randrange(32000), rng.randrange(3, 264), rng.choice([*own.lead]))) for _ in range(rng.randrange(9))] for _ in range(3000)]
+    ids += [[rng.randrange(264) for _ in range(rng.randrange(5))] for _ in range(2000)] + [[], [13] * 60, []]
+    for whole in (False, True):
+        assert _many(own, ids, whole) == (library.decode(ids), [True] * len(ids))
+    assert _many(own, []) == ([], []) and _many(own, [[], []]) == (["", ""], [True, True])
+
+
+def test_the_library_decodes_what_is_new_alone(monkeypatch):
+    fresh, asked = pieces.Pieces(pieces.piece_bpe_path()), []
+    ids, _ = fresh.encode(["some of the words 世界\n\n that come again " * 50, "and others"])
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        def decode(self, x, **more):
+            asked.append(sum(map(len, x)) if x and isinstance(x[0], list) else len(x))
+            return self.real.decode(x, **more)
+
+    monkeypatch.setattr(fresh, "library", Counted(fresh.library))
+    monkeypatch.setattr(pieces, "pieces", lambda path: fresh)
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array(ids * 20, pa.list_(pa.int32()))})
+    (out,) = pieces._decode("")(iter([batch]))
+    assert all(out.column("text_as_library").to_pylist()) and 0 < sum(asked) < 10 * len({i for x in ids for i in x})
+
+
+def test_a_decoding_that_disagrees_is_seen(library):
+    ids = library.encode(["some words", "other words here", "é 🙂", "none"])
+    other = pieces.Pieces(pieces.piece_bpe_path())
+    other.said[ids[1][1]] = b"?"
+    other.says = pa.array(other.said, pa.binary())
+    wrong = [ids[1][1] in x for x in ids]
+    for whole in (False, False, True):
+        assert _many(other, ids, whole)[1] == [not w for w in wrong]
+    other = pieces.Pieces(pieces.piece_bpe_path())
+    other.lead, other.is_lead[:] = set(), False  # the prefix stays
+    for whole in (False, False, True):
+        assert not any(_many(other, ids, whole)[1])
+
+
 def test_a_disagreement_is_seen():
     other = pieces.Pieces(pieces.piece_bpe_path())
     other.pair_cost *= -1  # the worst pair first
