@@ -6,13 +6,15 @@ import glob
 import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -175,15 +177,26 @@ def splits(path: str, size: int) -> list[tuple[str, int, int | None]]:
     return [(f"{a}-{b}", x, y) for (a, x), (b, y) in zip(cuts, [*cuts[1:], ("at", None)], strict=True)]
 
 
+#: Bytes of a file between two ranges of a region that are read as one.
+_NEAR = 1 << 17
+
+
 def over(path: str, size: int, region: str) -> list[tuple[str, int, int | None]]:
-    """The parts of an indexed file in which the records over `name:start-end` (from 0, end left out) begin, in pieces at records."""
+    """The parts of an indexed file in which the records over `name:start-end` (from 0, end left out) begin, in pieces at records; those with less than
+    a block or two between them are one."""
     index = index_of(path)
     if index is None:
         raise ValueError(f"{path}: a region needs an index beside the file")
     name, start, end = parse_region(region)
     with open(path, "rb") as f:
         names = [n for n, _ in read_header(bgzf.Reader(f))]
-    return [("at-at", a, b) for a, b in index.chunks(names.index(name), start, end)] if name in names else []
+    out: list[tuple[int, int]] = []
+    for a, b in index.chunks(names.index(name), start, end) if name in names else []:
+        if out and (a >> 16) - (out[-1][1] >> 16) <= _NEAR:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return [("at-at", a, b) for a, b in out]
 
 
 def parse_region(region: str) -> tuple[str, int, int]:
@@ -368,10 +381,14 @@ def write_sorted(raw: DataFrame, names: list[tuple[str, int]], folder: str, part
     return _in_order(raw, names, parts).mapInArrow(_part(folder, names), "path string, rows long")
 
 
-def _in_order(raw: DataFrame, names: list[tuple[str, int]], parts: int | None) -> DataFrame:
+def _ref(names: list[tuple[str, int]], none: int) -> Column:
+    """The number of a read's reference, `none` without a place."""
     order = F.create_map(*(F.lit(v) for i, (n, _) in enumerate(names) for v in (n, i))) if names else F.create_map().cast("map<string,int>")
-    place = F.when(F.col("pos0") >= 0, F.try_element_at(order, F.col("chr")))
-    rows = raw.select(F.coalesce(place, F.lit(2**31 - 1)).alias("_ref"), F.col("pos0").alias("_at"), F.xxhash64("record").alias("_h"), "record")
+    return F.coalesce(F.when(F.col("pos0") >= 0, F.try_element_at(order, F.col("chr"))), F.lit(none))
+
+
+def _in_order(raw: DataFrame, names: list[tuple[str, int]], parts: int | None) -> DataFrame:
+    rows = raw.select(_ref(names, 2**31 - 1).alias("_ref"), F.col("pos0").alias("_at"), F.xxhash64("record").alias("_h"), "record")
     keys = ["_ref", "_at", "_h"]
     dealt = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
     return dealt.sortWithinPartitions(*keys, "record").select("record")
@@ -442,9 +459,34 @@ def write_one(raw: DataFrame, names: list[tuple[str, int]], path: str, text: byt
     Tasks write ranges of (reference, start, hash) as runs of blocks without a header; the runs' sizes, added up, say where each goes
     in the file, and tasks copy them there side by side, so none passes all bytes. The runs' indexes come to the driver, shifted by these
     places: a few chunks a bin and run, and 8 bytes for each 16 kb of a reference."""
-    spark, folder, draft = raw.sparkSession, path + ".runs", path + ".draft"
+    return _write(_in_order(raw, names, parts), names, path, text)
+
+
+#: Quantiles of the places that ranges are cut at, and their accuracy; rows of a range.
+_CUTS, _ACCURACY, _RANGE = 1024, 5000, 400_000
+
+
+def write_alignments(alignments: DataFrame, names: list[tuple[str, int]], path: str, text: bytes = b"", parts: int | None = None) -> int:
+    """write_one() of encode(alignments), but each is encoded once: ranges are cut at quantiles of the places, for which chr, ref_start and is_mapped
+    alone are read, about _RANGE rows each (_CUTS ranges at most). Reads that pile up at one place are spread by their records' sums."""
+    a = _prepared(alignments)
+    key = _ref(names, len(names)).cast("long") * F.lit(1 << 32) + F.col("pos0")
+    at = F.percentile_approx(key, [i / _CUTS for i in range(1, _CUTS)], _ACCURACY)
+    n, found = a.agg(F.count(F.lit(1)), at).first()
+    if parts is None:
+        parts = 1 + max(n // _RANGE, min(n // 20_000, a.sparkSession.sparkContext.defaultParallelism - 1))
+    parts = min(parts, _CUTS)
+    cuts = [found[i * _CUTS // parts - 1] for i in range(1, parts)] if n else []
+    rows = a.mapInArrow(_encoded(names, cuts), "part int, place long, h long, record binary")
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "h", "record")
+    return _write(dealt.select("record"), names, path, text)
+
+
+def _write(rows: DataFrame, names: list[tuple[str, int]], path: str, text: bytes) -> int:
+    """Writes records that stand in order, over partitions as well."""
+    spark, folder, draft = rows.sparkSession, path + ".runs", path + ".draft"
     depth = bgzf.depth_for(max((n for _, n in names), default=0))
-    runs = sorted(_in_order(raw, names, parts).mapInArrow(_run(folder, len(names), depth), _RUN).collect(), key=lambda r: r.part)
+    runs = sorted(rows.mapInArrow(_run(folder, len(names), depth), _RUN).collect(), key=lambda r: r.part)
     index = bgzf.Index(len(names), depth)
     with open(draft, "wb") as f:
         out = bgzf.Writer(f)
@@ -500,7 +542,21 @@ def encode_record(r: dict, ids: dict[str, int]) -> bytes:
     return b"".join(out)
 
 
-def _encoded(names: list[tuple[str, int]]):
+def _dealt(batch: pa.RecordBatch, made: pa.Array, ids: dict[str, int], cuts: np.ndarray) -> pa.RecordBatch:
+    """Records with their part, place and sum. Of k cuts at one place, the sums there are cut into k + 1 stretches of equal length."""
+    pos = batch.column("pos0").to_numpy(zero_copy_only=False).astype(np.int64)
+    ref = pc.fill_null(pc.index_in(batch.column("chr"), value_set=pa.array([*ids], pa.string())), -1).to_numpy(zero_copy_only=False)
+    place = (np.where((ref >= 0) & (pos >= 0), ref, len(ids)).astype(np.int64) << 32) + pos
+    buf, at, size = bamcols.bytes_of(made)
+    raw = memoryview(buf)
+    h = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)), np.int64, len(at))
+    first = np.searchsorted(cuts, place)
+    part = first + (h * (np.searchsorted(cuts, place, "right") - first + 1) >> 32)
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(place), pa.array(h), made], ["part", "place", "h", "record"])
+
+
+def _encoded(names: list[tuple[str, int]], cuts: list[int] | None = None):
+    """Rows of read_raw(); with cuts, records with their parts."""
     ids = {n: i for i, (n, _) in enumerate(names)}
 
     def one_by_one(batch: pa.RecordBatch) -> list[bytes]:
@@ -523,6 +579,9 @@ def _encoded(names: list[tuple[str, int]]):
                     made = bamcols.encode(batch, [n for n, _ in names])
                 except bamcols.Odd:
                     made = pa.array(one_by_one(batch), pa.binary())
+                if cuts is not None:
+                    yield _dealt(batch, made, ids, np.array(cuts, np.int64))
+                    continue
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("read_id", "flag", "chr", "pos0")), made], ["read_id", "flag", "chr", "pos0", "record"])
 
     return run
@@ -531,10 +590,14 @@ def _encoded(names: list[tuple[str, int]]):
 def encode(alignments: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
     """Alignments -> rows of read_raw(), for write_one() and write_sorted(): each with its BAM record, of the columns and the tags that they
     came from. A chromosome that isn't one of the references is none; a quality of another length than the sequence is left out."""
+    return _prepared(alignments).mapInArrow(_encoded(names), "read_id string, flag int, chr string, pos0 int, record binary")
+
+
+def _prepared(alignments: DataFrame) -> DataFrame:
     a = alignments.withColumn("pos0", F.when(F.col("ref_start") >= 0, F.col("ref_start")).otherwise(-1)).withColumn("chr", F.when(F.col("is_mapped"), F.col("chr")))
     kept = ["read_id", "flag", "chr", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", *(c for _, _, c in _TAGS), "stride", "moves"]
     there = [F.col(c) if c in a.columns else F.lit(None).cast(_KIND_OF.get(c, "int")).alias(c) for c in kept]
-    return a.select(*there).mapInArrow(_encoded(names), "read_id string, flag int, chr string, pos0 int, record binary")
+    return a.select(*there)
 
 
 _KIND_OF = dict.fromkeys(("read_id", "chr", "rnext", "seq", "qual", "file_name", "md", "parent_read"), "string") | {"tlen": "bigint", "moves": "array<int>"}

@@ -127,3 +127,20 @@ def test_region_ends_with_its_last_read(tmp_path, monkeypatch):
     monkeypatch.setattr(bamcols, "places", lambda buf, at: seen.append(len(at)) or places(buf, at))
     got = [x for p in bam.over(path, 1 << 20, "c1:100-200") for b in bam.read_part(path, *p, ["read_id"], "c1:100-200") for x in b.column(0).to_pylist()]
     assert got == [f"r{i}" for i in range(71, 200)] and sum(seen) < 5000
+
+
+def test_reads_at_a_bins_end_are_few_chunks(tmp_path):
+    """Reads over the end of a bin stand between others of the lower bin, and each was a chunk of its own, and each chunk a part of a region."""
+    path, index = str(tmp_path / "a.bam"), bgzf.Index(1)
+    made = [bam.encode_record({"read_id": f"r{i}", "flag": 0, "chr": "c1", "pos0": 16_000 + i // 10, "cigar": [(0, 400 if i % 2 else 20)], "seq": "ACGT"}, {"c1": 0}) for i in range(4000)]
+    with open(path, "wb") as f:
+        out = bgzf.Writer(f)
+        out.write(bam._head([("c1", 40_000)]))
+        bam._append(out, index, pa.array(made, pa.binary()))
+        out.close()
+    with open(path + ".bai", "wb") as f:
+        f.write(index.dump())
+    assert sum(len(c) for bins in index.bins for c in bins.values()) < 30
+    parts = bam.over(path, 1 << 20, "c1:16300-16384")
+    got = [x for p in parts for b in bam.read_part(path, *p, ["read_id"], "c1:16300-16384") for x in b.column(0).to_pylist()]
+    assert len(parts) == 1 and got == [f"r{i}" for i in range(4000) if 16_000 + i // 10 < 16_384 and 16_000 + i // 10 + (400 if i % 2 else 20) > 16_300]

@@ -4,6 +4,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,46 @@ def test_one_sorted_file(spark, tmp_path, long):
         load(spark, tmp_path / "in.bam", region="z:0-5").count()
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_alignments_as_one_file(spark, tmp_path, heavy):
+    """Each is made and encoded once; as write_one(encode()) has them."""
+    seen, names = str(tmp_path / "seen"), [("z", 1 << 20), ("a", 1 << 20)]
+    place = F.lit(77) if heavy else F.expr("cast(id * 7919 % 900000 as int)")
+
+    def base(i):
+        with open(seen, "a") as f:
+            f.write("x")
+        return "ACGT"[i % 4]
+
+    chr_ = F.lit("a") if heavy else F.expr("element_at(array('z', 'a', 'other', null), cast(id % 4 + 1 as int))")
+    rows_ = spark.range(400).select(
+        F.concat(F.lit("r"), "id").alias("read_id"), F.when(F.col("id") % 5 == 0, 4).otherwise(0).alias("flag"), chr_.alias("chr"), place.alias("ref_start"), F.lit(9).alias("mapq"),
+        F.expr("array(named_struct('op', cast(0 as tinyint), 'len', 40))").alias("cigar"), F.udf(base, "string")("id").alias("seq"), (F.col("id") % 5 != 0).alias("is_mapped"),
+    )
+    path = str(tmp_path / "one.bam")
+    assert bam.write_alignments(rows_, names, path, parts=6) == 400 and os.path.getsize(seen) == 400
+    assert bam.write_one(bam.encode(rows_, names), names, str(tmp_path / "two.bam"), parts=6) == 400
+    got = load(spark, path, split=1 << 40).collect()
+    assert rows(load(spark, path)) == rows(load(spark, str(tmp_path / "two.bam"))) == rows(load(spark, path, split=500))
+    order = [({"z": 0, "a": 1}.get(r.chr, 2), r.pos0) for r in got]
+    assert order == sorted(order) and {r.chr for r in got} == {None, "a"} | ({"z"} if not heavy else set())
+    over = lambda p, where: rows(load(spark, p, region=where).select("read_id"))
+    assert over(path, "a:100-500000") == over(str(tmp_path / "two.bam"), "a:100-500000") and over(path, "a:77-78") == over(str(tmp_path / "two.bam"), "a:77-78")
+    assert bam.write_alignments(rows_.limit(0), names, str(tmp_path / "none.bam")) == 0 and load(spark, str(tmp_path / "none.bam")).count() == 0
+
+
+def test_reads_at_one_place_go_to_many_parts():
+    names = [("a", 100)]
+    schema = pa.schema([("read_id", pa.string()), ("flag", pa.int32()), ("chr", pa.string()), ("pos0", pa.int32())])
+    batch = pa.RecordBatch.from_pylist([{"read_id": f"r{i}", "flag": 0, "chr": "a" if i < 900 else None, "pos0": 5 if i < 900 else -1} for i in range(1000)], schema)
+    made = pa.array([f"record{i}".encode() for i in range(1000)], pa.binary())
+    got = bam._dealt(batch, made, {n: i for i, (n, _) in enumerate(names)}, np.array([5, 5, 5, 5], np.int64))
+    sizes = np.bincount(got.column("part").to_numpy(), minlength=5)
+    assert len(sizes) == 5 and sizes[:4].min() > 130 and sizes[4] > 230
+    key = sorted(zip(got.column("place").to_pylist(), got.column("h").to_pylist(), got.column("part").to_pylist(), strict=True))
+    assert [k[2] for k in key] == sorted(k[2] for k in key)
+
+
 def test_bins():
     assert bgzf.bin_of(0, 1) == 4681 and bgzf.bin_of(0, 1 << 15) == 585 and bgzf.bin_of(0, 1 << 29) == 0 and bgzf.depth_for(1 << 29) == 5 and bgzf.depth_for((1 << 29) + 1) == 6
     for depth in (5, 6):
