@@ -340,11 +340,11 @@ def _head(names: list[tuple[str, int]], text: bytes = b"") -> bytes:
     return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", length) for n, length in names)
 
 
-def _append(out: bgzf.Writer, index: bgzf.Index, records: pa.Array, before: int = 0) -> int:
-    """Writes records, and adds them to the index, `before` further on."""
+def _append(out: bgzf.Writer, index: bgzf.Index, records: pa.Array, before: int = 0, framed: bool = False) -> int:
+    """Writes records (framed: that have their lengths), and adds them to the index, `before` further on."""
     n, rows = 0, max(1, int((4 << 20) / max(1, records.nbytes / max(1, len(records)))))
     for lo in range(0, len(records), rows):
-        data, at, size = bamcols.framed(records.slice(lo, rows))
+        data, at, size = (bamcols.with_lengths if framed else bamcols.framed)(records.slice(lo, rows))
         first, after = out.write_all(data, size + 4)
         index.add_all(*bamcols.places(np.frombuffer(data, np.uint8), at), first + before, after + before)
         n += len(at)
@@ -399,7 +399,7 @@ _BEFORE = 1 << 16
 _RUN = "part int, path string, size long, rows long, unplaced long, chunks array<struct<tid: int, bin: int, first: long, last: long>>, windows array<struct<tid: int, window: int, at: long>>"
 
 
-def _run(folder: str, refs: int, depth: int):
+def _run(folder: str, refs: int, depth: int, framed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
@@ -409,7 +409,7 @@ def _run(folder: str, refs: int, depth: int):
         with open(target, "wb") as f:
             out = bgzf.Writer(f)
             for batch in batches:
-                n += _append(out, index, batch.column("record"), _BEFORE)
+                n += _append(out, index, batch.column("record"), _BEFORE, framed)
             while out.data:
                 out.flush()
             size = f.tell()
@@ -477,16 +477,16 @@ def write_alignments(alignments: DataFrame, names: list[tuple[str, int]], path:
         parts = 1 + max(n // _RANGE, min(n // 20_000, a.sparkSession.sparkContext.defaultParallelism - 1))
     parts = min(parts, _CUTS)
     cuts = [found[i * _CUTS // parts - 1] for i in range(1, parts)] if n else []
-    rows = a.mapInArrow(_encoded(names, cuts), "part int, place long, h long, record binary")
+    rows = a.select([c for c in a.columns if c in alignments.columns or c == "pos0"]).mapInArrow(_encoded(names, cuts), "part int, place long, h long, record binary")
     dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "h", "record")
-    return _write(dealt.select("record"), names, path, text)
+    return _write(dealt.select("record"), names, path, text, True)
 
 
-def _write(rows: DataFrame, names: list[tuple[str, int]], path: str, text: bytes) -> int:
-    """Writes records that stand in order, over partitions as well."""
+def _write(rows: DataFrame, names: list[tuple[str, int]], path: str, text: bytes, framed: bool = False) -> int:
+    """Writes records that stand in order, over partitions as well; framed: they have their lengths."""
     spark, folder, draft = rows.sparkSession, path + ".runs", path + ".draft"
     depth = bgzf.depth_for(max((n for _, n in names), default=0))
-    runs = sorted(rows.mapInArrow(_run(folder, len(names), depth), _RUN).collect(), key=lambda r: r.part)
+    runs = sorted(rows.mapInArrow(_run(folder, len(names), depth, framed), _RUN).collect(), key=lambda r: r.part)
     index = bgzf.Index(len(names), depth)
     with open(draft, "wb") as f:
         out = bgzf.Writer(f)
@@ -555,8 +555,17 @@ def _dealt(batch: pa.RecordBatch, made: pa.Array, ids: dict[str, int], cuts: np.
     return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(place), pa.array(h), made], ["part", "place", "h", "record"])
 
 
+def _filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """With null columns for those that weren't sent."""
+    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+    for c in _KEPT:
+        if c not in columns:
+            columns[c] = pa.nulls(batch.num_rows, _ARROW.field(c).type if c in _ARROW.names else pa.list_(pa.int32()) if c == "moves" else pa.int32())
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def _encoded(names: list[tuple[str, int]], cuts: list[int] | None = None):
-    """Rows of read_raw(); with cuts, records with their parts."""
+    """Rows of read_raw(); with cuts, records with their lengths and parts."""
     ids = {n: i for i, (n, _) in enumerate(names)}
 
     def one_by_one(batch: pa.RecordBatch) -> list[bytes]:
@@ -572,13 +581,14 @@ def _encoded(names: list[tuple[str, int]], cuts: list[int] | None = None):
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in map(_filled, batches):
             rows = max(1, int((4 << 20) / max(1, whole.nbytes / max(1, whole.num_rows))))
             for batch in (whole.slice(lo, rows) for lo in range(0, whole.num_rows, rows)):
                 try:
-                    made = bamcols.encode(batch, [n for n, _ in names])
+                    made = bamcols.encode(batch, [n for n, _ in names], 0 if cuts is None else 4)
                 except bamcols.Odd:
-                    made = pa.array(one_by_one(batch), pa.binary())
+                    made = one_by_one(batch)
+                    made = pa.array(made if cuts is None else [struct.pack("<i", len(r)) + r for r in made], pa.binary())
                 if cuts is not None:
                     yield _dealt(batch, made, ids, np.array(cuts, np.int64))
                     continue
@@ -593,10 +603,12 @@ def encode(alignments: DataFrame, names: list[tuple[str, int]]) -> DataFrame:
     return _prepared(alignments).mapInArrow(_encoded(names), "read_id string, flag int, chr string, pos0 int, record binary")
 
 
+_KEPT = ["read_id", "flag", "chr", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", *(c for _, _, c in _TAGS), "stride", "moves"]
+
+
 def _prepared(alignments: DataFrame) -> DataFrame:
     a = alignments.withColumn("pos0", F.when(F.col("ref_start") >= 0, F.col("ref_start")).otherwise(-1)).withColumn("chr", F.when(F.col("is_mapped"), F.col("chr")))
-    kept = ["read_id", "flag", "chr", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", *(c for _, _, c in _TAGS), "stride", "moves"]
-    there = [F.col(c) if c in a.columns else F.lit(None).cast(_KIND_OF.get(c, "int")).alias(c) for c in kept]
+    there = [F.col(c) if c in a.columns else F.lit(None).cast(_KIND_OF.get(c, "int")).alias(c) for c in _KEPT]
     return a.select(*there)
 
 
